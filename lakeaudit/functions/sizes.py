@@ -1,10 +1,9 @@
 """Human sizes (X1 format_size, X2 parse_size) in exact integer arithmetic.
 
 ``format_size``: unit index = largest k with 1024^k <= size; a whole value
-prints without decimals, otherwise with one decimal rounded half to even on
-the exact value (size / 1024^k is exact in binary), so ``1280`` prints
-``1.2K`` like the reference's float formatting; 0 prints ``0``; from 1024^6
-on the plain byte count is printed.
+prints without decimals, otherwise with one decimal rounded half to even
+(size / 1024^k is exact in binary below 2^53), so ``1280`` prints ``1.2K``;
+0 prints ``0``; from 1024^6 on the plain byte count is printed.
 
 ``parse_size``: the last character is the unit, the rest a decimal number;
 the product is truncated.  An unknown unit or a bad number gives null.
@@ -25,35 +24,20 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _idiv(a: Column, b: int) -> Column:
-    # exact: (a - a mod b) is a multiple of b and the quotient is small
-    return ((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("bigint")
-
-
-def _format_in_unit(s: Column, k: int) -> Column:
-    d = 1024 ** k
-    whole = _idiv(s, d)
-    rem = F.pmod(s, F.lit(d))
-    rem10 = rem * F.lit(10)
-    tenth = _idiv(rem10, d)
-    r2 = F.pmod(rem10, F.lit(d))
-    up = (r2 * 2 > F.lit(d)) | ((r2 * 2 == F.lit(d)) & (F.pmod(tenth, F.lit(2)) == 1))
-    t = tenth + F.when(up, 1).otherwise(0)
-    w = whole + F.when(t == 10, 1).otherwise(0)
-    t = F.when(t == 10, 0).otherwise(t)
-    unit = F.lit(SIZE_UNITS[k])
-    return (
-        F.when(rem == 0, F.concat(whole.cast("string"), unit))
-        .otherwise(F.concat(w.cast("string"), F.lit("."), t.cast("string"), unit))
-    )
-
-
 def format_size(size) -> Column:
     s = _c(size).cast("bigint")
-    expr = F.when(s.isNull(), F.lit(None).cast("string")).when(s <= 0, s.cast("string"))
-    for k in range(len(SIZE_UNITS)):
-        expr = expr.when(s < F.lit(1024 ** (k + 1)), _format_in_unit(s, k))
-    return expr.otherwise(s.cast("string"))
+    # unit index: largest k with 1024^k <= s (comparisons only)
+    k = F.lit(0)
+    for i in range(1, len(SIZE_UNITS)):
+        k = F.when(s >= F.lit(1024 ** i), F.lit(i)).otherwise(k)
+    # s / 1024^k is exact in binary below 2^53; bround is half-to-even on it
+    v = s.cast("double") / F.pow(F.lit(1024.0), k)
+    unit = F.element_at(F.array(*[F.lit(u) for u in SIZE_UNITS]), k + 1)
+    text = (F.when(v == F.floor(v), F.concat(F.floor(v).cast("string"), unit))
+            .otherwise(F.concat(F.format_string("%.1f", F.bround(v, 1)), unit)))
+    return (F.when(s.isNull(), F.lit(None).cast("string"))
+            .when((s <= 0) | (s >= F.lit(1024 ** len(SIZE_UNITS))), s.cast("string"))
+            .otherwise(text))
 
 
 def parse_size(text) -> Column:

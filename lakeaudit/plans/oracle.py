@@ -114,6 +114,74 @@ li_prev AS (
 )"""
 
 
+DUPS = r"""
+loc AS (
+  SELECT path, CASE WHEN doc_id % 41 = 0 THEN NULL ELSE concat(hash, '-', doc_id % 2) END AS place
+  FROM observed
+),
+items AS (
+  SELECT o.hash, o.path, o.size, l.place IS NULL AS unknown,
+         CASE WHEN l.place IS NULL OR l.place = '' THEN chr(1) || o.path ELSE l.place END AS class_key
+  FROM observed o LEFT JOIN loc l ON o.path = l.path
+  WHERE o.hash IS NOT NULL AND NOT coalesce(o.size >= 0 AND o.size < 256, false)
+),
+classes AS (
+  SELECT hash, class_key, count(*) AS n, min(path) AS cmin, bool_or(unknown) AS unk
+  FROM items GROUP BY hash, class_key
+),
+bag0 AS (
+  SELECT hash, sum(n) AS n_items, count(*) AS n_classes, max(n) AS max_n, bool_or(unk) AS ext_unknown
+  FROM classes GROUP BY hash
+),
+bsize AS (SELECT hash, arg_min(size, path) AS size FROM items WHERE size >= 0 GROUP BY hash),
+bwin AS (
+  SELECT hash, class_key AS win_key FROM (
+    SELECT hash, class_key, row_number() OVER (PARTITION BY hash ORDER BY n DESC, cmin) AS rn FROM classes)
+  WHERE rn = 1
+),
+bags AS (
+  SELECT b.hash, s.size, CAST(b.n_items AS BIGINT) AS n_items, CAST(b.n_classes AS BIGINT) AS n_classes,
+         CAST(CASE WHEN b.max_n >= 2 THEN b.max_n ELSE 0 END AS BIGINT) AS merged_n,
+         b.ext_unknown, w.win_key
+  FROM bag0 b JOIN bsize s USING (hash) JOIN bwin w USING (hash)
+  WHERE b.n_items >= 2 AND s.size >= 256
+),
+bitems AS (
+  SELECT i.hash, i.path, b.size, (i.class_key = b.win_key AND b.merged_n >= 2) AS merged
+  FROM items i JOIN bags b USING (hash)
+),
+keepers AS (
+  SELECT hash, path AS keeper FROM (
+    SELECT hash, path, row_number() OVER (PARTITION BY hash ORDER BY merged DESC, path) AS rn FROM bitems)
+  WHERE rn = 1
+),
+plan AS (
+  SELECT i.hash, k.keeper, i.path AS duplicate, i.size AS bytes
+  FROM bitems i JOIN keepers k USING (hash)
+  WHERE NOT i.merged AND i.path <> k.keeper
+)"""
+
+# Size units.
+UNITS = ["", "K", "M", "G", "T", "P"]
+
+
+def fmt_sql(x: str) -> str:
+    """Size formatting as one SQL CASE over integer arithmetic."""
+    out = [f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= 0 THEN CAST({x} AS VARCHAR)"]
+    for k, u in enumerate(UNITS):
+        d = 1024 ** k
+        whole, rem = f"({x} // {d})", f"({x} % {d})"
+        t, r2 = f"(({rem} * 10) // {d})", f"(({rem} * 10) % {d})"
+        tt = f"({t} + CASE WHEN 2 * {r2} > {d} OR (2 * {r2} = {d} AND {t} % 2 = 1) THEN 1 ELSE 0 END)"
+        out.append(
+            f" WHEN {x} < {1024 ** (k + 1)} THEN CASE"
+            f" WHEN {rem} = 0 THEN CAST({whole} AS VARCHAR) || '{u}'"
+            f" WHEN {tt} = 10 THEN CAST({whole} + 1 AS VARCHAR) || '.0{u}'"
+            f" ELSE CAST({whole} AS VARCHAR) || '.' || CAST({tt} AS VARCHAR) || '{u}' END")
+    out.append(f" ELSE CAST({x} AS VARCHAR) END")
+    return "".join(out)
+
+
 def _with(body: str, *ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + body
 
@@ -122,6 +190,10 @@ def _q(body: str) -> str:
     return _with(body, BASE)
 
 
+def _d(body: str) -> str:
+    return _with(body, BASE, DUPS)
+
+
 ORACLE: dict[str, str] = {
     "audit_status": _q("SELECT dir, name, path, status FROM aud"),
     "changed_dirs": _q("SELECT dir FROM changed"),
@@ -178,4 +250,42 @@ SELECT coalesce(o.dir, s.dir) AS dir, coalesce(o.name, s.name) AS name,
             WHEN s.mod_ms < o.mod_ms THEN 'upd'
             ELSE 'old' END AS status
 FROM li_prev s FULL OUTER JOIN li_cur o ON s.dir = o.dir AND s.name = o.name""", ROWS),
+    "dup_bags": _d("""
+SELECT hash, arg_min(size, path) FILTER (WHERE size >= 0) AS size, CAST(count(*) AS BIGINT) AS n
+FROM items GROUP BY hash
+HAVING count(*) >= 2 AND arg_min(size, path) FILTER (WHERE size >= 0) >= 256"""),
+    "dup_space": _d("""
+SELECT hash, size, n_items, n_classes, merged_n, size * merged_n AS shared, size * n_classes AS exclusive,
+       ext_unknown, merged_n > 0 AS has_merged
+FROM bags"""),
+    "dup_report": _d("""
+SELECT CAST(count(*) AS BIGINT) AS hashes, CAST(sum(n_items) AS BIGINT) AS files,
+       CAST(sum(size) AS BIGINT) AS min_space, CAST(sum(size * n_items) AS BIGINT) AS max_space,
+       CAST(sum(size * n_classes) AS BIGINT) AS actual_space,
+       CAST(sum(size * n_classes) - sum(size) AS BIGINT) AS reclaimable,
+       CASE WHEN sum(size * n_items) > sum(size) THEN CAST(
+         ((sum(size * n_items) - sum(size * n_classes)) * 20000 + (sum(size * n_items) - sum(size)))
+         // (2 * (sum(size * n_items) - sum(size))) AS BIGINT) END AS efficiency_bp,
+       CAST(count(*) FILTER (WHERE ext_unknown) AS BIGINT) AS unknown_bags,
+       count(*) FILTER (WHERE ext_unknown) * 2 > count(*) AS used_only
+FROM bags"""),
+    "dup_show": _d(f"""
+SELECT hash, size, n_items, size * merged_n AS shared, size * n_classes AS exclusive, ext_unknown,
+       {fmt_sql('size')} AS size_fmt, {fmt_sql('(size * merged_n)')} AS shared_fmt,
+       {fmt_sql('(size * n_classes)')} AS exclusive_fmt
+FROM bags ORDER BY size DESC, hash"""),
+    "dup_items": _d("SELECT hash, path, size, merged FROM bitems"),
+    "dedup_plan": _d("SELECT hash, keeper, duplicate, bytes FROM plan"),
+    "dedup_apply": _d("""
+SELECT o.path, o.hash, coalesce(p.keeper, o.path) AS canonical, p.keeper IS NULL AS is_canonical
+FROM observed o LEFT JOIN plan p ON o.path = p.duplicate"""),
+    "space_after": _d("""
+SELECT hash, size * n_items AS shared, size AS exclusive,
+       size * CASE WHEN merged_n >= 2 THEN n_items - merged_n ELSE n_items - 1 END AS reclaimed
+FROM bags"""),
+    "same_placement": _d("SELECT hash, n_classes = 1 AND NOT ext_unknown AS same FROM bags"),
+    "dedup_paths": _d("""
+SELECT i.hash, k.keeper, i.path AS duplicate
+FROM bitems i JOIN (SELECT hash, min(path) AS keeper FROM bitems GROUP BY hash) k USING (hash)
+WHERE i.path <> k.keeper"""),
 }

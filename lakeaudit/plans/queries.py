@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeaudit.operators import audit as A
+from lakeaudit.operators import dups as D
 from lakeaudit.plans import fixtures as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +81,61 @@ def row_audit(spark, sf_dir):
     return A.events(t)
 
 
+# ----------------------------------------------------------- duplicates
+def _bags(spark, sf_dir):
+    return D.dup_space(FX.observed(spark, sf_dir), FX.locations(spark, sf_dir), min_size=FX.DUP_MIN_SIZE)
+
+
+def _items(spark, sf_dir):
+    return D.dup_items(FX.observed(spark, sf_dir), _bags(spark, sf_dir), FX.locations(spark, sf_dir),
+                       min_size=FX.DUP_MIN_SIZE)
+
+
+def dup_bags(spark, sf_dir):
+    return D.dup_bags(FX.observed(spark, sf_dir), FX.DUP_MIN_SIZE)
+
+
+def dup_space(spark, sf_dir):
+    return _bags(spark, sf_dir).drop("win_key")
+
+
+def dup_report(spark, sf_dir):
+    return D.dup_report(_bags(spark, sf_dir))
+
+
+def dup_show(spark, sf_dir):
+    return D.dup_show(_bags(spark, sf_dir))
+
+
+def dup_items(spark, sf_dir):
+    return _items(spark, sf_dir)
+
+
+def dedup_plan(spark, sf_dir):
+    return D.dedup_plan(_items(spark, sf_dir))
+
+
+def dedup_apply(spark, sf_dir):
+    return D.dedup_apply(FX.observed(spark, sf_dir), D.dedup_plan(_items(spark, sf_dir)))
+
+
+def space_after(spark, sf_dir):
+    return D.space_after(_bags(spark, sf_dir))
+
+
+def same_placement(spark, sf_dir):
+    return D.same_placement(_bags(spark, sf_dir))
+
+
+def dedup_paths(spark, sf_dir):
+    items = _items(spark, sf_dir).select("hash", "path")
+    return D.dedup_pairs(items, "hash", "path")
+
+
+def bags_json(spark, sf_dir):
+    return D.bags_json(_items(spark, sf_dir), _bags(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "audit_status": audit_status,
     "audit_summary": audit_summary,
@@ -93,4 +149,15 @@ QUERIES: dict[str, Query] = {
     "damaged": damaged,
     "report": report,
     "row_audit": row_audit,
+    "dup_bags": dup_bags,
+    "dup_space": dup_space,
+    "dup_report": dup_report,
+    "dup_show": dup_show,
+    "dup_items": dup_items,
+    "dedup_plan": dedup_plan,
+    "dedup_apply": dedup_apply,
+    "space_after": space_after,
+    "same_placement": same_placement,
+    "dedup_paths": dedup_paths,
+    "bags_json": bags_json,
 }
