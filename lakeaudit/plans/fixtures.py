@@ -120,6 +120,20 @@ def fuse_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.unionByName(per_source).unionByName(deep_atom).unionByName(deep_split)
 
 
+def pages_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as objects ``host/url-path`` (``index.html`` for a path
+    ending in ``/``); query and fragment are not part of the object key."""
+    p = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    upath = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    upath = F.when(upath == "", F.lit("/")).otherwise(upath)
+    full = F.concat(host, upath, F.when(upath.endswith("/"), F.lit("index.html")).otherwise(F.lit("")))
+    d = F.regexp_extract(full, r"^(.*)/[^/]*$", 1)
+    n = F.regexp_extract(full, r"([^/]*)$", 1)
+    return objects(p, dir=d, name=n, content="html", mod_ms=F.lit(BASE_MS) + F.col("page_id") * 1000,
+                   keep=["page_id"])
+
+
 def lineitem_rows(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
     """``lineitem`` rows as objects, in two versions of the table.
 

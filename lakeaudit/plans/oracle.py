@@ -250,6 +250,43 @@ SELECT coalesce(o.dir, s.dir) AS dir, coalesce(o.name, s.name) AS name,
             WHEN s.mod_ms < o.mod_ms THEN 'upd'
             ELSE 'old' END AS status
 FROM li_prev s FULL OUTER JOIN li_cur o ON s.dir = o.dir AND s.name = o.name""", ROWS),
+    "ignore_filter": _q("""
+SELECT path FROM observed
+WHERE NOT (name LIKE '%7.txt' OR split_part(path, '/', 1) = 'src1'
+           OR (dir = 'src2/en' AND name LIKE 'd1%.txt') OR dir = 'src3/de')"""),
+    "show_ignored": _q("""
+SELECT DISTINCT split_part(path, '/', 1) AS path, 'dir' AS kind FROM observed WHERE split_part(path, '/', 1) = 'src1'
+UNION SELECT DISTINCT dir AS path, 'dir' AS kind FROM observed WHERE dir = 'src3/de'
+UNION SELECT path, 'file' AS kind FROM observed
+WHERE split_part(path, '/', 1) <> 'src1' AND dir <> 'src3/de'
+  AND (name LIKE '%7.txt' OR (dir = 'src2/en' AND name LIKE 'd1%.txt'))"""),
+    "max_depth": """
+WITH p AS (
+  SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host,
+         CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/'
+              ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END AS upath
+  FROM pages
+), f AS (
+  SELECT host || upath || CASE WHEN ends_with(upath, '/') THEN 'index.html' ELSE '' END AS path FROM p
+)
+SELECT path, CAST(len(string_split(path, '/')) AS BIGINT) AS depth FROM f
+WHERE len(string_split(path, '/')) <= 3""",
+    "nearest_root": _with("""
+SELECT o.path, b.root, b.kind FROM observed o LEFT JOIN best b USING (path)""", BASE, r"""
+roots AS (SELECT * FROM (VALUES ('src1', 'split'), ('src1', 'atom'), ('src1/en', 'split'), ('src2', 'atom')) v(root, kind)),
+anc AS (
+  SELECT t.path, array_to_string(t.parts[1:g.i], '/') AS anc, g.i AS depth
+  FROM (SELECT path, string_split(dir, '/') AS parts FROM observed) t,
+       LATERAL (SELECT unnest(generate_series(1, len(t.parts))) AS i) g
+),
+cand AS (
+  SELECT a.path, r.root, r.kind, a.depth * 10 + CASE WHEN r.kind = 'atom' THEN 2 ELSE 1 END AS rk
+  FROM anc a JOIN roots r ON a.anc = r.root
+),
+best AS (SELECT path, arg_max(root, rk) AS root, arg_max(kind, rk) AS kind FROM cand GROUP BY path)"""),
+    "relativize": _q("""
+SELECT path, CASE WHEN path = 'src1' THEN '.' WHEN starts_with(path, 'src1/') THEN substr(path, 6) END AS rel
+FROM observed"""),
     "dup_bags": _d("""
 SELECT hash, arg_min(size, path) FILTER (WHERE size >= 0) AS size, CAST(count(*) AS BIGINT) AS n
 FROM items GROUP BY hash

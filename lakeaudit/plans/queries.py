@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from lakeaudit.operators import audit as A
 from lakeaudit.operators import dups as D
+from lakeaudit.operators import ignore as I
+from lakeaudit.operators import roots as R
+from lakeaudit.functions.paths import relativize as _relativize
 from lakeaudit.plans import fixtures as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +139,28 @@ def bags_json(spark, sf_dir):
     return D.bags_json(_items(spark, sf_dir), _bags(spark, sf_dir))
 
 
+# --------------------------------------------------------------- ignore
+def ignore_filter(spark, sf_dir):
+    return I.apply_ignore(FX.observed(spark, sf_dir), FX.rules(spark)).select("path")
+
+
+def show_ignored(spark, sf_dir):
+    return I.show_ignored(FX.observed(spark, sf_dir), FX.rules(spark))
+
+
+def max_depth(spark, sf_dir):
+    from lakeaudit.functions.paths import depth
+    return I.max_depth(FX.pages_objects(spark, sf_dir), 3).select("path", depth("path").cast("bigint").alias("depth"))
+
+
+def nearest_root(spark, sf_dir):
+    return R.nearest_root(FX.observed(spark, sf_dir).select("path"), FX.roots(spark))
+
+
+def relativize(spark, sf_dir):
+    return FX.observed(spark, sf_dir).select("path", _relativize("path", "src1").alias("rel"))
+
+
 QUERIES: dict[str, Query] = {
     "audit_status": audit_status,
     "audit_summary": audit_summary,
@@ -160,4 +185,9 @@ QUERIES: dict[str, Query] = {
     "same_placement": same_placement,
     "dedup_paths": dedup_paths,
     "bags_json": bags_json,
+    "ignore_filter": ignore_filter,
+    "show_ignored": show_ignored,
+    "max_depth": max_depth,
+    "nearest_root": nearest_root,
+    "relativize": relativize,
 }
