@@ -35,6 +35,12 @@ def join_path(dir_, name) -> Column:
     return F.concat_ws("/", d, _c(name))
 
 
+def join_dirs(*parts) -> Column:
+    """Join directory parts with ``/``, skipping empty ones (``''`` is the root)."""
+    cols = [_c(p) for p in parts]
+    return F.concat_ws("/", *[F.when(c != "", c) for c in cols])
+
+
 def path_parts(path) -> Column:
     return F.split(_c(path), "/")
 

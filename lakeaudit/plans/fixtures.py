@@ -99,7 +99,7 @@ def fuse_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     * the fuse root's own manifest (``source_root=''``, the stored snapshot),
       which fuse does not take;
-    * one split manifest per source directory (current hashes);
+    * one atom manifest per source directory (current hashes);
     * one atom manifest per ``source/en`` directory (stored hashes), deeper,
       so it wins for those directories;
     * a split manifest in the same ``source/en`` directories, which the atom
@@ -111,7 +111,7 @@ def fuse_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = s.select(F.lit("").alias("source_root"), F.lit("split").alias("kind"), "dir", *cols)
     src = F.regexp_extract("dir", r"^([^/]*)", 1)
     rest = F.regexp_extract("dir", r"^[^/]*/?(.*)$", 1)
-    per_source = o.select(src.alias("source_root"), F.lit("split").alias("kind"), rest.alias("dir"), *cols)
+    per_source = o.select(src.alias("source_root"), F.lit("atom").alias("kind"), rest.alias("dir"), *cols)
     en = s.where(F.col("dir").endswith("/en"))
     deep_atom = en.select(F.col("dir").alias("source_root"), F.lit("atom").alias("kind"), F.lit("").alias("dir"), *cols)
     deep_split = o.where(F.col("dir").endswith("/en")).select(
@@ -134,6 +134,15 @@ def pages_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
                    keep=["page_id"])
 
 
+def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte sizes of the documents and four derived magnitudes (x1031,
+    x1048583, x1073741831, cubed) so that every unit occurs."""
+    d = table(spark, sf_dir, "documents")
+    s = F.octet_length("text").cast("bigint")
+    return d.select("doc_id", s.alias("s_b"), (s * 1031).alias("s_k"), (s * 1048583).alias("s_m"),
+                    (s * 1073741831).alias("s_g"), (s * s * s).alias("s_c"))
+
+
 def lineitem_rows(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
     """``lineitem`` rows as objects, in two versions of the table.
 

@@ -182,6 +182,93 @@ def fmt_sql(x: str) -> str:
     return "".join(out)
 
 
+SEAL = r"""
+entry_h AS (
+  SELECT dir, md5(concat_ws(chr(31), name, CAST(mod_ms AS VARCHAR), coalesce(algo, '\N'), coalesce(hash, '\N'),
+                            coalesce(CAST(size AS VARCHAR), '\N'))) AS h
+  FROM observed
+),
+seals AS (
+  SELECT dir, CAST(count(*) AS VARCHAR) || ':' || CAST(sum(('0x' || substr(h, 1, 8))::BIGINT) AS VARCHAR)
+         || ':' || CAST(sum(('0x' || substr(h, 9, 8))::BIGINT) AS VARCHAR)
+         || ':' || CAST(sum(('0x' || substr(h, 17, 8))::BIGINT) AS VARCHAR)
+         || ':' || CAST(sum(('0x' || substr(h, 25, 8))::BIGINT) AS VARCHAR) AS seal
+  FROM entry_h GROUP BY dir
+),
+stored_h AS (
+  SELECT dir, md5(concat_ws(chr(31), name, CAST(mod_ms AS VARCHAR), coalesce(algo, '\N'), coalesce(hash, '\N'),
+                            coalesce(CAST(size AS VARCHAR), '\N'))) AS h
+  FROM stored
+),
+stored_seals AS (
+  SELECT dir, CAST(count(*) AS VARCHAR) || ':' || CAST(sum(('0x' || substr(h, 1, 8))::BIGINT) AS VARCHAR)
+         || ':' || CAST(sum(('0x' || substr(h, 9, 8))::BIGINT) AS VARCHAR)
+         || ':' || CAST(sum(('0x' || substr(h, 17, 8))::BIGINT) AS VARCHAR)
+         || ':' || CAST(sum(('0x' || substr(h, 25, 8))::BIGINT) AS VARCHAR) AS seal
+  FROM stored_h GROUP BY dir
+)"""
+
+FUSE = r"""
+src AS (
+  SELECT '' AS source_root, 'split' AS kind, dir, name, mod_ms, algo, hash, size FROM stored
+  UNION ALL
+  SELECT split_part(dir, '/', 1), 'atom', regexp_extract(dir, '^[^/]*/?(.*)$', 1), name, mod_ms, algo, hash, size
+  FROM observed
+  UNION ALL
+  SELECT dir, 'atom', '', name, mod_ms, algo, hash, size FROM stored WHERE ends_with(dir, '/en')
+  UNION ALL
+  SELECT dir, 'split', '', name, mod_ms, algo, md5(concat(hash, 'split')), size FROM observed WHERE ends_with(dir, '/en')
+),
+taken AS (
+  SELECT * FROM src
+  WHERE source_root <> ''
+    AND (kind = 'atom' OR source_root NOT IN (SELECT source_root FROM src WHERE kind = 'atom'))
+),
+fsrc AS (
+  SELECT *, CASE WHEN dir = '' THEN source_root ELSE source_root || '/' || dir END AS fdir,
+         len(string_split(source_root, '/')) AS depth
+  FROM taken
+),
+fwin AS (SELECT fdir, max(depth) AS depth FROM fsrc GROUP BY fdir)"""
+
+RATES = r"""
+ev AS (SELECT event_type AS key, epoch_ms(ts) AS t, CAST(round(value * 100) AS BIGINT) AS v FROM events),
+bounds AS (
+  SELECT min(t) AS lo, max(t) AS hi, greatest((max(t) - min(t) + 3599999) // 3600000 - 1, 0) AS open_b FROM ev
+),
+bagg AS (
+  SELECT key, greatest((ev.t - b.lo + 3599999) // 3600000 - 1, 0) AS bucket,
+         count(*) AS events, sum(v) AS value_cents
+  FROM ev, bounds b
+  WHERE ev.t > b.lo + (b.open_b - 24) * 3600000 AND ev.t <= b.lo + b.open_b * 3600000
+  GROUP BY ALL
+),
+slots AS (
+  SELECT k.key, s.slot, b.open_b - 24 + s.slot AS bucket
+  FROM (SELECT DISTINCT key FROM ev) k, bounds b, range(0, 24) s(slot)
+),
+rb AS (
+  SELECT s.key, CAST(s.slot AS BIGINT) AS slot, CAST(s.bucket AS BIGINT) AS bucket,
+         CAST(coalesce(a.events, 0) AS BIGINT) AS events, CAST(coalesce(a.value_cents, 0) AS BIGINT) AS value_cents
+  FROM slots s LEFT JOIN bagg a ON s.key = a.key AND s.bucket = a.bucket
+)"""
+
+SIZES = r"""
+sz AS (
+  SELECT doc_id, CAST(strlen(text) AS BIGINT) AS s_b, CAST(strlen(text) AS BIGINT) * 1031 AS s_k,
+         CAST(strlen(text) AS BIGINT) * 1048583 AS s_m, CAST(strlen(text) AS BIGINT) * 1073741831 AS s_g,
+         CAST(strlen(text) AS BIGINT) * strlen(text) * strlen(text) AS s_c
+  FROM documents
+)"""
+
+
+def parse_sql(x: str) -> str:
+    mult = ("CASE upper(right({x}, 1)) WHEN 'B' THEN 1 WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 "
+            "WHEN 'G' THEN 1073741824 WHEN 'T' THEN 1099511627776 END").format(x=x)
+    return (f"CAST(trunc(TRY_CAST(CASE WHEN length({x}) > 1 THEN left({x}, length({x}) - 1) END AS DOUBLE)"
+            f" * CAST({mult} AS DOUBLE)) AS BIGINT)")
+
+
 def _with(body: str, *ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + body
 
@@ -287,6 +374,39 @@ best AS (SELECT path, arg_max(root, rk) AS root, arg_max(kind, rk) AS kind FROM
     "relativize": _q("""
 SELECT path, CASE WHEN path = 'src1' THEN '.' WHEN starts_with(path, 'src1/') THEN substr(path, 6) END AS rel
 FROM observed"""),
+    "seal": _with("SELECT dir, seal FROM seals", BASE, SEAL),
+    "verify_seal": _with("""
+SELECT coalesce(s.dir, n.dir) AS dir, coalesce(s.seal = n.seal, false) AS verified,
+       CASE WHEN coalesce(s.seal = n.seal, false) THEN NULL ELSE 'ERX' END AS status
+FROM seals s FULL OUTER JOIN stored_seals n ON s.dir = n.dir""", BASE, SEAL),
+    "fuse": _with("""
+SELECT f.fdir AS dir, f.name, f.fdir || '/' || f.name AS path, f.mod_ms, f.algo, f.hash, f.size, f.source_root
+FROM fsrc f JOIN fwin w ON f.fdir = w.fdir AND f.depth = w.depth""", BASE, FUSE),
+    "fuse_count": _with("SELECT CAST(count(*) AS BIGINT) AS fused FROM (SELECT DISTINCT source_root, dir FROM taken)",
+                        BASE, FUSE),
+    "rate_buckets": _with("SELECT key, slot, bucket, events, value_cents FROM rb", RATES),
+    "rate_totals": _with("""
+SELECT key, CAST(count(*) FILTER (WHERE t <= b.lo + b.open_b * 3600000) AS BIGINT) AS closed,
+       CAST(count(*) FILTER (WHERE t > b.lo + b.open_b * 3600000) AS BIGINT) AS current,
+       CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) AS DOUBLE) * CAST(1000 AS DOUBLE) / CAST(greatest(b.hi - b.lo, 1) AS DOUBLE) AS per_sec
+FROM ev, bounds b GROUP BY key, b.lo, b.hi, b.open_b""", RATES),
+    "rate_levels": _with("""
+SELECT rb.key, rb.slot, rb.events,
+       CAST(CASE WHEN m.hi = m.lo THEN 0
+            ELSE round(CAST(rb.events - m.lo AS DOUBLE) * (CAST(7 AS DOUBLE) / CAST(m.hi - m.lo AS DOUBLE))) END
+            AS BIGINT) AS level
+FROM rb JOIN (SELECT key, min(events) AS lo, max(events) AS hi FROM rb GROUP BY key) m ON rb.key = m.key""", RATES),
+    "format_size": _with(f"""
+SELECT doc_id, {fmt_sql('s_b')} AS f_b, {fmt_sql('s_k')} AS f_k, {fmt_sql('s_m')} AS f_m,
+       {fmt_sql('s_g')} AS f_g, {fmt_sql('s_c')} AS f_c
+FROM sz""", SIZES),
+    "parse_size": _with(f"""
+SELECT doc_id, {parse_sql(fmt_sql('s_b'))} AS p_b, {parse_sql(fmt_sql('s_k'))} AS p_k,
+       {parse_sql(fmt_sql('s_m'))} AS p_m, {parse_sql(fmt_sql('s_g'))} AS p_g, {parse_sql(fmt_sql('s_c'))} AS p_c
+FROM sz""", SIZES),
+    "content_hash": """
+SELECT doc_id, 'md5' AS algo, md5(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents""",
     "dup_bags": _d("""
 SELECT hash, arg_min(size, path) FILTER (WHERE size >= 0) AS size, CAST(count(*) AS BIGINT) AS n
 FROM items GROUP BY hash

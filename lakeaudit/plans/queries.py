@@ -16,6 +16,11 @@ from lakeaudit.operators import dups as D
 from lakeaudit.operators import ignore as I
 from lakeaudit.operators import roots as R
 from lakeaudit.functions.paths import relativize as _relativize
+from lakeaudit.functions.sizes import format_size as _fmt, parse_size as _parse
+from lakeaudit.functions.hashing import content_hash as _chash
+from lakeaudit.operators import seal as S
+from lakeaudit.operators import fuse as U
+from lakeaudit.operators import rates as RT
 from lakeaudit.plans import fixtures as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +166,66 @@ def relativize(spark, sf_dir):
     return FX.observed(spark, sf_dir).select("path", _relativize("path", "src1").alias("rel"))
 
 
+# ------------------------------------------------- manifests as data
+def seal(spark, sf_dir):
+    return S.seal(FX.observed(spark, sf_dir))
+
+
+def verify_seal(spark, sf_dir):
+    return S.verify_seal(FX.stored(spark, sf_dir), S.seal(FX.observed(spark, sf_dir)))
+
+
+def fuse(spark, sf_dir):
+    return U.fuse(FX.fuse_sources(spark, sf_dir))
+
+
+def fuse_count(spark, sf_dir):
+    return U.fuse_count(FX.fuse_sources(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- rates
+HOUR_MS = 3_600_000
+RATE_SLOTS = 24
+
+
+def rate_buckets(spark, sf_dir):
+    return RT.rate_buckets(FX.table(spark, sf_dir, "events"), "ts", "event_type", "value", HOUR_MS, RATE_SLOTS)
+
+
+def rate_totals(spark, sf_dir):
+    return RT.rate_totals(FX.table(spark, sf_dir, "events"), "ts", "event_type", HOUR_MS)
+
+
+def rate_levels(spark, sf_dir):
+    return RT.rate_levels(rate_buckets(spark, sf_dir), "events")
+
+
+# ----------------------------------------------------- scalar functions
+_SIZE_COLS = ["s_b", "s_k", "s_m", "s_g", "s_c"]
+
+
+def format_size(spark, sf_dir):
+    d = FX.document_sizes(spark, sf_dir)
+    return d.select("doc_id", *[_fmt(c).alias("f" + c[1:]) for c in _SIZE_COLS])
+
+
+def parse_size(spark, sf_dir):
+    d = FX.document_sizes(spark, sf_dir)
+    return d.select("doc_id", *[_parse(_fmt(c)).alias("p" + c[1:]) for c in _SIZE_COLS])
+
+
+def content_hash(spark, sf_dir):
+    d = FX.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.lit("md5").alias("algo"), _chash("text", "md5").alias("hash"),
+                    F.octet_length("text").cast("bigint").alias("size"))
+
+
+def content_hash_sha512(spark, sf_dir):
+    d = FX.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.lit("sha512").alias("algo"), _chash("text", "sha512").alias("hash"),
+                    F.octet_length("text").cast("bigint").alias("size"))
+
+
 QUERIES: dict[str, Query] = {
     "audit_status": audit_status,
     "audit_summary": audit_summary,
@@ -190,4 +255,15 @@ QUERIES: dict[str, Query] = {
     "max_depth": max_depth,
     "nearest_root": nearest_root,
     "relativize": relativize,
+    "seal": seal,
+    "verify_seal": verify_seal,
+    "fuse": fuse,
+    "fuse_count": fuse_count,
+    "rate_buckets": rate_buckets,
+    "rate_totals": rate_totals,
+    "rate_levels": rate_levels,
+    "format_size": format_size,
+    "parse_size": parse_size,
+    "content_hash": content_hash,
+    "content_hash_sha512": content_hash_sha512,
 }
