@@ -69,6 +69,8 @@ def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: b
     algorithm of each entry, H3) or ready ``algo``/``hash`` columns.
     """
     algo = check_algo(algo)
+    if "error" not in observed.columns:
+        observed = observed.withColumn("error", F.lit(None).cast("string"))
     if "content" in observed.columns:
         if skip_existing:
             observed = _skip_unchanged(observed, stored)
@@ -79,8 +81,6 @@ def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: b
         obs = observed.withColumnRenamed("hash", "_h_given").withColumnRenamed("algo", "_a_given")
         hash_cols = ["_h_given", "_a_given"]
         hashes = None
-    if "error" not in obs.columns:
-        obs = obs.withColumn("error", F.lit(None).cast("string"))
 
     a = stored.select(
         "path", F.col("dir").alias("a_dir"), F.col("name").alias("a_name"),
