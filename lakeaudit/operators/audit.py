@@ -54,7 +54,7 @@ def _skip_unchanged(observed: DataFrame, stored: DataFrame) -> DataFrame:
     The changed key set is broadcast when its size is checked small."""
     keys = stored.select("path", "mod_ms")
     changed = observed.select("path", "mod_ms").join(keys, ["path", "mod_ms"], "left_anti").select("path")
-    to_hash = observed.join(broadcast_if_small(changed), "path", "left_semi")
+    to_hash = observed.join(broadcast_if_small(changed, materialize=True), "path", "left_semi")
     unchanged = (observed.join(keys, ["path", "mod_ms"], "left_semi")
                  .withColumn("content", F.lit(None).cast(observed.schema["content"].dataType))
                  .withColumn("error", F.lit(None).cast("string")))
@@ -62,11 +62,14 @@ def _skip_unchanged(observed: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: bool = False,
-          keep_missing: bool = False, log_deleted: bool = True, skip_existing: bool = False) -> DataFrame:
+          keep_missing: bool = False, log_deleted: bool = True, skip_existing: bool = False,
+          algos: list[str] | None = None) -> DataFrame:
     """Audit table: one row per path seen on either side (see module doc).
 
     ``observed`` carries either ``content`` (hashed here with the stored
     algorithm of each entry, H3) or ready ``algo``/``hash`` columns.
+    ``algos``: the algorithms used in ``stored`` when known (e.g. kept with
+    the snapshot); otherwise one pass over its ``algo`` column finds them.
     """
     algo = check_algo(algo)
     if "error" not in observed.columns:
@@ -74,7 +77,7 @@ def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: b
     if "content" in observed.columns:
         if skip_existing:
             observed = _skip_unchanged(observed, stored)
-        algos = sorted(set([algo] + _stored_algos(stored)))
+        algos = sorted(set([algo] + (algos if algos is not None else _stored_algos(stored))))
         obs, hashes = _hash_observed(observed, algos)
         hash_cols = [f"_h_{a}" for a in hashes]
     else:

@@ -21,9 +21,21 @@ from lakeaudit.session import conf_int
 SALT = "_salt"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None, materialize: bool = False) -> DataFrame:
+    """Broadcast ``df`` when it has at most ``max_rows`` rows.
+
+    ``materialize``: for a derived frame (not a small input table), write it
+    once to the shared checkpoint folder first, so that counting it and
+    using it do not compute it twice, and a lost executor does not replay
+    its lineage.
+    """
     spark = df.sparkSession
     limit = max_rows if max_rows is not None else conf_int(spark, "broadcastMaxRows")
+    if materialize:
+        from lakeaudit.session import checkpoint_dir
+
+        checkpoint_dir(spark)
+        df = df.checkpoint(eager=True)
     n = df.count()
     return F.broadcast(df) if n <= limit else df
 

@@ -45,9 +45,20 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_objects(spark, sf_dir, "md5")
 
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The older snapshot: every audit case occurs in it."""
-    o = observed(spark, sf_dir)
+def stored(spark: SparkSession, sf_dir: str, sha512_suffix: str | None = None) -> DataFrame:
+    """The older snapshot: every audit case occurs in it.
+
+    ``sha512_suffix``: directories ending so were hashed with sha512 then
+    (a lake whose algorithm changed over time).
+    """
+    if sha512_suffix is None:
+        o = observed(spark, sf_dir)
+    else:
+        c = documents_objects(spark, sf_dir, algo=None)
+        sha = F.col("dir").endswith(sha512_suffix)
+        o = c.select("dir", "name", "path", "mod_ms", "size", "doc_id",
+                     F.when(sha, F.lit("sha512")).otherwise(F.lit("md5")).alias("algo"),
+                     F.when(sha, F.sha2("content", 512)).otherwise(F.md5("content")).alias("hash"))
     i = F.col("doc_id")
     r23, r29 = F.pmod(i, 23), F.pmod(i, 29)
     mod = (F.when((r23 == 0) | ((r23 > 2) & (r29 == 0)), F.col("mod_ms") - 1000)

@@ -407,6 +407,33 @@ SELECT doc_id, {parse_sql(fmt_sql('s_b'))} AS p_b, {parse_sql(fmt_sql('s_k'))} A
 FROM sz""", SIZES),
     "content_hash": """
 SELECT doc_id, 'md5' AS algo, md5(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents""",
+    "select_hashes": _d("""
+SELECT hash, size, n_items, n_classes, merged_n, size * merged_n AS shared, size * n_classes AS exclusive,
+       ext_unknown, merged_n > 0 AS has_merged
+FROM bags WHERE hash IN (SELECT hash FROM bitems WHERE contains(path, '/de/'))"""),
+    "status_flags": _q("""
+SELECT path, status, status IN ('PNC', 'DMG', 'ERX', 'old') AS is_error_or_warning,
+       status IN ('ok', 'ign') AS is_verbose
+FROM aud"""),
+    "legacy_size_fill": _with("""
+SELECT hash, size, n_items, n_items AS n_classes, CAST(0 AS BIGINT) AS merged_n, size * 0 AS shared,
+       size * n_items AS exclusive, true AS ext_unknown, false AS has_merged
+FROM lb WHERE n_all >= 2 AND n_items >= 2 AND size >= 256""", BASE, r"""
+lman AS (
+  SELECT path, hash, CASE WHEN ends_with(dir, '/fr') THEN NULL ELSE size END AS size FROM stored
+),
+litems AS (
+  SELECT m.hash, m.path, m.size, o.path IS NOT NULL AS present, o.size AS lsize
+  FROM lman m LEFT JOIN observed o ON m.path = o.path
+  WHERE m.hash IS NOT NULL AND NOT coalesce(m.size >= 0 AND m.size < 256, false)
+),
+lb AS (
+  SELECT hash, count(*) AS n_all, CAST(count(*) FILTER (WHERE present) AS BIGINT) AS n_items,
+         coalesce(arg_min(size, path) FILTER (WHERE size >= 0),
+                  arg_min(lsize, path) FILTER (WHERE present AND lsize IS NOT NULL)) AS size
+  FROM litems GROUP BY hash
+)"""),
+    "dir_lists": _q("SELECT dir, subdir FROM current_pairs"),
     "dup_bags": _d("""
 SELECT hash, arg_min(size, path) FILTER (WHERE size >= 0) AS size, CAST(count(*) AS BIGINT) AS n
 FROM items GROUP BY hash

@@ -226,6 +226,35 @@ def content_hash_sha512(spark, sf_dir):
                     F.octet_length("text").cast("bigint").alias("size"))
 
 
+# ------------------------------------------------------------- further
+def select_hashes(spark, sf_dir):
+    requested = _items(spark, sf_dir).where(F.col("path").contains("/de/")).select("hash")
+    return D.select_hashes(_bags(spark, sf_dir), requested).drop("win_key")
+
+
+def status_flags(spark, sf_dir):
+    from lakeaudit.functions.status import is_error_or_warning, is_verbose
+    ev = A.events(_audit_table(spark, sf_dir))
+    return ev.select("path", "status", is_error_or_warning("status").alias("is_error_or_warning"),
+                     is_verbose("status").alias("is_verbose"))
+
+
+def legacy_size_fill(spark, sf_dir):
+    legacy = FX.stored(spark, sf_dir).withColumn(
+        "size", F.when(F.col("dir").endswith("/fr"), F.lit(None).cast("bigint")).otherwise(F.col("size")))
+    listing = FX.observed(spark, sf_dir).select("path", "size")
+    return D.dup_space(legacy, None, listing, min_size=FX.DUP_MIN_SIZE).drop("win_key")
+
+
+def dir_lists(spark, sf_dir):
+    return A.dir_pairs(FX.observed(spark, sf_dir))
+
+
+def rehash_algo(spark, sf_dir):
+    t = A.audit(FX.stored(spark, sf_dir, sha512_suffix="/de"), FX.documents_objects(spark, sf_dir, algo=None))
+    return t.where(F.col("status").isNotNull()).select("path", "status", "algo", "hash")
+
+
 QUERIES: dict[str, Query] = {
     "audit_status": audit_status,
     "audit_summary": audit_summary,
@@ -266,4 +295,9 @@ QUERIES: dict[str, Query] = {
     "parse_size": parse_size,
     "content_hash": content_hash,
     "content_hash_sha512": content_hash_sha512,
+    "select_hashes": select_hashes,
+    "status_flags": status_flags,
+    "legacy_size_fill": legacy_size_fill,
+    "dir_lists": dir_lists,
+    "rehash_algo": rehash_algo,
 }

@@ -119,3 +119,16 @@ def test_report_filters(spark):
                                "path string, status string")
     assert sorted(r[0] for r in A.report(ev).collect()) == ["p2", "p3"]
     assert sorted(r[0] for r in A.report(ev, verbose=True, hide_new=True).collect()) == ["p1", "p3", "p4"]
+
+
+def test_rehash_with_stored_algo(spark):
+    """H3: entries stored with sha512 are re-hashed with sha512; statuses equal the md5 run."""
+    plain = A.audit(FX.stored(spark, SF001), FX.documents_objects(spark, SF001, algo=None))
+    mixed = A.audit(FX.stored(spark, SF001, sha512_suffix="/de"), FX.documents_objects(spark, SF001, algo=None))
+    a = {r["path"]: r["status"] for r in A.events(plain).collect()}
+    b = {r["path"]: r["status"] for r in A.events(mixed).collect()}
+    assert a == b
+    nm = A.next_manifest(mixed)
+    de = nm.where(F.col("dir").endswith("/de"))
+    assert de.count() > 0 and de.where("algo <> 'sha512' OR length(hash) <> 128").count() == 0
+    assert nm.where(~F.col("dir").endswith("/de") & (F.col("algo") != "md5")).count() == 0
