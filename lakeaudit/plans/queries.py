@@ -210,8 +210,9 @@ def format_size(spark, sf_dir):
 
 
 def parse_size(spark, sf_dir):
-    d = FX.document_sizes(spark, sf_dir)
-    return d.select("doc_id", *[_parse(_fmt(c)).alias("p" + c[1:]) for c in _SIZE_COLS])
+    # two projections: the formatted text is computed once and parsed
+    f = format_size(spark, sf_dir)
+    return f.select("doc_id", *[_parse("f" + c[1:]).alias("p" + c[1:]) for c in _SIZE_COLS])
 
 
 def content_hash(spark, sf_dir):
