@@ -231,30 +231,35 @@ def changed_dirs(table: DataFrame, stored_dirs: DataFrame | None = None,
     return by_entry.union(dirlist_changed(stored_dirs, current_dirs, keep_missing=keep_missing)).distinct()
 
 
-def run_summary(table: DataFrame, changed: DataFrame | None = None, dir_events: DataFrame | None = None,
+def run_summary(table: DataFrame, dirlist_changed: DataFrame | None = None, dir_events: DataFrame | None = None,
                 hide_new: bool = False) -> DataFrame:
     """Run counters (A1): total, new, upd (upd + old), del, changed dirs.
 
-    Entry rows, directory events and changed directories are tagged and
-    unioned, then counted in one global aggregation (partial per task).
+    One pass over the audit table: entry rows, directory events and
+    directories whose subdirectory list changed are tagged, unioned and
+    counted in one global aggregation; changed directories are a
+    ``count_distinct`` (partial per task, so a hot directory is deduplicated
+    map-side).
     """
-    parts = [table.select(F.lit("e").alias("_src"), "status", "counted")]
+    cols = ["_src", "status", "counted", "_cdir"]
+    parts = [table.select(F.lit("e").alias("_src"), "status", "counted",
+                          F.when(F.col("modified"), F.col("dir")).alias("_cdir"))]
     if dir_events is not None:
-        parts.append(dir_events.select(F.lit("d").alias("_src"), "status", F.lit(False).alias("counted")))
-    if changed is not None:
-        parts.append(changed.select(F.lit("c").alias("_src"), F.lit(None).cast("string").alias("status"),
-                                    F.lit(False).alias("counted")))
+        parts.append(dir_events.select(F.lit("d").alias("_src"), "status", F.lit(False).alias("counted"),
+                                       F.lit(None).cast("string").alias("_cdir")))
+    if dirlist_changed is not None:
+        parts.append(dirlist_changed.select(F.lit("c").alias("_src"), F.lit(None).cast("string").alias("status"),
+                                            F.lit(False).alias("counted"), F.col("dir").alias("_cdir")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    st, src = F.col("status"), F.col("_src")
-    changed_count = F.count_if(src == "c") if changed is not None else F.lit(None)
-    return u.agg(
+    st = F.col("status")
+    return u.select(*cols).agg(
         F.count_if(F.col("counted")).cast("bigint").alias("total"),
         (F.lit(0) if hide_new else F.count_if(st == Status.NEW)).cast("bigint").alias("new"),
         F.count_if(st.isin(Status.UPDATE, Status.OLD)).cast("bigint").alias("upd"),
         F.count_if(st == Status.DELETED).cast("bigint").alias("del"),
-        changed_count.cast("bigint").alias("changed_dirs"),
+        F.count_distinct("_cdir").cast("bigint").alias("changed_dirs"),
         F.count_if(st == Status.DAMAGE).cast("bigint").alias("damaged"),
         F.count_if(st == Status.PANIC).cast("bigint").alias("errors"),
     )

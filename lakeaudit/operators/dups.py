@@ -96,10 +96,10 @@ def placed_items(manifest: DataFrame, locations: DataFrame | None = None, listin
 
 def dup_space(manifest: DataFrame, locations: DataFrame | None = None, listing: DataFrame | None = None,
               min_size: int = DEFAULT_MIN_SIZE) -> DataFrame:
-    """A5-A7 + J7: one row per bag.
+    """A5-A7 + J7 + W1/W2: one row per bag.
 
     ``hash, size, n_items, n_classes, merged_n, shared, exclusive,
-    ext_unknown, has_merged, win_key``.
+    ext_unknown, has_merged, win_key, keeper``.
     """
     items = placed_items(manifest, locations, listing, min_size)
     pres = F.col("present")
@@ -119,6 +119,7 @@ def dup_space(manifest: DataFrame, locations: DataFrame | None = None, listing:
         F.min("first_listed").alias("first_listed"),
         F.bool_or("unk").alias("ext_unknown"),
         F.min(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("neg_n"), "cmin", "class_key"))).alias("win"),
+        F.min("cmin").alias("min_path"),
     )
     size = F.coalesce(F.col("first_sized.size"), F.col("first_listed.listed_size"))
     top = -F.col("win.neg_n")
@@ -127,29 +128,35 @@ def dup_space(manifest: DataFrame, locations: DataFrame | None = None, listing:
         bags.select(
             "hash", size.alias("size"), "n_all", "n_items", "n_classes",
             merged_n.alias("merged_n"), "ext_unknown", F.col("win.class_key").alias("win_key"),
+            # The keeper is the smallest merged path, else the smallest path
+            F.when(merged_n >= 2, F.col("win.cmin")).otherwise(F.col("min_path")).alias("keeper"),
         )
         .where((F.col("n_all") >= 2) & (F.col("n_items") >= 2) & (F.col("size") >= F.lit(min_size)))
         .select(
             "hash", "size", "n_items", "n_classes", "merged_n",
             (F.col("size") * F.col("merged_n")).alias("shared"),
             (F.col("size") * F.col("n_classes")).alias("exclusive"),
-            "ext_unknown", (F.col("merged_n") > 0).alias("has_merged"), "win_key",
+            "ext_unknown", (F.col("merged_n") > 0).alias("has_merged"), "win_key", "keeper",
         )
     )
 
 
 def dup_items(manifest: DataFrame, bags: DataFrame, locations: DataFrame | None = None,
               listing: DataFrame | None = None, min_size: int = DEFAULT_MIN_SIZE) -> DataFrame:
-    """Items of the bags with their merged flag: ``hash, path, size, merged``.
+    """Items of the bags: ``hash, path, size, merged, keeper, shared,
+    exclusive, ext_unknown``.
 
-    The bag row is looked up with a salted join on ``hash`` (hot digests are
-    spread over ``spark.lakeaudit.saltBuckets`` tasks).
+    The bag row is looked up once, with a salted join on ``hash`` (hot
+    digests are spread over ``spark.lakeaudit.saltBuckets`` tasks); the plan
+    (D1) and the JSON lines (K5) are projections of this.
     """
     items = placed_items(manifest, locations, listing, min_size).where("present")
-    b = bags.select("hash", F.col("size").alias("bag_size"), "merged_n", "win_key")
+    b = bags.select("hash", F.col("size").alias("bag_size"), "merged_n", "win_key", "keeper",
+                    "shared", "exclusive", "ext_unknown")
     j = salted_join(items, b, ["hash"], "inner", spread_by="path")
     merged = (F.col("class_key") == F.col("win_key")) & (F.col("merged_n") >= 2)
-    return j.select("hash", "path", F.col("bag_size").alias("size"), merged.alias("merged"))
+    return j.select("hash", "path", F.col("bag_size").alias("size"), merged.alias("merged"), "keeper",
+                    "shared", "exclusive", "ext_unknown")
 
 
 def dup_show(bags: DataFrame) -> DataFrame:
@@ -205,7 +212,13 @@ def select_hashes(bags: DataFrame, hashes: DataFrame | None) -> DataFrame:
 
 def dedup_plan(items: DataFrame) -> DataFrame:
     """Per bag a keeper (merged items first, then smallest path) and
-    one row ``hash, keeper, duplicate, bytes`` per item still to merge."""
+    one row ``hash, keeper, duplicate, bytes`` per item still to merge.
+
+    Items from ``dup_items`` already carry their bag's keeper, so this is a
+    filter; for other item tables the keeper is aggregated and looked up."""
+    if "keeper" in items.columns:
+        return items.where(~F.col("merged") & (F.col("path") != F.col("keeper"))).select(
+            "hash", "keeper", F.col("path").alias("duplicate"), F.col("size").alias("bytes"))
     keepers = items.groupBy("hash").agg(F.min(F.struct((~F.col("merged")).alias("nm"), "path")).alias("k")).select(
         "hash", F.col("k.path").alias("keeper"))
     todo = items.where(~F.col("merged"))
@@ -253,10 +266,8 @@ def same_placement(bags: DataFrame) -> DataFrame:
     return bags.select("hash", ((F.col("n_classes") == 1) & ~F.col("ext_unknown")).alias("same"))
 
 
-def bags_json(items: DataFrame, bags: DataFrame) -> DataFrame:
-    """K5: one JSON line per bag item (no per-bag list is built)."""
-    b = bags.select("hash", "shared", "exclusive", "ext_unknown")
-    j = salted_join(items, b, ["hash"], "inner", spread_by="path")
-    return j.select(F.to_json(F.struct(
+def bags_json(items: DataFrame) -> DataFrame:
+    """K5: one JSON line per bag item of ``dup_items`` (no per-bag list is built)."""
+    return items.select(F.to_json(F.struct(
         "hash", "size", "shared", "exclusive", F.col("ext_unknown").alias("extUnknown"),
         "path", "merged")).alias("json"))

@@ -47,7 +47,7 @@ def changed_dirs(spark, sf_dir):
 def audit_summary(spark, sf_dir):
     t = _audit_table(spark, sf_dir)
     sd, cd = _dir_context(spark, sf_dir)
-    return A.run_summary(t, changed=A.changed_dirs(t, sd, cd), dir_events=A.vanished_dirs(sd, cd))
+    return A.run_summary(t, dirlist_changed=A.dirlist_changed(sd, cd), dir_events=A.vanished_dirs(sd, cd))
 
 
 def verdict(spark, sf_dir):
@@ -104,7 +104,7 @@ def dup_bags(spark, sf_dir):
 
 
 def dup_space(spark, sf_dir):
-    return _bags(spark, sf_dir).drop("win_key")
+    return _bags(spark, sf_dir).drop("win_key", "keeper")
 
 
 def dup_report(spark, sf_dir):
@@ -116,7 +116,7 @@ def dup_show(spark, sf_dir):
 
 
 def dup_items(spark, sf_dir):
-    return _items(spark, sf_dir)
+    return _items(spark, sf_dir).select("hash", "path", "size", "merged")
 
 
 def dedup_plan(spark, sf_dir):
@@ -141,7 +141,7 @@ def dedup_paths(spark, sf_dir):
 
 
 def bags_json(spark, sf_dir):
-    return D.bags_json(_items(spark, sf_dir), _bags(spark, sf_dir))
+    return D.bags_json(_items(spark, sf_dir))
 
 
 # --------------------------------------------------------------- ignore
@@ -230,7 +230,7 @@ def content_hash_sha512(spark, sf_dir):
 # ------------------------------------------------------------- further
 def select_hashes(spark, sf_dir):
     requested = _items(spark, sf_dir).where(F.col("path").contains("/de/")).select("hash")
-    return D.select_hashes(_bags(spark, sf_dir), requested).drop("win_key")
+    return D.select_hashes(_bags(spark, sf_dir), requested).drop("win_key", "keeper")
 
 
 def status_flags(spark, sf_dir):
@@ -244,7 +244,7 @@ def legacy_size_fill(spark, sf_dir):
     legacy = FX.stored(spark, sf_dir).withColumn(
         "size", F.when(F.col("dir").endswith("/fr"), F.lit(None).cast("bigint")).otherwise(F.col("size")))
     listing = FX.observed(spark, sf_dir).select("path", "size")
-    return D.dup_space(legacy, None, listing, min_size=FX.DUP_MIN_SIZE).drop("win_key")
+    return D.dup_space(legacy, None, listing, min_size=FX.DUP_MIN_SIZE).drop("win_key", "keeper")
 
 
 def dir_lists(spark, sf_dir):

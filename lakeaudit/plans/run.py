@@ -113,10 +113,12 @@ def update(spark: SparkSession, root: str, store: str, *, readonly: bool = False
     if log_deleted and not keep_missing:
         evts = _under_vanished(evts, A.vanished_dirs(stored_dirs, current_dirs))
     evts = evts.unionByName(vanished)
-    changed = A.changed_dirs(t, stored_dirs, current_dirs, keep_missing=keep_missing)
-    summary = A.run_summary(evts.join(t.select("path", "counted"), "path", "left")
-                            .withColumn("counted", F.coalesce("counted", F.lit(False))),
-                            changed=changed)
+    dl_changed = A.dirlist_changed(stored_dirs, current_dirs, keep_missing=keep_missing)
+    # entry counters from the audit table; deletions from the reported events
+    entries = t.join(evts.select("path", F.col("status").alias("_shown")), "path", "left").select(
+        "dir", "counted", "modified",
+        F.when(F.col("status") == Status.DELETED, F.col("_shown")).otherwise(F.col("status")).alias("status"))
+    summary = A.run_summary(entries, dirlist_changed=dl_changed, dir_events=vanished)
     nxt = A.next_manifest(t)
     if not readonly:
         sid = snapshot_id or str(int(K.current_id(spark, store)) + 1)
