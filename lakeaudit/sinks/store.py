@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeaudit.schema import MANIFEST_COLUMNS, MANIFEST_SCHEMA
 from lakeaudit.operators.joins import salted_join
@@ -44,7 +45,8 @@ def current_id(spark: SparkSession, store: str) -> str:
 def read_current(spark: SparkSession, store: str) -> DataFrame:
     """The published manifest (partition pruning reads one snapshot)."""
     sid = current_id(spark, store)
-    return (spark.read.schema(MANIFEST_SCHEMA.add("snapshot", "string")).parquet(f"{store}/snapshots")
+    schema = T.StructType(MANIFEST_SCHEMA.fields + [T.StructField("snapshot", T.StringType())])
+    return (spark.read.schema(schema).parquet(f"{store}/snapshots")
             .where(F.col("snapshot") == sid).select(*MANIFEST_COLUMNS))
 
 
