@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.sizes import format_size
-from lakeaudit.operators.joins import broadcast_if_small, salted_join
+from lakeaudit.operators.joins import lookup_join, salted_join
 
 DEFAULT_MIN_SIZE = 8192
 UNKNOWN_PREFIX = "\u0001"
@@ -207,7 +207,7 @@ def select_hashes(bags: DataFrame, hashes: DataFrame | None) -> DataFrame:
     unknown = req.join(bags.select("hash"), "hash", "left_anti").limit(1).collect()
     if unknown:
         raise KeyError(f"no duplicate bag for hash {unknown[0][0]}")
-    return bags.join(broadcast_if_small(req), "hash", "left_semi")
+    return lookup_join(bags, req, ["hash"], "left_semi", spread_by="hash")
 
 
 def dedup_plan(items: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ Component ``cj`` is ignored when
 
 Rules have no negation, so any match decides: the plan explodes each path
 into its (entry, ancestor) pairs, equi-joins the rules on the ancestor
-directory (broadcast after a size check, shuffle beyond it) and anti-joins
+directory (broadcast after a size check, a salted shuffle join beyond it,
+since the root directory is a key every path meets) and anti-joins
 the matched paths away.  Built-in F2/F3 tests are narrow ``exists`` over the
 path components.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lakeaudit.functions.glob import glob_regex
 from lakeaudit.functions.paths import component_pairs, path_parts
-from lakeaudit.operators.joins import broadcast_if_small
+from lakeaudit.operators.joins import lookup_join
 
 INDEX_NAME = ".chkbit"
 IGNORE_NAME = ".chkbitignore"
@@ -82,13 +83,13 @@ def rule_matches(listing: DataFrame, rules: DataFrame, global_rules: DataFrame |
                 F.array_join(F.slice(parts, 1, j), "/").alias("entry_path"),
             ))).alias("p")).select("path", "p.anc", "p.entry", "p.rel", "p.own", "p.j", "p.entry_path")
         pairs = pairs.unionByName(gp)
-    r = broadcast_if_small(compiled.withColumnRenamed("dir", "anc"))
+    r = compiled.withColumnRenamed("dir", "anc")
     hit = (
         (F.col("own") & F.expr("regexp_like(entry, regex)"))
         | (~F.col("own") & ~F.col("anchored")
            & (F.expr("regexp_like(entry, regex)") | F.expr("regexp_like(rel, regex)")))
     )
-    return pairs.join(r, "anc").where(hit).select("path", "j", "entry_path")
+    return lookup_join(pairs, r, ["anc"], "inner", spread_by="path").where(hit).select("path", "j", "entry_path")
 
 
 def builtin_out(include_dot: bool = False, index_name: str = INDEX_NAME, ignore_name: str = IGNORE_NAME):

@@ -53,3 +53,15 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     big_s = big.withColumn(SALT, F.pmod(F.xxhash64(spread), F.lit(n)).cast("int"))
     small_s = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return big_s.join(small_s, on + [SALT], how).drop(SALT)
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+                spread_by: Column | str = "path", max_rows: int | None = None) -> DataFrame:
+    """Join a big frame to a lookup table: broadcast when the table is counted
+    small, otherwise a salted shuffle join, so a hot key of the big side (the
+    root directory, one digest) is still spread over several tasks."""
+    spark = big.sparkSession
+    limit = max_rows if max_rows is not None else conf_int(spark, "broadcastMaxRows")
+    if small.count() <= limit:
+        return big.join(F.broadcast(small), on, how)
+    return salted_join(big, small, on, how, spread_by=spread_by)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.paths import ancestors, parent_dir
-from lakeaudit.operators.joins import broadcast_if_small
+from lakeaudit.operators.joins import lookup_join
 
 # Precedence of manifest kinds at the same level.
 KIND_RANK = {"atom": 2, "split": 1}
@@ -21,13 +21,13 @@ def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """``paths(path)`` x ``roots(root, kind)`` -> ``path, root, kind``.
 
     Ancestors are exploded (a handful per path), the roots table is joined
-    on the ancestor (broadcast after a size check) and the deepest match is
+    on the ancestor (broadcast after a size check, salted beyond it) and the deepest match is
     kept with a partial ``max`` over ``(depth, kind rank)``.
     """
     rank = F.when(F.col("kind") == "atom", F.lit(KIND_RANK["atom"])).otherwise(F.lit(KIND_RANK["split"]))
-    r = broadcast_if_small(roots.select(F.col("root").alias("anc"), "kind", rank.alias("rank")))
+    r = roots.select(F.col("root").alias("anc"), "kind", rank.alias("rank"))
     a = paths.select("path", F.explode_outer(ancestors(parent_dir("path"))).alias("a")).select(
         "path", F.col("a.anc").alias("anc"), F.col("a.depth").alias("depth"))
     best = F.max(F.when(F.col("kind").isNotNull(), F.struct("depth", "rank", F.col("anc").alias("root"), "kind")))
-    return (a.join(r, "anc", "left").groupBy("path").agg(best.alias("b"))
+    return (lookup_join(a, r, ["anc"], "left", spread_by="path").groupBy("path").agg(best.alias("b"))
             .select("path", F.col("b.root").alias("root"), F.col("b.kind").alias("kind")))
