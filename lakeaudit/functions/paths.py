@@ -31,7 +31,9 @@ def join_path(dir_, name) -> Column:
     ``.`` as a directory is the root as well.
     """
     d = _c(dir_)
-    d = F.when(d.isin("", "."), F.lit(None)).otherwise(F.regexp_replace(d, "/+$", ""))
+    d = (F.when(d.isin("", "."), F.lit(None))
+         .when(d.endswith("/"), F.regexp_replace(d, "/+$", ""))  # rare: only then a regex
+         .otherwise(d))
     return F.concat_ws("/", d, _c(name))
 
 

@@ -52,9 +52,20 @@ def objects(df: DataFrame, dir, name, content, mod_ms, algo: str | None = "md5",
     )
 
 
+def round_half_away(v: Column) -> Column:
+    """Round a double to an integer, halves away from zero, exactly.
+
+    ``v - floor(v)`` is exact in binary, so the comparison with 0.5 decides
+    on the true value; this stays in generated code (no decimal detour).
+    """
+    fl, ce = F.floor(v), F.ceil(v)
+    return (F.when(v >= 0, fl + F.when(v - fl >= 0.5, 1).otherwise(0))
+            .otherwise(ce - F.when(ce - v >= 0.5, 1).otherwise(0)))
+
+
 def money_cents(col) -> Column:
     """Doubles as integer cents, so that every engine prints them alike."""
-    return F.round(_c(col) * 100).cast("bigint")
+    return round_half_away(_c(col) * 100).cast("bigint")
 
 
 def normalised(df: DataFrame, cols: list[str]) -> list[Column]:
