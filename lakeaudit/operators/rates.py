@@ -17,19 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lakeaudit.functions.times import col_millis
+
 LEVELS = 8
 
 
-def _ms(col):
-    c = F.col(col) if isinstance(col, str) else col
-    return F.unix_millis(c.cast("timestamp"))
+def _ms(df: DataFrame, col: str):
+    return col_millis(df, col)
 
 
 def rate_buckets(events: DataFrame, ts: str, key: str, value: str | None, interval_ms: int, n: int,
                  start_ms: int | None = None, now_ms: int | None = None) -> DataFrame:
     """``key, slot, bucket, events, value_cents`` for the last ``n`` closed buckets."""
     n = max(n, 10)
-    t = events.select(F.col(key).alias("key"), _ms(ts).alias("_t"),
+    t = events.select(F.col(key).alias("key"), _ms(events, ts).alias("_t"),
                       (F.round(F.col(value) * 100).cast("bigint") if value else F.lit(0).cast("bigint")).alias("_v"))
     if start_ms is None or now_ms is None:
         r = t.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).collect()[0]
@@ -57,7 +58,7 @@ def rate_buckets(events: DataFrame, ts: str, key: str, value: str | None, interv
 
 def rate_totals(events: DataFrame, ts: str, key: str, interval_ms: int) -> DataFrame:
     """Per key: closed total, open-bucket count, all, and the mean rate per second."""
-    t = events.select(F.col(key).alias("key"), _ms(ts).alias("_t"))
+    t = events.select(F.col(key).alias("key"), _ms(events, ts).alias("_t"))
     r = t.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).collect()[0]
     start_ms, now_ms = r["lo"], r["hi"]
     i = int(interval_ms)

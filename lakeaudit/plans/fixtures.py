@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.paths import join_path
+from lakeaudit.functions.times import col_millis, year_month
 from lakeaudit.operators.audit import dir_pairs
 from lakeaudit.schema import MANIFEST_COLUMNS
 from lakeaudit.sources.objects import objects, row_objects
@@ -165,8 +166,8 @@ def lineitem_rows(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
     line 1 had a superseded copy numbered 0 (del).
     """
     li = table(spark, sf_dir, "lineitem")
-    mod = F.unix_millis(F.col("l_shipdate").cast("timestamp"))
-    month = F.date_format("l_shipdate", "yyyy-MM")
+    mod = col_millis(li, "l_shipdate")
+    month = year_month(F.col("l_shipdate"))
     keys = ["l_orderkey", "l_linenumber"]
     cols = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
             "l_returnflag", "l_linestatus"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lakeaudit.functions.hashing import content_hash, row_fingerprint
 from lakeaudit.functions.paths import join_path
+from lakeaudit.functions.times import epoch_millis
 
 
 def _c(col) -> Column:
@@ -77,7 +78,7 @@ def normalised(df: DataFrame, cols: list[str]) -> list[Column]:
         if t in ("double", "float"):
             out.append(money_cents(c))
         elif t.startswith("timestamp"):
-            out.append(F.unix_millis(F.col(c).cast("timestamp")))
+            out.append(epoch_millis(F.col(c), t))
         elif t == "date":
             out.append(F.unix_date(F.col(c)))
         else:
