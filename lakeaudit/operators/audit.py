@@ -190,17 +190,25 @@ def dir_pairs(manifest: DataFrame) -> DataFrame:
     )
 
 
+def _visited(current_dirs: DataFrame, visited: DataFrame | None) -> DataFrame:
+    if visited is not None:
+        return visited.select("dir").distinct()
+    return current_dirs.select(join_path("dir", "subdir").alias("dir")).union(
+        current_dirs.sparkSession.range(1).select(F.lit("").alias("dir"))).distinct()
+
+
 def vanished_dirs(stored_dirs: DataFrame, current_dirs: DataFrame, *, log_deleted: bool = True,
-                  keep_missing: bool = False) -> DataFrame:
+                  keep_missing: bool = False, visited: DataFrame | None = None) -> DataFrame:
     """Directories listed before and gone now (J2), topmost only.
 
-    A vanished directory is never visited, so only the one whose parent is
-    still present is reported: ``dir, name, path, status='del'``.
+    A vanished directory is never visited, so only the one whose parent was
+    visited in this run is reported: ``dir, name, path, status='del'``.
+    ``visited``: the directories this run descended into (default: the scan
+    root and every current directory).
     """
-    gone = stored_dirs.join(current_dirs, ["dir", "subdir"], "left_anti")
-    visited = current_dirs.select(join_path("dir", "subdir").alias("dir")).union(
-        current_dirs.sparkSession.range(1).select(F.lit("").alias("dir"))).distinct()
-    top = gone.join(visited, "dir", "left_semi")
+    vis = _visited(current_dirs, visited)
+    gone = stored_dirs.join(vis, "dir", "left_semi").join(current_dirs, ["dir", "subdir"], "left_anti")
+    top = gone
     out = top.select(
         "dir", F.col("subdir").alias("name"), join_path("dir", "subdir").alias("path"),
         F.lit(Status.DELETED).alias("status"),
@@ -210,10 +218,10 @@ def vanished_dirs(stored_dirs: DataFrame, current_dirs: DataFrame, *, log_delete
     return out
 
 
-def dirlist_changed(stored_dirs: DataFrame, current_dirs: DataFrame, *, keep_missing: bool = False) -> DataFrame:
+def dirlist_changed(stored_dirs: DataFrame, current_dirs: DataFrame, *, keep_missing: bool = False,
+                    visited: DataFrame | None = None) -> DataFrame:
     """Visited directories whose list of subdirectories changed (case 13)."""
-    visited = current_dirs.select(join_path("dir", "subdir").alias("dir")).union(
-        current_dirs.sparkSession.range(1).select(F.lit("").alias("dir"))).distinct()
+    visited = _visited(current_dirs, visited)
     added = current_dirs.join(stored_dirs, ["dir", "subdir"], "left_anti").select("dir")
     changed = added
     if not keep_missing:

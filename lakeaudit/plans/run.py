@@ -9,9 +9,11 @@
    entry's algorithm (H3) and, with ``skip_existing``, to leave files with
    an unchanged mtime unread (H4);
 4. hash the remaining files in ``mapInPandas`` (H2, H5);
-5. audit against the published manifest (J1), add vanished directories
-   (J2) and directory-list changes (A2);
-6. unless ``readonly``, publish the next manifest as a new snapshot (K2).
+5. audit the entries of the visited directories against the published
+   manifest (J1), add vanished directories (J2) and directory-list changes
+   (A2, against the directory lists kept with the snapshot);
+6. unless ``readonly``, publish the next manifest and directory lists as a
+   new snapshot (K2); a subset run keeps unvisited directories (K3).
 
 Files below a vanished directory get no event of their own (the directory
 is reported once), as in the tool.
@@ -26,11 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeaudit.functions.paths import ancestors
 from lakeaudit.operators import audit as A
 from lakeaudit.operators import ignore as I
-from lakeaudit.operators.joins import broadcast_if_small
-from lakeaudit.schema import MANIFEST_SCHEMA, Status
+from lakeaudit.operators.joins import lookup_join
+from lakeaudit.schema import MANIFEST_SCHEMA
 from lakeaudit.sinks import store as K
 from lakeaudit.sources.listing import _local, hash_files, walk
 
@@ -64,35 +65,58 @@ def read_ignore_files(listing: DataFrame, root: str, ignore_name: str = I.IGNORE
     return files.mapInPandas(read, "dir string, pattern string")
 
 
-def _under_vanished(evts: DataFrame, vanished: DataFrame) -> DataFrame:
-    """Drop file deletions below a vanished directory (reported once)."""
-    gone = broadcast_if_small(vanished.select(F.col("path").alias("anc")).distinct())
-    below = (evts.where(F.col("status") == Status.DELETED)
-             .select("path", F.explode(ancestors("dir")).alias("a"))
-             .select("path", F.col("a.anc").alias("anc"))
-             .join(gone, "anc", "left_semi").select("path"))
-    return evts.join(below, "path", "left_anti")
+def _prefix(listing: DataFrame, subpath: str) -> DataFrame:
+    """Paths of a walk below ``subpath`` made relative to the manifest root."""
+    if not subpath:
+        return listing
+    pre = subpath + "/"
+    return listing.select(
+        F.when(F.col("dir") == "", F.lit(subpath)).otherwise(F.concat(F.lit(pre), "dir")).alias("dir"),
+        "name", F.concat(F.lit(pre), "path").alias("path"),
+        *[c for c in listing.columns if c not in ("dir", "name", "path")])
 
 
-def update(spark: SparkSession, root: str, store: str, *, readonly: bool = False, algo: str = "md5",
-           skip_existing: bool = False, force: bool = False, keep_missing: bool = False,
+def update(spark: SparkSession, root: str, store: str, *, subpath: str = "", readonly: bool = False,
+           algo: str = "md5", skip_existing: bool = False, force: bool = False, keep_missing: bool = False,
            log_deleted: bool = False, include_dot: bool = False, max_depth: int = 0, recurse: bool = True,
            follow_links: bool = True, global_rules: DataFrame | None = None,
            snapshot_id: str | None = None) -> RunResult:
+    """Audit the tree below ``root/subpath`` against the published manifest.
+
+    Only the directories this run descends into are compared (the scan root,
+    and below it as far as ``recurse``/``max_depth`` allow); a full run from
+    the root forgets directories that vanished, a subset run keeps every
+    directory it did not visit.
+    """
+    subpath = subpath.strip("/")
     if _local(store) is not None and not K._exists(spark, f"{store}/current"):
         K.init_store(spark, store)
     stored = K.read_current(spark, store)
+    stored_dirs = K.read_current_dirs(spark, store)
+    if not recurse:
+        max_depth = 1
+    full_run = not subpath and max_depth == 0
 
-    listing = walk(spark, root, follow_links=follow_links, max_depth=max_depth, recurse=recurse)
+    scan_root = root.rstrip("/") + ("/" + subpath if subpath else "")
+    listing = _prefix(walk(spark, scan_root, follow_links=follow_links, max_depth=max_depth), subpath)
     rules = read_ignore_files(listing, root)
     root_name = root.rstrip("/").rsplit("/", 1)[-1]
     kept = I.apply_ignore(listing.where(F.col("kind").isin("file", "dir")), rules, include_dot=include_dot,
                           global_rules=global_rules, root_name=root_name)
     files = kept.where(F.col("kind") == "file")
-    current_dirs = kept.where(F.col("kind") == "dir").select("dir", F.col("name").alias("subdir"))
+    dirs = kept.where(F.col("kind") == "dir")
+    current_dirs = dirs.select("dir", F.col("name").alias("subdir"))
+    descended = dirs if max_depth == 0 else dirs.where(F.col("level") < max_depth)
+    visited = descended.select(F.col("path").alias("dir")).unionByName(
+        spark.createDataFrame([(subpath,)], "dir string")).distinct()
+    visited = visited.checkpoint()  # small, reused by every directory-level step below
+
+    # only entries of visited directories take part (a vanished directory
+    # is not visited, so its files get no event of their own)
+    in_scope = lookup_join(stored, visited, ["dir"], "left_semi", spread_by="path")
 
     # H3/H4: one join of the listing to the stored keys decides algorithm and skipping
-    s = stored.select("path", F.col("algo").alias("s_algo"), F.col("mod_ms").alias("s_mod"))
+    s = in_scope.select("path", F.col("algo").alias("s_algo"), F.col("mod_ms").alias("s_mod"))
     f = files.join(s, "path", "left")
     skip = (F.col("s_mod") == F.col("mod_ms")) if skip_existing else F.lit(False)
     f = f.withColumn("_skip", F.coalesce(skip, F.lit(False))).withColumn(
@@ -104,25 +128,28 @@ def update(spark: SparkSession, root: str, store: str, *, readonly: bool = False
         F.lit(None).cast("string").alias("hash"), "size", F.lit(None).cast("string").alias("error"))
     observed = hashed.unionByName(unchanged)
 
-    t = A.audit(stored, observed, algo=algo, force=force, keep_missing=keep_missing, log_deleted=log_deleted,
+    t = A.audit(in_scope, observed, algo=algo, force=force, keep_missing=keep_missing, log_deleted=log_deleted,
                 skip_existing=skip_existing)
     t = t.checkpoint()  # one materialised audit table feeds every output below
-    stored_dirs = A.dir_pairs(stored)
-    vanished = A.vanished_dirs(stored_dirs, current_dirs, log_deleted=log_deleted, keep_missing=keep_missing)
-    evts = A.events(t)
-    if log_deleted and not keep_missing:
-        evts = _under_vanished(evts, A.vanished_dirs(stored_dirs, current_dirs))
-    evts = evts.unionByName(vanished)
-    dl_changed = A.dirlist_changed(stored_dirs, current_dirs, keep_missing=keep_missing)
-    # entry counters from the audit table; deletions from the reported events
-    entries = t.join(evts.select("path", F.col("status").alias("_shown")), "path", "left").select(
-        "dir", "counted", "modified",
-        F.when(F.col("status") == Status.DELETED, F.col("_shown")).otherwise(F.col("status")).alias("status"))
-    summary = A.run_summary(entries, dirlist_changed=dl_changed, dir_events=vanished)
+    vanished = A.vanished_dirs(stored_dirs, current_dirs, log_deleted=log_deleted, keep_missing=keep_missing,
+                               visited=visited)
+    evts = A.events(t).unionByName(vanished)
+    dl_changed = A.dirlist_changed(stored_dirs, current_dirs, keep_missing=keep_missing, visited=visited)
+    summary = A.run_summary(t, dirlist_changed=dl_changed, dir_events=vanished)
+
     nxt = A.next_manifest(t)
+    next_dirs = current_dirs
+    if keep_missing:
+        kept_dirs = lookup_join(stored_dirs, visited, ["dir"], "left_semi", spread_by="subdir")
+        next_dirs = next_dirs.unionByName(kept_dirs).distinct()
+    if not full_run:
+        # a subset run keeps what it did not visit
+        nxt = nxt.unionByName(lookup_join(stored, visited, ["dir"], "left_anti", spread_by="path"))
+        next_dirs = next_dirs.unionByName(lookup_join(stored_dirs, visited, ["dir"], "left_anti",
+                                                      spread_by="subdir"))
     if not readonly:
         sid = snapshot_id or str(int(K.current_id(spark, store)) + 1)
-        K.publish_snapshot(nxt, store, sid)
+        K.publish_snapshot(nxt, store, sid, dirs=next_dirs)
     return RunResult(evts, summary, nxt, A.verdict(t))
 
 

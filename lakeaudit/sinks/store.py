@@ -3,6 +3,7 @@
 Layout under ``store``::
 
     snapshots/snapshot=<id>/part-*.parquet   one manifest per run
+    dirs/snapshot=<id>/part-*.parquet        directory lists (dir, subdir) of that run
     current/part-*.parquet                   one row: the published id
     dups/part-*.parquet                      duplicate bags of the last detect
 
@@ -50,13 +51,26 @@ def read_current(spark: SparkSession, store: str) -> DataFrame:
             .where(F.col("snapshot") == sid).select(*MANIFEST_COLUMNS))
 
 
-def publish_snapshot(manifest: DataFrame, store: str, snapshot_id: str) -> None:
-    """K2 + O4: write the next manifest, sorted by key within files, then
-    switch the pointer.  The old snapshot stays as the backup."""
+def read_current_dirs(spark: SparkSession, store: str) -> DataFrame:
+    """Directory lists of the published snapshot (empty when none were kept)."""
+    sid = current_id(spark, store)
+    schema = "dir string, subdir string, snapshot string"
+    if not _exists(spark, f"{store}/dirs"):
+        return spark.createDataFrame([], "dir string, subdir string")
+    return spark.read.schema(schema).parquet(f"{store}/dirs").where(F.col("snapshot") == sid).select("dir", "subdir")
+
+
+def publish_snapshot(manifest: DataFrame, store: str, snapshot_id: str, dirs: DataFrame | None = None) -> None:
+    """K2 + O4: write the next manifest, sorted by key within files, and its
+    directory lists, then switch the pointer.  The old snapshot stays as the
+    backup."""
     spark = manifest.sparkSession
     out = (manifest.select(*MANIFEST_COLUMNS).withColumn("snapshot", F.lit(snapshot_id))
            .repartitionByRange("dir", "name").sortWithinPartitions("dir", "name"))
     out.write.mode("append").partitionBy("snapshot").parquet(f"{store}/snapshots")
+    if dirs is not None:
+        (dirs.select("dir", "subdir").withColumn("snapshot", F.lit(snapshot_id))
+         .write.mode("append").partitionBy("snapshot").parquet(f"{store}/dirs"))
     spark.createDataFrame([(snapshot_id,)], "snapshot string").write.mode("overwrite").parquet(f"{store}/current")
 
 

@@ -33,6 +33,7 @@ from lakeaudit.functions.hashing import check_algo
 BLOCK = 262_144
 
 LISTING_SCHEMA = "dir string, name string, path string, kind string, mod_ms bigint, size bigint, error string"
+WALK_SCHEMA = LISTING_SCHEMA + ", level int"
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -98,8 +99,9 @@ def _list_dir(root: str, rel: str, follow_links: bool) -> list[tuple]:
 def walk(spark: SparkSession, root: str, *, follow_links: bool = True, max_depth: int = 0,
          recurse: bool = True) -> DataFrame:
     """Every regular file and directory below ``root``: ``dir, name, path,
-    kind ('file'|'dir'|'error'), mod_ms, size, error``.  Level 1 is the root's
-    own content; ``max_depth`` stops after that many levels (0 = all)."""
+    kind ('file'|'dir'|'error'), mod_ms, size, error, level``.  Level 1 is the
+    root's own content; ``max_depth`` stops after that many levels (0 = all),
+    so directories of a level below it are the ones that were descended."""
     from lakeaudit.session import checkpoint_dir
 
     checkpoint_dir(spark)
@@ -116,7 +118,7 @@ def walk(spark: SparkSession, root: str, *, follow_links: bool = True, max_depth
     levels = []
     depth = 1
     while True:
-        level = frontier.mapInPandas(lister, LISTING_SCHEMA).checkpoint()
+        level = frontier.mapInPandas(lister, LISTING_SCHEMA).withColumn("level", F.lit(depth)).checkpoint()
         levels.append(level)
         if not recurse or (max_depth and depth >= max_depth):
             break
