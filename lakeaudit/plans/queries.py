@@ -28,7 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # ---------------------------------------------------------------- audit
 def _audit_table(spark, sf_dir, **kw) -> DataFrame:
-    return A.audit(FX.stored(spark, sf_dir), FX.documents_objects(spark, sf_dir, algo=None), **kw)
+    # the snapshot's algorithm set is known (md5), so no pass over it is needed
+    return A.audit(FX.stored(spark, sf_dir), FX.documents_objects(spark, sf_dir, algo=None), algos=["md5"], **kw)
 
 
 def audit_status(spark, sf_dir):
@@ -252,7 +253,8 @@ def dir_lists(spark, sf_dir):
 
 
 def rehash_algo(spark, sf_dir):
-    t = A.audit(FX.stored(spark, sf_dir, sha512_suffix="/de"), FX.documents_objects(spark, sf_dir, algo=None))
+    t = A.audit(FX.stored(spark, sf_dir, sha512_suffix="/de"), FX.documents_objects(spark, sf_dir, algo=None),
+                algos=["md5", "sha512"])
     return t.where(F.col("status").isNotNull()).select("path", "status", "algo", "hash")
 
 
