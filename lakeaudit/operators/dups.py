@@ -203,7 +203,10 @@ def select_hashes(bags: DataFrame, hashes: DataFrame | None) -> DataFrame:
     A requested digest without a bag is an error."""
     if hashes is None:
         return bags
-    req = hashes.select("hash").distinct()
+    from lakeaudit.session import checkpoint_dir
+
+    checkpoint_dir(bags.sparkSession)
+    req = hashes.select("hash").distinct().checkpoint(eager=True)
     unknown = req.join(bags.select("hash"), "hash", "left_anti").limit(1).collect()
     if unknown:
         raise KeyError(f"no duplicate bag for hash {unknown[0][0]}")

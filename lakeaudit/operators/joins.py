@@ -56,12 +56,20 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                spread_by: Column | str = "path", max_rows: int | None = None) -> DataFrame:
+                spread_by: Column | str = "path", max_rows: int | None = None,
+                materialize: bool = False) -> DataFrame:
     """Join a big frame to a lookup table: broadcast when the table is counted
     small, otherwise a salted shuffle join, so a hot key of the big side (the
-    root directory, one digest) is still spread over several tasks."""
+    root directory, one digest) is still spread over several tasks.
+    ``materialize``: write a derived lookup table to the checkpoint folder
+    first, so counting and joining do not compute it twice."""
     spark = big.sparkSession
     limit = max_rows if max_rows is not None else conf_int(spark, "broadcastMaxRows")
+    if materialize:
+        from lakeaudit.session import checkpoint_dir
+
+        checkpoint_dir(spark)
+        small = small.checkpoint(eager=True)
     if small.count() <= limit:
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, how, spread_by=spread_by)
