@@ -108,7 +108,7 @@ def apply_ignore(listing: DataFrame, rules: DataFrame | None, *, include_dot: bo
     if rules is None:
         rules = listing.sparkSession.createDataFrame([], "dir string, pattern string")
     m = rule_matches(kept, rules, global_rules, root_name).select("path")
-    return kept.join(m, "path", "left_anti")
+    return kept.join(m, "path", "left_anti").select(*listing.columns)
 
 
 def show_ignored(listing: DataFrame, rules: DataFrame | None, *, include_dot: bool = False,
