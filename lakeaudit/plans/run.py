@@ -155,3 +155,54 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str = "", rea
 
 def empty_manifest(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MANIFEST_SCHEMA)
+
+
+ATOM_SUFFIX = "-db"
+
+
+def manifest_files(listing: DataFrame, index_name: str = I.INDEX_NAME) -> DataFrame:
+    """Manifest files a walk found: ``path, dir, kind`` (split index per
+    directory, or atom file for a subtree)."""
+    name = F.col("name")
+    kind = (F.when(name == index_name, F.lit("split"))
+            .when(name == index_name + ATOM_SUFFIX, F.lit("atom")))
+    return (listing.where(F.col("kind") == "file").select("path", "dir", kind.alias("mkind"))
+            .where(F.col("mkind").isNotNull()).withColumnRenamed("mkind", "kind"))
+
+
+def locate_roots(listing: DataFrame, index_name: str = I.INDEX_NAME) -> DataFrame:
+    """``root, kind`` of every directory that owns a manifest (input of J4)."""
+    return manifest_files(listing, index_name).select(F.col("dir").alias("root"), "kind").distinct()
+
+
+def fuse_tree(spark: SparkSession, root: str, store: str | None = None, *, include_top: bool = False,
+              index_name: str = I.INDEX_NAME, follow_links: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The tool's ``fuse``: every split and atom manifest below ``root``
+    becomes one manifest (U1/W3/U3); the sources stay untouched.
+
+    Returns (fused manifest, per-file index report); with ``store`` the fused
+    manifest is published there as a new snapshot.
+    """
+    from lakeaudit.operators import fuse as U
+    from lakeaudit.sources.manifests import read_atom_manifest, read_split_manifests
+
+    listing = walk(spark, root, follow_links=follow_links)
+    files = manifest_files(listing, index_name).checkpoint()
+    split_e, split_i = read_split_manifests(files.where(F.col("kind") == "split"), root)
+    atom_e, atom_i = read_atom_manifest(files.where(F.col("kind") == "atom"), root)
+    kinds = files.select(F.col("path").alias("source"), F.col("dir").alias("source_root"), "kind")
+    entries = split_e.unionByName(atom_e)
+    # entry dirs are relative to the fuse root; make them relative to their source
+    rel = F.when(F.col("source_root") == "", F.col("dir")).when(
+        F.col("dir") == F.col("source_root"), F.lit("")).otherwise(
+        F.expr("substring(dir, length(source_root) + 2)"))
+    sources = lookup_join(entries, kinds, ["source"], "inner", spread_by="path").select(
+        "source_root", "kind", rel.alias("dir"), "name", "mod_ms", "algo", "hash", "size")
+    fused = U.fuse(sources, include_top=include_top)
+    report = split_i.unionByName(atom_i)
+    if store is not None:
+        if _local(store) is not None and not K._exists(spark, f"{store}/current"):
+            K.init_store(spark, store)
+        sid = str(int(K.current_id(spark, store)) + 1)
+        K.publish_snapshot(fused.select(*fused.columns[:7]), store, sid)
+    return fused, report

@@ -159,3 +159,26 @@ def test_stream_rate_buckets(spark, tmp_path):
     rows = sorted((str(r["bucket_end"]), r["events"]) for r in spark.sql("SELECT * FROM rates_t").collect())
     # the event exactly at 01:00 stays in the bucket ending at 01:00
     assert ("2024-01-01 01:00:00", 1) in rows and ("2024-01-01 02:00:00", 1) in rows
+
+
+def test_fuse_tree(spark, tmp_path):
+    from lakeaudit.plans.run import fuse_tree, locate_roots
+    from lakeaudit.sinks.store import read_current
+
+    root = str(tmp_path / "lake")
+    e = lambda h: {"f.txt": {"mod": 1, "a": "md5", "h": h, "s": 1}}
+    _write(f"{root}/.chkbit", v2(e("top")))                                   # the fuse root's own: not taken
+    _write(f"{root}/a/.chkbit", v2(e("a-split")))                             # shadowed by the atom in a
+    _write(f"{root}/a/.chkbit-db", '{"type":"chkbit","version":6,"data":{"":' + v2(e("a-atom"))
+           + ',"b":' + v2(e("ab-from-atom")) + "}}")
+    _write(f"{root}/a/b/.chkbit", v2(e("ab-split")))                          # deeper: wins for a/b
+    _write(f"{root}/c/.chkbit", "{not json")                                  # invalid: skipped
+    _write(f"{root}/d/.chkbit", '{"data":{"old.txt":{"mod":5,"md5":"legacy"}}}')
+    store = str(tmp_path / "store")
+    fused, report = fuse_tree(spark, root, store)
+    got = sorted((r["path"], r["hash"]) for r in fused.collect())
+    assert got == [("a/b/f.txt", "ab-split"), ("a/f.txt", "a-atom"), ("d/old.txt", "legacy")]
+    assert report.where("error IS NOT NULL").count() == 1
+    assert sorted((r["path"], r["hash"]) for r in read_current(spark, store).collect()) == got
+    roots = {(r["root"], r["kind"]) for r in locate_roots(L.walk(spark, root)).collect()}
+    assert ("a", "atom") in roots and ("a", "split") in roots and ("a/b", "split") in roots
