@@ -206,3 +206,38 @@ def fuse_tree(spark: SparkSession, root: str, store: str | None = None, *, inclu
         sid = str(int(K.current_id(spark, store)) + 1)
         K.publish_snapshot(fused.select(*fused.columns[:7]), store, sid)
     return fused, report
+
+
+def dedup_detect(spark: SparkSession, store: str, locations: DataFrame | None = None,
+                 listing: DataFrame | None = None, min_size: int = 8192) -> int:
+    """The tool's ``dedup detect``: bags of the published manifest with their
+    space accounting, stored with a new generation (K4); items (with merged
+    flags and keepers) are stored next to them.  Returns the generation."""
+    from lakeaudit.operators import dups as D
+
+    manifest = K.read_current(spark, store)
+    bags = D.dup_space(manifest, locations, listing, min_size=min_size).checkpoint()
+    items = D.dup_items(manifest, bags, locations, listing, min_size=min_size)
+    gen = K.store_bags(bags, store)
+    items.withColumn("gen", F.lit(gen)).write.mode("overwrite").parquet(f"{store}/dup_items")
+    return gen
+
+
+def dedup_show(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
+    """The tool's ``dedup show``: bags by size and the space report."""
+    from lakeaudit.operators import dups as D
+
+    bags = spark.read.parquet(f"{store}/dups")
+    return D.dup_show(bags), D.dup_report(bags)
+
+
+def dedup_plan(spark: SparkSession, store: str, hashes: DataFrame | None = None) -> DataFrame:
+    """The tool's ``dedup run`` as a plan: ``hash, keeper, duplicate, bytes``
+    for the selected bags (all when ``hashes`` is None; unknown ones fail)."""
+    from lakeaudit.operators import dups as D
+
+    items = spark.read.parquet(f"{store}/dup_items")
+    if hashes is not None:
+        bags = D.select_hashes(spark.read.parquet(f"{store}/dups"), hashes)
+        items = lookup_join(items, bags.select("hash"), ["hash"], "left_semi", spread_by="path")
+    return D.dedup_plan(items)

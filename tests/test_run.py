@@ -82,3 +82,26 @@ def test_tree_end_to_end(spark, tmp_path):
     r = update(spark, root, store, readonly=True)
     assert [x["path"] for x in r.events.where("status = 'DMG'").collect()] == ["a/x2.txt"]
     assert r.verdict.first()["exit_code"] == 1
+
+
+def test_dedup_cycle(spark, tmp_path):
+    from lakeaudit.plans.run import dedup_detect, dedup_plan, dedup_show
+
+    root = str(tmp_path / "root")
+    store = str(tmp_path / "store")
+    body = "x" * 9000
+    for p in ("a/1.bin", "a/2.bin", "b/3.bin"):
+        _w(f"{root}/{p}", body, 1_600_000_000)
+    _w(f"{root}/b/small.bin", "y", 1_600_000_000)
+    _w(f"{root}/b/small2.bin", "y", 1_600_000_000)
+    update(spark, root, store)
+    loc = spark.createDataFrame([("a/1.bin", "P"), ("a/2.bin", "P"), ("b/3.bin", "Q")], "path string, place string")
+    assert dedup_detect(spark, store, loc) == 1
+    show, report = dedup_show(spark, store)
+    b = show.first()
+    assert (b["n_items"], b["shared"], b["exclusive"]) == (3, 18000, 18000)
+    r = report.first()
+    assert (r["hashes"], r["files"], r["min_space"], r["max_space"], r["actual_space"]) == (1, 3, 9000, 27000, 18000)
+    plan = [tuple(x) for x in dedup_plan(spark, store).collect()]
+    assert [(k, d, n) for _, k, d, n in plan] == [("a/1.bin", "b/3.bin", 9000)]
+    assert dedup_detect(spark, store, loc) == 2
