@@ -1,8 +1,8 @@
 """Time columns as epoch milliseconds, independent of the session time zone.
 
 A ``timestamp_ntz`` is a wall-clock value; it is read as UTC here (as the
-table writers and DuckDB do), built from its date and time-of-day parts so
-that no session zone is involved.  A ``timestamp`` is an instant already.
+table writers and DuckDB do): the millisecond difference to the wall-clock
+epoch, which involves no session zone.  A ``timestamp`` is an instant already.
 """
 
 from __future__ import annotations
@@ -13,10 +13,7 @@ from pyspark.sql import functions as F
 
 def epoch_millis(c: Column, dtype: str) -> Column:
     if dtype == "timestamp_ntz":
-        days = F.unix_date(F.to_date(c)).cast("bigint")
-        hm = F.hour(c).cast("bigint") * 3600 + F.minute(c).cast("bigint") * 60
-        ms = F.floor(F.date_part(F.lit("SECOND"), c) * 1000).cast("bigint")
-        return days * 86_400_000 + hm * 1000 + ms
+        return F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), c)
     if dtype == "timestamp":
         return F.unix_millis(c)
     if dtype == "date":
