@@ -2,9 +2,9 @@
 
 ``update(spark, root, store)``:
 
-1. walk the tree (hidden names included), level by level;
-2. read the ignore files found by the walk and drop ignored entries and
-   everything below ignored directories (F1-F5);
+1. walk the tree (hidden names included), level by level, descending only
+   into directories the ignore rules found so far keep (pruning);
+2. read the ignore files found by the walk and drop ignored entries (F1-F5);
 3. join the listing to the published manifest on ``path`` to pick each
    entry's algorithm (H3) and, with ``skip_existing``, to leave files with
    an unchanged mtime unread (H4);
@@ -98,9 +98,20 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str = "", rea
     full_run = not subpath and max_depth == 0
 
     scan_root = root.rstrip("/") + ("/" + subpath if subpath else "")
-    listing = _prefix(walk(spark, scan_root, follow_links=follow_links, max_depth=max_depth), subpath)
-    rules = read_ignore_files(listing, root)
     root_name = root.rstrip("/").rsplit("/", 1)[-1]
+
+    def prune(level: DataFrame, seen: DataFrame) -> DataFrame:
+        # ignored directories are not descended into (their content is never listed)
+        lv, sn = _prefix(level, subpath), _prefix(seen, subpath)
+        dirs = lv.where(F.col("kind") == "dir")
+        kept_dirs = I.apply_ignore(dirs, read_ignore_files(sn, root), include_dot=include_dot,
+                                   global_rules=global_rules, root_name=root_name)
+        if subpath:
+            kept_dirs = kept_dirs.select(F.expr(f"substring(path, {len(subpath) + 2})").alias("path"))
+        return kept_dirs.select("path")
+
+    listing = _prefix(walk(spark, scan_root, follow_links=follow_links, max_depth=max_depth, prune=prune), subpath)
+    rules = read_ignore_files(listing, root)
     kept = I.apply_ignore(listing.where(F.col("kind").isin("file", "dir")), rules, include_dot=include_dot,
                           global_rules=global_rules, root_name=root_name)
     files = kept.where(F.col("kind") == "file")

@@ -97,11 +97,16 @@ def _list_dir(root: str, rel: str, follow_links: bool) -> list[tuple]:
 
 
 def walk(spark: SparkSession, root: str, *, follow_links: bool = True, max_depth: int = 0,
-         recurse: bool = True) -> DataFrame:
+         recurse: bool = True, prune=None) -> DataFrame:
     """Every regular file and directory below ``root``: ``dir, name, path,
     kind ('file'|'dir'|'error'), mod_ms, size, error, level``.  Level 1 is the
     root's own content; ``max_depth`` stops after that many levels (0 = all),
-    so directories of a level below it are the ones that were descended."""
+    so directories of a level below it are the ones that were descended.
+
+    ``prune(level_df, seen_df) -> DataFrame(path)``: the directories of a
+    level to descend into, given that level's listing and everything listed
+    so far (ignore rules found on the way); without it all are descended.
+    """
     from lakeaudit.session import checkpoint_dir
 
     checkpoint_dir(spark)
@@ -122,7 +127,13 @@ def walk(spark: SparkSession, root: str, *, follow_links: bool = True, max_depth
         levels.append(level)
         if not recurse or (max_depth and depth >= max_depth):
             break
-        frontier = level.where(F.col("kind") == "dir").select("path")
+        if prune is None:
+            frontier = level.where(F.col("kind") == "dir").select("path")
+        else:
+            seen = levels[0]
+            for lv in levels[1:]:
+                seen = seen.unionByName(lv)
+            frontier = prune(level, seen).select("path").checkpoint()
         if frontier.isEmpty():
             break
         n = spark.sparkContext.defaultParallelism

@@ -105,3 +105,25 @@ def test_dedup_cycle(spark, tmp_path):
     plan = [tuple(x) for x in dedup_plan(spark, store).collect()]
     assert [(k, d, n) for _, k, d, n in plan] == [("a/1.bin", "b/3.bin", 9000)]
     assert dedup_detect(spark, store, loc) == 2
+
+
+def test_ignored_directories_are_not_listed(spark, tmp_path):
+    from lakeaudit.operators import ignore as I
+    from lakeaudit.plans.run import read_ignore_files, update
+    from lakeaudit.sources.listing import walk
+
+    root = str(tmp_path / "root")
+    store = str(tmp_path / "store")
+    _w(f"{root}/.chkbitignore", "node_modules\n", 1_600_000_000)
+    _w(f"{root}/app/main.txt", "m", 1_600_000_000)
+    for i in range(3):
+        _w(f"{root}/app/node_modules/pkg{i}/deep/x.txt", "x", 1_600_000_000)
+
+    def prune(level, seen):
+        dirs = level.where("kind = 'dir'")
+        return I.apply_ignore(dirs, read_ignore_files(seen, root)).select("path")
+
+    listed = [r["path"] for r in walk(spark, root, prune=prune).collect()]
+    assert "app/node_modules" in listed and not any("pkg" in p for p in listed)
+    s = update(spark, root, store).summary.first()
+    assert (s["total"], s["new"], s["errors"]) == (1, 1, 0)
