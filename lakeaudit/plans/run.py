@@ -10,8 +10,9 @@
    an unchanged mtime unread (H4);
 4. hash the remaining files in ``mapInPandas`` (H2, H5);
 5. audit the entries of the visited directories against the published
-   manifest (J1), add vanished directories (J2) and directory-list changes
-   (A2, against the directory lists kept with the snapshot);
+   manifest (J1), add vanished directories (J2), directory-list changes
+   (A2, against the directory lists kept with the snapshot) and ``ERX`` for
+   directories whose stored rows fail their seal (H6);
 6. unless ``readonly``, publish the next manifest and directory lists as a
    new snapshot (K2); a subset run keeps unvisited directories (K3).
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from lakeaudit.operators import audit as A
 from lakeaudit.operators import ignore as I
 from lakeaudit.operators.joins import lookup_join
-from lakeaudit.schema import MANIFEST_SCHEMA
+from lakeaudit.schema import MANIFEST_SCHEMA, Status
 from lakeaudit.sinks import store as K
 from lakeaudit.sources.listing import _local, hash_files, walk
 
@@ -146,6 +147,16 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str = "", rea
                                visited=visited)
     evts = A.events(t).unionByName(vanished)
     dl_changed = A.dirlist_changed(stored_dirs, current_dirs, keep_missing=keep_missing, visited=visited)
+    # H6/case 11: directories of the snapshot whose rows no longer match their seal
+    seals = K.read_current_seals(spark, store)
+    if seals is not None:
+        from lakeaudit.operators.seal import verify_seal
+
+        seals_in_scope = lookup_join(seals, visited, ["dir"], "left_semi", spread_by="seal")
+        bad = verify_seal(in_scope, seals_in_scope).where(~F.col("verified")).select("dir")
+        evts = evts.unionByName(bad.select("dir", F.lit("").alias("name"), F.col("dir").alias("path"),
+                                           F.lit(Status.BAD_INDEX).alias("status")))
+        dl_changed = dl_changed.unionByName(bad)
     summary = A.run_summary(t, dirlist_changed=dl_changed, dir_events=vanished)
 
     nxt = A.next_manifest(t)

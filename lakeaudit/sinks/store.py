@@ -4,6 +4,7 @@ Layout under ``store``::
 
     snapshots/snapshot=<id>/part-*.parquet   one manifest per run
     dirs/snapshot=<id>/part-*.parquet        directory lists (dir, subdir) of that run
+    seals/snapshot=<id>/part-*.parquet       per-directory seals (dir, seal) of that manifest
     current/part-*.parquet                   one row: the published id
     dups/part-*.parquet                      duplicate bags of the last detect
 
@@ -60,7 +61,17 @@ def read_current_dirs(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{store}/dirs").where(F.col("snapshot") == sid).select("dir", "subdir")
 
 
-def publish_snapshot(manifest: DataFrame, store: str, snapshot_id: str, dirs: DataFrame | None = None) -> None:
+def read_current_seals(spark: SparkSession, store: str) -> DataFrame | None:
+    """Seals of the published snapshot; None when it was published without."""
+    sid = current_id(spark, store)
+    if not _exists(spark, f"{store}/seals/snapshot={sid}"):
+        return None
+    return (spark.read.schema("dir string, seal string, snapshot string").parquet(f"{store}/seals")
+            .where(F.col("snapshot") == sid).select("dir", "seal"))
+
+
+def publish_snapshot(manifest: DataFrame, store: str, snapshot_id: str, dirs: DataFrame | None = None,
+                     sealed: bool = True) -> None:
     """K2 + O4: write the next manifest, sorted by key within each file (row
     groups then carry tight ``dir`` ranges for pruning; no extra shuffle is
     spent on a global order), and its directory lists, then switch the
@@ -72,6 +83,14 @@ def publish_snapshot(manifest: DataFrame, store: str, snapshot_id: str, dirs: Da
     if dirs is not None:
         (dirs.select("dir", "subdir").withColumn("snapshot", F.lit(snapshot_id))
          .write.mode("append").partitionBy("snapshot").parquet(f"{store}/dirs"))
+    if sealed:
+        # sealed from what was written, so the seal covers the stored rows
+        from lakeaudit.operators.seal import seal
+
+        written = (spark.read.schema(T.StructType(MANIFEST_SCHEMA.fields + [T.StructField("snapshot", T.StringType())]))
+                   .parquet(f"{store}/snapshots").where(F.col("snapshot") == snapshot_id))
+        (seal(written).withColumn("snapshot", F.lit(snapshot_id))
+         .write.mode("append").partitionBy("snapshot").parquet(f"{store}/seals"))
     spark.createDataFrame([(snapshot_id,)], "snapshot string").write.mode("overwrite").parquet(f"{store}/current")
 
 

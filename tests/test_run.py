@@ -127,3 +127,24 @@ def test_ignored_directories_are_not_listed(spark, tmp_path):
     assert "app/node_modules" in listed and not any("pkg" in p for p in listed)
     s = update(spark, root, store).summary.first()
     assert (s["total"], s["new"], s["errors"]) == (1, 1, 0)
+
+
+def test_bad_seal_is_reported(spark, tmp_path):
+    from lakeaudit.sinks import store as K
+
+    root = str(tmp_path / "root")
+    store = str(tmp_path / "store")
+    _w(f"{root}/a/x.txt", "x", 1_600_000_000)
+    _w(f"{root}/b/y.txt", "y", 1_600_000_000)
+    update(spark, root, store)
+    assert update(spark, root, store, readonly=True).events.where("status = 'ERX'").count() == 0
+    # tamper with the stored rows of directory a behind the store's back
+    sid = K.current_id(spark, store)
+    part = f"{store}/snapshots/snapshot={sid}"
+    rows = spark.read.parquet(part).withColumn("mod_ms", F.col("mod_ms") + F.lit(1)).collect()
+    spark.createDataFrame(rows, spark.read.parquet(part).schema).where("dir = 'a'").unionByName(
+        spark.createDataFrame(rows, spark.read.parquet(part).schema).where("dir <> 'a'").withColumn(
+            "mod_ms", F.col("mod_ms") - F.lit(1))).write.mode("overwrite").parquet(part)
+    r = update(spark, root, store, readonly=True)
+    assert [(x["path"], x["status"]) for x in r.events.where("status = 'ERX'").collect()] == [("a", "ERX")]
+    assert r.summary.first()["changed_dirs"] >= 1
