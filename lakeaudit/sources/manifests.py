@@ -152,10 +152,17 @@ def read_split_manifests(files: DataFrame, root: str) -> tuple[DataFrame, DataFr
                     rows.append(("E", [], (p, d, None, None, None, str(err))))
             yield _pack(rows)
 
-    both = files.select("path", "dir").mapInPandas(parse, _PACKED)
+    both = _spread(files.select("path", "dir")).mapInPandas(parse, _PACKED)
     return _unpack(both)
 
 
+def _spread(files: DataFrame) -> DataFrame:
+    """Spread the file list over the cluster by a hash of the path, so that a
+    list built in one partition does not parse in one task."""
+    n = files.sparkSession.sparkContext.defaultParallelism * 4
+    return files.repartition(n, F.xxhash64("path"))
+
+
 def read_atom_manifest(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """``files(path, dir)``: atom files relative to ``root`` and the
     directory they cover.  The header must be ``type``, ``version`` (6),
@@ -180,7 +187,7 @@ def read_atom_manifest(files: DataFrame, root: str) -> tuple[DataFrame, DataFram
                 except (OSError, ValueError, AttributeError, TypeError, KeyError) as err:
                     yield _pack([("E", [], (p, d, None, None, None, str(err)))])
 
-    both = files.select("path", "dir").mapInPandas(parse, _PACKED)
+    both = _spread(files.select("path", "dir")).mapInPandas(parse, _PACKED)
     # an atom that fails part-way is dropped whole: only its error row stays
     bad = broadcast_if_small(
         both.where((F.col("kind") == "I") & F.col("error").isNotNull()).select("source").distinct())
