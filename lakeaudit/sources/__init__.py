@@ -1,0 +1 @@
+"""Sources: tables and rows as objects, file walks and digests, manifest files."""

@@ -1,0 +1 @@
+"""Structured Streaming forms (rate buckets)."""
