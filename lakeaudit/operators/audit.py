@@ -85,20 +85,22 @@ def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: b
         hash_cols = ["_h_given", "_a_given"]
         hashes = None
 
+    # only the key and the payload cross the shuffle; dir and name are
+    # recovered from the path afterwards (a name never contains "/")
     a = stored.select(
-        "path", F.col("dir").alias("a_dir"), F.col("name").alias("a_name"),
+        "path", F.lit(True).alias("a_in"),
         F.col("mod_ms").alias("a_mod"), F.col("algo").alias("a_algo"),
         F.col("hash").alias("a_hash"), F.col("size").alias("a_size"),
     )
     b = obs.select(
-        "path", F.col("dir").alias("b_dir"), F.col("name").alias("b_name"),
+        "path", F.lit(True).alias("b_in"),
         F.col("mod_ms").alias("b_mod"), F.col("size").alias("b_size"),
         F.col("error").alias("b_error"), *hash_cols,
     )
     j = a.join(b, "path", "full_outer")
 
-    a_in = F.col("a_dir").isNotNull()
-    b_in = F.col("b_dir").isNotNull()
+    a_in = F.col("a_in").isNotNull()
+    b_in = F.col("b_in").isNotNull()
     both = a_in & b_in
     skip = both & (F.col("a_mod") == F.col("b_mod")) if skip_existing else F.lit(False)
     eff_algo = F.coalesce(F.col("a_algo"), F.lit(algo))
@@ -113,10 +115,13 @@ def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: b
                    F.when(fresh.isNull(), F.concat(F.lit("cannot hash with "), eff_algo))),
     )
 
+    name = F.substring_index("path", "/", -1)
     j = j.select(
         "*",
-        F.coalesce("b_dir", "a_dir").alias("dir"),
-        F.coalesce("b_name", "a_name").alias("name"),
+        F.when(F.instr("path", "/") > 0,
+               F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)"))
+        .otherwise(F.lit("")).alias("dir"),
+        name.alias("name"),
         b_hash.alias("b_hash"),
         b_err.alias("b_err"),
         skip.alias("skip"),
