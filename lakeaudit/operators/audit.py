@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lakeaudit.functions.hashing import check_algo, content_hash, pick_hash
 from lakeaudit.functions.paths import ancestors, join_path
-from lakeaudit.operators.joins import broadcast_if_small
+from lakeaudit.operators.joins import broadcast_if_small, lookup_join
 from lakeaudit.schema import HASH_ALGOS, MANIFEST_COLUMNS, Status
 
 AUDIT_COLUMNS = [
@@ -212,7 +212,9 @@ def vanished_dirs(stored_dirs: DataFrame, current_dirs: DataFrame, *, log_delete
     root and every current directory).
     """
     vis = _visited(current_dirs, visited)
-    gone = stored_dirs.join(vis, "dir", "left_semi").join(current_dirs, ["dir", "subdir"], "left_anti")
+    # (dir, subdir) is unique; the scope lookup on dir alone may be hot -> lookup_join
+    gone = lookup_join(stored_dirs, vis, ["dir"], "left_semi", spread_by="subdir").join(
+        current_dirs, ["dir", "subdir"], "left_anti")
     top = gone
     out = top.select(
         "dir", F.col("subdir").alias("name"), join_path("dir", "subdir").alias("path"),
@@ -232,7 +234,7 @@ def dirlist_changed(stored_dirs: DataFrame, current_dirs: DataFrame, *, keep_mis
     if not keep_missing:
         removed = stored_dirs.join(current_dirs, ["dir", "subdir"], "left_anti").select("dir")
         changed = added.union(removed)
-    return changed.distinct().join(visited, "dir", "left_semi")
+    return lookup_join(changed.distinct(), visited, ["dir"], "left_semi", spread_by="dir")
 
 
 def changed_dirs(table: DataFrame, stored_dirs: DataFrame | None = None,
