@@ -101,11 +101,19 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str = "", rea
     scan_root = root.rstrip("/") + ("/" + subpath if subpath else "")
     root_name = root.rstrip("/").rsplit("/", 1)[-1]
 
+    found_rules: list[DataFrame] = []
+
     def prune(level: DataFrame, seen: DataFrame) -> DataFrame:
-        # ignored directories are not descended into (their content is never listed)
-        lv, sn = _prefix(level, subpath), _prefix(seen, subpath)
+        # ignored directories are not descended into (their content is never
+        # listed); a directory of this level is decided by rule files of its
+        # ancestors, all listed by now -- each level's rule files are read once
+        lv = _prefix(level, subpath)
+        found_rules.append(read_ignore_files(lv, root).checkpoint())
+        rules_so_far = found_rules[0]
+        for r in found_rules[1:]:
+            rules_so_far = rules_so_far.unionByName(r)
         dirs = lv.where(F.col("kind") == "dir")
-        kept_dirs = I.apply_ignore(dirs, read_ignore_files(sn, root), include_dot=include_dot,
+        kept_dirs = I.apply_ignore(dirs, rules_so_far, include_dot=include_dot,
                                    global_rules=global_rules, root_name=root_name)
         if subpath:
             kept_dirs = kept_dirs.select(F.expr(f"substring(path, {len(subpath) + 2})").alias("path"))
