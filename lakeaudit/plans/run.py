@@ -81,9 +81,13 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str = "", rea
            algo: str = "md5", skip_existing: bool = False, force: bool = False, keep_missing: bool = False,
            log_deleted: bool = False, include_dot: bool = False, max_depth: int = 0, recurse: bool = True,
            follow_links: bool = True, global_rules: DataFrame | None = None,
-           snapshot_id: str | None = None) -> RunResult:
+           snapshot_id: str | None = None, hide_new: bool = False) -> RunResult:
     """Audit the tree below ``root/subpath`` against the published manifest.
 
+    ``events`` holds every event of the run, ``ign`` ones included (filter
+    with ``operators.audit.report`` for what the tool would print);
+    ``hide_new`` drops ``new`` events and counts them as 0 (``check -s``).
+
     Only the directories this run descends into are compared (the scan root,
     and below it as far as ``recurse``/``max_depth`` allow); a full run from
     the root forgets directories that vanished, a subset run keeps every
@@ -165,7 +169,15 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str = "", rea
         evts = evts.unionByName(bad.select("dir", F.lit("").alias("name"), F.col("dir").alias("path"),
                                            F.lit(Status.BAD_INDEX).alias("status")))
         dl_changed = dl_changed.unionByName(bad)
-    summary = A.run_summary(t, dirlist_changed=dl_changed, dir_events=vanished)
+    # entries of visited directories that the rules leave out (verbose-only in the tool)
+    ignored = I.show_ignored(listing.where(F.col("kind").isin("file", "dir")), rules, include_dot=include_dot,
+                             global_rules=global_rules, root_name=root_name)
+    evts = evts.unionByName(ignored.select(
+        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"),
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "path", F.lit(Status.IGNORED).alias("status")))
+    summary = A.run_summary(t, dirlist_changed=dl_changed, dir_events=vanished, hide_new=hide_new)
+    if hide_new:
+        evts = evts.where(F.col("status") != Status.NEW)
 
     nxt = A.next_manifest(t)
     next_dirs = current_dirs

@@ -69,11 +69,15 @@ def test_tree_end_to_end(spark, tmp_path):
     r = update(spark, root, store, skip_existing=True)
     assert _counts(r).get("old") == 1
 
-    # dot names are out unless included
+    # dot names are out unless included; they are reported as ignored
     _w(f"{root}/.hid/q.txt", "q", t0)
     _w(f"{root}/b/.dot", "d", t0)
     r = update(spark, root, store)
     assert r.summary.first()["new"] == 0
+    ign = sorted(x["path"] for x in r.events.where("status = 'ign'").collect())
+    assert ign == [".hid", "b/.dot", "b/z2.csv"]
+    chk = update(spark, root, store, readonly=True, include_dot=True, hide_new=True)
+    assert chk.summary.first()["new"] == 0 and chk.events.where("status = 'new'").count() == 0
     r = update(spark, root, store, include_dot=True)
     assert r.summary.first()["new"] == 2
 
