@@ -1,4 +1,4 @@
-"""Human sizes (X1 format_size, X2 parse_size) in exact integer arithmetic.
+"""Human sizes (X1 format_size, X2 parse_size) as built-in expressions.
 
 ``format_size``: unit index = largest k with 1024^k <= size; a whole value
 prints without decimals, otherwise with one decimal rounded half to even
