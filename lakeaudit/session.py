@@ -58,10 +58,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables.
 
     Taken from ``spark.checkpoint.dir`` as the cluster names it; only when it
-    is unset (local tests) a fresh folder is made and registered.
+    is unset (local tests) a fresh folder is made and registered.  With a
+    Spark Connect session the server's setting is used as is.
     """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no driver-side context
+        return path or ""
+    path = path or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="lakeaudit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
