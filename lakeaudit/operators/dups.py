@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.sizes import format_size
-from lakeaudit.operators.joins import lookup_join, salted_join
+from lakeaudit.operators.joins import broadcast_if_small, lookup_join, salted_join
 
 DEFAULT_MIN_SIZE = 8192
 UNKNOWN_PREFIX = "\u0001"
@@ -245,7 +245,9 @@ def dedup_apply(manifest: DataFrame, plan: DataFrame) -> DataFrame:
     """Every object with its canonical copy (the keeper of its bag, or
     itself).  ``plan`` is keyed by ``duplicate`` (unique), so this is a
     plain equi-join on a unique key."""
-    m = plan.select(F.col("duplicate").alias("path"), "keeper")
+    # the plan is usually much smaller than the manifest: broadcast after a
+    # count (it is written once first), plain shuffle join beyond the limit
+    m = broadcast_if_small(plan.select(F.col("duplicate").alias("path"), "keeper"), materialize=True)
     return manifest.join(m, "path", "left").select(
         "path", "hash", F.coalesce("keeper", "path").alias("canonical"),
         F.col("keeper").isNull().alias("is_canonical"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lakeaudit.functions.glob import glob_regex
 from lakeaudit.functions.paths import component_pairs, path_parts
-from lakeaudit.operators.joins import lookup_join
+from lakeaudit.operators.joins import broadcast_if_small, lookup_join
 
 INDEX_NAME = ".chkbit"
 IGNORE_NAME = ".chkbitignore"
@@ -107,7 +107,10 @@ def apply_ignore(listing: DataFrame, rules: DataFrame | None, *, include_dot: bo
         return kept
     if rules is None:
         rules = listing.sparkSession.createDataFrame([], "dir string, pattern string")
-    m = rule_matches(kept, rules, global_rules, root_name).select("path")
+    # matched paths are usually few: written once, counted, and broadcast when
+    # small, so the listing itself is not shuffled (plain shuffle join beyond)
+    m = broadcast_if_small(rule_matches(kept, rules, global_rules, root_name).select("path").distinct(),
+                           materialize=True)
     return kept.join(m, "path", "left_anti").select(*listing.columns)
 
 
