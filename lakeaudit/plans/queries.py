@@ -37,7 +37,13 @@ def audit_status(spark, sf_dir):
 
 
 def _dir_context(spark, sf_dir):
-    return FX.stored_dirs(spark, sf_dir), FX.current_dirs(spark, sf_dir)
+    # directory lists are small (one row per directory) and read by several
+    # branches: written once to the checkpoint folder, like the persisted
+    # lists of a store
+    from lakeaudit.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    return FX.stored_dirs(spark, sf_dir).checkpoint(), FX.current_dirs(spark, sf_dir).checkpoint()
 
 
 def changed_dirs(spark, sf_dir):
