@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.sizes import format_size
-from lakeaudit.operators.joins import broadcast_if_small, lookup_join, salted_join
+from lakeaudit.operators.joins import broadcast_if_small, lookup_join, salted_join, skew_join
 
 DEFAULT_MIN_SIZE = 8192
 UNKNOWN_PREFIX = "\u0001"
@@ -146,14 +146,15 @@ def dup_items(manifest: DataFrame, bags: DataFrame, locations: DataFrame | None
     """Items of the bags: ``hash, path, size, merged, keeper, shared,
     exclusive, ext_unknown``.
 
-    The bag row is looked up once, with a salted join on ``hash`` (hot
-    digests are spread over ``spark.lakeaudit.saltBuckets`` tasks); the plan
-    (D1) and the JSON lines (K5) are projections of this.
+    The bag row is looked up once, with a skew-aware join on ``hash``: hot
+    digests (bags of ``spark.lakeaudit.hotKeyRows`` items or more) are spread
+    over ``spark.lakeaudit.saltBuckets`` tasks, all others join once; the
+    plan (D1) and the JSON lines (K5) are projections of this.
     """
     items = placed_items(manifest, locations, listing, min_size).where("present")
     b = bags.select("hash", F.col("size").alias("bag_size"), "merged_n", "win_key", "keeper",
-                    "shared", "exclusive", "ext_unknown")
-    j = salted_join(items, b, ["hash"], "inner", spread_by="path")
+                    "shared", "exclusive", "ext_unknown", "n_items")
+    j = skew_join(items, b, ["hash"], "n_items", "inner", spread_by="path")
     merged = (F.col("class_key") == F.col("win_key")) & (F.col("merged_n") >= 2)
     return j.select("hash", "path", F.col("bag_size").alias("size"), merged.alias("merged"), "keeper",
                     "shared", "exclusive", "ext_unknown")

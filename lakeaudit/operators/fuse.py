@@ -14,8 +14,9 @@ Rules:
   directory manifest (later saves win, parents are visited first).
 
 Shape: small per-source / per-directory decision tables built with partial
-aggregations, then salted semi joins back to the entries (a single source or
-directory may hold a third of the rows).
+aggregations (they also count each key's rows), then skew-aware joins back to
+the entries: a source or directory holding a third of the rows is spread over
+several tasks, the others join once.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.paths import depth, join_dirs, join_path
-from lakeaudit.operators.joins import salted_join
+from lakeaudit.operators.joins import skew_join
 from lakeaudit.schema import MANIFEST_COLUMNS
 
 
@@ -33,9 +34,11 @@ def _taken(sources: DataFrame, include_top: bool) -> DataFrame:
     per_source = s.groupBy("source_root").agg(
         F.bool_or(F.col("kind") == "atom").alias("has_atom"),
         F.bool_or(F.col("name").isNull() | F.col("mod_ms").isNull()).alias("invalid"),
+        F.count("*").alias("_rows"),
     )
-    usable = per_source.where(~F.col("invalid")).select("source_root", "has_atom")
-    s = salted_join(s, usable, ["source_root"], "inner", spread_by=F.concat_ws("/", "dir", "name"))
+    usable = per_source.where(~F.col("invalid")).select("source_root", "has_atom", "_rows")
+    s = skew_join(s, usable, ["source_root"], "_rows", "inner",
+                  spread_by=F.concat_ws("/", "dir", "name")).drop("_rows")
     return s.where((F.col("kind") == "atom") | ~F.col("has_atom")).drop("has_atom")
 
 
@@ -47,8 +50,9 @@ def fuse(sources: DataFrame, include_top: bool = False) -> DataFrame:
         join_dirs("source_root", "dir").alias("_fdir"),
         depth("source_root").alias("_depth"),
     )
-    win = s.groupBy("_fdir").agg(F.max("_depth").alias("_depth"))
-    kept = salted_join(s, win, ["_fdir", "_depth"], "left_semi", spread_by="name")
+    win = s.groupBy("_fdir", "_depth").agg(F.count("*").alias("_rows")).groupBy("_fdir").agg(
+        F.max(F.struct("_depth", "_rows")).alias("_w")).select("_fdir", "_w._depth", "_w._rows")
+    kept = skew_join(s, win, ["_fdir", "_depth"], "_rows", "left_semi", spread_by="name")
     out = kept.select(F.col("_fdir").alias("dir"), "name", join_path("_fdir", "name").alias("path"),
                       "mod_ms", "algo", "hash", "size", "source_root")
     return out.select(*MANIFEST_COLUMNS, "source_root")

@@ -73,3 +73,30 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     if small.count() <= limit:
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, how, spread_by=spread_by)
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], count_col: str, how: str = "inner",
+              spread_by: Column | str = "path", hot_rows: int | None = None,
+              buckets: int | None = None) -> DataFrame:
+    """Many-to-one lookup where ``small`` knows how many big-side rows each of
+    its keys has (``count_col``).  Keys with at least
+    ``spark.lakeaudit.hotKeyRows`` rows are hot: their big-side rows are spread
+    over ``saltBuckets`` salts and only their small-side rows are replicated;
+    every other key joins once, unsalted.  The hot-key set is counted before
+    it is broadcast (at most rows / hotKeyRows keys); beyond the broadcast
+    limit every key is salted (``salted_join``)."""
+    spark = big.sparkSession
+    t = hot_rows if hot_rows is not None else conf_int(spark, "hotKeyRows")
+    n = buckets if buckets is not None else conf_int(spark, "saltBuckets")
+    hot = small.where(F.col(count_col) >= F.lit(t)).select(*on).distinct()
+    if hot.count() > conf_int(spark, "broadcastMaxRows"):
+        return salted_join(big, small, on, how, spread_by=spread_by, buckets=n)
+    spread = F.col(spread_by) if isinstance(spread_by, str) else spread_by
+    flag = "_hot"
+    b = (big.join(F.broadcast(hot.withColumn(flag, F.lit(True))), on, "left")
+         .withColumn(SALT, F.when(F.col(flag), F.pmod(F.xxhash64(spread), F.lit(n))).otherwise(F.lit(0)).cast("int"))
+         .drop(flag))
+    s = small.withColumn(SALT, F.when(F.col(count_col) >= F.lit(t), F.sequence(F.lit(0), F.lit(n - 1)))
+                         .otherwise(F.array(F.lit(0))))
+    s = s.withColumn(SALT, F.explode(SALT))
+    return b.join(s, on + [SALT], how).drop(SALT)

@@ -16,6 +16,9 @@ DEFAULTS = {
     # salt buckets for joins whose big side is keyed by a possibly hot key
     # (hash of a duplicate bag, directory of a manifest)
     "saltBuckets": 16,
+    # a key with at least this many big-side rows is hot (spread and replicated);
+    # there are at most rows / hotKeyRows hot keys, so their set is small
+    "hotKeyRows": 100_000,
 }
 
 

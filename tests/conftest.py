@@ -16,5 +16,7 @@ def spark():
     s = get_spark("local[4]", 8)
     # small salt so that salted joins are exercised but cheap in tests
     s.conf.set("spark.lakeaudit.saltBuckets", "4")
+    # low threshold so that the hot-key path of skew-aware joins runs in tests
+    s.conf.set("spark.lakeaudit.hotKeyRows", "1000")
     yield s
     s.stop()
