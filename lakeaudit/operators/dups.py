@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.sizes import format_size
-from lakeaudit.operators.joins import broadcast_if_small, lookup_join, salted_join, skew_join
+from lakeaudit.operators.joins import broadcast_if_small, lookup_join, skew_join
 
 DEFAULT_MIN_SIZE = 8192
 UNKNOWN_PREFIX = "\u0001"
@@ -223,10 +223,11 @@ def dedup_plan(items: DataFrame) -> DataFrame:
     if "keeper" in items.columns:
         return items.where(~F.col("merged") & (F.col("path") != F.col("keeper"))).select(
             "hash", "keeper", F.col("path").alias("duplicate"), F.col("size").alias("bytes"))
-    keepers = items.groupBy("hash").agg(F.min(F.struct((~F.col("merged")).alias("nm"), "path")).alias("k")).select(
-        "hash", F.col("k.path").alias("keeper"))
+    keepers = items.groupBy("hash").agg(F.min(F.struct((~F.col("merged")).alias("nm"), "path")).alias("k"),
+                                        F.count("*").alias("_rows")).select(
+        "hash", F.col("k.path").alias("keeper"), "_rows")
     todo = items.where(~F.col("merged"))
-    j = salted_join(todo, keepers, ["hash"], "inner", spread_by="path")
+    j = skew_join(todo, keepers, ["hash"], "_rows", "inner", spread_by="path")
     return j.where(F.col("path") != F.col("keeper")).select(
         "hash", "keeper", F.col("path").alias("duplicate"), F.col("size").alias("bytes"))
 
@@ -235,9 +236,9 @@ def dedup_pairs(groups: DataFrame, group_col: str, order_col: str, path_col: str
     """Explicit lists -- the first of each group (by ``order_col``) keeps,
     every other member is merged into it."""
     first = F.struct(F.col(order_col).alias("_o"), F.col(path_col).alias("_p"))
-    keepers = groups.groupBy(group_col).agg(F.min(first).alias("k")).select(
-        group_col, F.col("k._p").alias("keeper"))
-    j = salted_join(groups, keepers, [group_col], "inner", spread_by=path_col)
+    keepers = groups.groupBy(group_col).agg(F.min(first).alias("k"), F.count("*").alias("_rows")).select(
+        group_col, F.col("k._p").alias("keeper"), "_rows")
+    j = skew_join(groups, keepers, [group_col], "_rows", "inner", spread_by=path_col)
     return j.where(F.col(path_col) != F.col("keeper")).select(
         group_col, "keeper", F.col(path_col).alias("duplicate"))
 

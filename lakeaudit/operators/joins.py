@@ -2,13 +2,22 @@
 
 * ``broadcast_if_small``: broadcast a side only after counting it against
   ``spark.lakeaudit.broadcastMaxRows``; beyond that the plain shuffle join is
-  kept (and AQE may still convert it from runtime statistics).
-* ``salted_join``: a many-to-one lookup whose big side is keyed by a value
-  that may hold a third of all rows (the hash of the empty object, one huge
-  directory).  The big side gets a salt from a hash of a unique column, the
-  small side is replicated once per salt value, so the hot key is spread
-  over ``spark.lakeaudit.saltBuckets`` tasks.  Exact: every big row meets its
-  one partner exactly once.
+  kept (used where the key is unique, so no key can be hot).
+* ``skew_join``: a many-to-one lookup whose small side knows how many
+  big-side rows each key has.  Keys with at least
+  ``spark.lakeaudit.hotKeyRows`` rows (at most rows / hotKeyRows of them,
+  counted before broadcasting) are spread over ``saltBuckets`` salts on the
+  big side and replicated only for themselves on the small side; all other
+  keys join once.
+* ``lookup_join``: a big frame against a lookup table without counts:
+  broadcast after a size check; a large table goes through ``skew_join``
+  with key counts taken from the big side (a partial aggregation).
+* ``salted_join``: the uniform form -- every key salted, the small side
+  replicated ``saltBuckets`` times; only the fallback of ``skew_join`` when
+  even the hot-key set is too large to broadcast.
+
+Every form is exact: each big row meets its partner once, and the salt is
+a hash of a deterministic big-side column, so a re-run task salts alike.
 """
 
 from __future__ import annotations
@@ -72,7 +81,11 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
         small = small.checkpoint(eager=True)
     if small.count() <= limit:
         return big.join(F.broadcast(small), on, how)
-    return salted_join(big, small, on, how, spread_by=spread_by)
+    # large lookup table: find the hot keys from the big side (a partial
+    # aggregation over the key columns) and spread only those
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_key_rows"))
+    sized = small.join(counts, on, "left").withColumn("_key_rows", F.coalesce("_key_rows", F.lit(0)))
+    return skew_join(big, sized, on, "_key_rows", how, spread_by=spread_by).drop("_key_rows")
 
 
 def skew_join(big: DataFrame, small: DataFrame, on: list[str], count_col: str, how: str = "inner",

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeaudit.schema import MANIFEST_COLUMNS, MANIFEST_SCHEMA
-from lakeaudit.operators.joins import salted_join
+from lakeaudit.operators.joins import lookup_join
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -100,13 +100,13 @@ def merge_changed(old: DataFrame, nxt: DataFrame, changed_dirs: DataFrame, scope
     Full run (``scope`` None): the next manifest itself -- directories that
     vanished are forgotten.  Subset run: entries of changed directories come
     from ``nxt``, every other directory keeps its old entries.  ``dir`` may be
-    hot, so the directory lookups are salted.
+    hot, so the directory lookups are size-checked / skew-aware.
     """
     if scope is None:
         return nxt.select(*MANIFEST_COLUMNS)
     ch = changed_dirs.select("dir").distinct()
-    new_part = salted_join(nxt.select(*MANIFEST_COLUMNS), ch, ["dir"], "left_semi", spread_by="name")
-    keep_old = salted_join(old.select(*MANIFEST_COLUMNS), ch, ["dir"], "left_anti", spread_by="name")
+    new_part = lookup_join(nxt.select(*MANIFEST_COLUMNS), ch, ["dir"], "left_semi", spread_by="name")
+    keep_old = lookup_join(old.select(*MANIFEST_COLUMNS), ch, ["dir"], "left_anti", spread_by="name")
     return new_part.unionByName(keep_old)
 
 

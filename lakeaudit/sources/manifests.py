@@ -173,9 +173,9 @@ def read_atom_manifest(files: DataFrame, root: str) -> tuple[DataFrame, DataFram
 
     The file is decoded as a stream: one directory index is in memory at a
     time and entries leave in Arrow batches.  Repeated keys are resolved
-    afterwards in Spark (max position per directory, salted semi join).
+    afterwards in Spark (max position per directory, skew-aware semi join).
     """
-    from lakeaudit.operators.joins import broadcast_if_small, salted_join
+    from lakeaudit.operators.joins import broadcast_if_small, skew_join
 
     base = root.rstrip("/")
 
@@ -193,8 +193,9 @@ def read_atom_manifest(files: DataFrame, root: str) -> tuple[DataFrame, DataFram
         both.where((F.col("kind") == "I") & F.col("error").isNotNull()).select("source").distinct())
     both = both.join(bad, "source", "left_anti").unionByName(
         both.join(bad, "source", "left_semi").where((F.col("kind") == "I") & F.col("error").isNotNull()))
-    last = both.where(F.col("kind") == "I").groupBy("source", "dir").agg(F.max("seq").alias("seq"))
-    both = salted_join(both, last, ["source", "dir", "seq"], "left_semi", spread_by=F.coalesce("name", F.lit("")))
+    last = both.groupBy("source", "dir").agg(F.max("seq").alias("seq"), F.count("*").alias("_rows"))
+    both = skew_join(both, last, ["source", "dir", "seq"], "_rows", "left_semi",
+                     spread_by=F.coalesce("name", F.lit("")))
     return _unpack(both)
 
 
