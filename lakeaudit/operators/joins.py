@@ -90,15 +90,24 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
 
 def skew_join(big: DataFrame, small: DataFrame, on: list[str], count_col: str, how: str = "inner",
               spread_by: Column | str = "path", hot_rows: int | None = None,
-              buckets: int | None = None) -> DataFrame:
+              buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """Many-to-one lookup where ``small`` knows how many big-side rows each of
     its keys has (``count_col``).  Keys with at least
     ``spark.lakeaudit.hotKeyRows`` rows are hot: their big-side rows are spread
     over ``saltBuckets`` salts and only their small-side rows are replicated;
     every other key joins once, unsalted.  The hot-key set is counted before
     it is broadcast (at most rows / hotKeyRows keys); beyond the broadcast
-    limit every key is salted (``salted_join``)."""
+    limit every key is salted (``salted_join``).
+
+    ``materialize``: the small side (an aggregate) is written once to the
+    checkpoint folder, so that the hot-key count and the join do not compute
+    its upstream twice."""
     spark = big.sparkSession
+    if materialize:
+        from lakeaudit.session import checkpoint_dir
+
+        checkpoint_dir(spark)
+        small = small.checkpoint(eager=True)
     t = hot_rows if hot_rows is not None else conf_int(spark, "hotKeyRows")
     n = buckets if buckets is not None else conf_int(spark, "saltBuckets")
     hot = small.where(F.col(count_col) >= F.lit(t)).select(*on).distinct()
