@@ -1,7 +1,6 @@
 """Ignore rules: the 17 per-entry cases of the reference's table test
 (FIXTURES 1.3, include_dot on), pruning, show_ignored and the document fixture."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from lakeaudit.operators import ignore as I

@@ -3,7 +3,6 @@ new -> delete (dir reported once) -> repeat -> add-only -> older rewrite ->
 dot files -> silent damage."""
 
 import os
-import time
 
 from pyspark.sql import functions as F
 
