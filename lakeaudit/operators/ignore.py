@@ -103,8 +103,8 @@ def apply_ignore(listing: DataFrame, rules: DataFrame | None, *, include_dot: bo
     """the listing without ignored entries and without entries below an
     ignored directory."""
     kept = listing.where(~builtin_out(include_dot, index_name, ignore_name))
-    if rules is None and global_rules is None:
-        return kept
+    if global_rules is None and (rules is None or rules.isEmpty()):
+        return kept  # no rule anywhere: the narrow built-in filter is all
     if rules is None:
         rules = listing.sparkSession.createDataFrame([], "dir string, pattern string")
     # matched paths are usually few: written once, counted, and broadcast when
@@ -128,7 +128,7 @@ def show_ignored(listing: DataFrame, rules: DataFrame | None, *, include_dot: bo
                            _builtin_hit(F.element_at(parts, j), include_dot, index_name, ignore_name).alias("hit")),
     )).alias("b")).where("b.hit").select("path", "b.j", "b.entry_path")
     hits = builtin
-    if rules is not None or global_rules is not None:
+    if global_rules is not None or (rules is not None and not rules.isEmpty()):
         if rules is None:
             rules = listing.sparkSession.createDataFrame([], "dir string, pattern string")
         hits = hits.unionByName(rule_matches(listing, rules, global_rules, root_name))
