@@ -182,3 +182,30 @@ def test_fuse_tree(spark, tmp_path):
     assert sorted((r["path"], r["hash"]) for r in read_current(spark, store).collect()) == got
     roots = {(r["root"], r["kind"]) for r in locate_roots(L.walk(spark, root)).collect()}
     assert ("a", "atom") in roots and ("a", "split") in roots and ("a/b", "split") in roots
+
+
+def test_changed_while_hashing(tmp_path, monkeypatch):
+    """H5: when mtime and size both move during the read, the file is hashed
+    again and the later stat is kept; one of them moving is not enough."""
+    p = tmp_path / "f.bin"
+    p.write_bytes(b"abc")
+    calls = {"stat": 0, "digest": 0}
+    real_digest = L._digest
+
+    def fake_stat(path, seq):
+        calls["stat"] += 1
+        return seq[min(calls["stat"], len(seq)) - 1]
+
+    def counting_digest(path, algo):
+        calls["digest"] += 1
+        return real_digest(path, algo)
+
+    monkeypatch.setattr(L, "_digest", counting_digest)
+    monkeypatch.setattr(L, "_stat", lambda path: fake_stat(path, [(1, 3), (2, 4)]))
+    mod, size, digest, err = L.hash_file(str(p), "md5")
+    assert (mod, size, err) == (2, 4, None) and calls["digest"] == 2
+    assert digest == hashlib.md5(b"abc").hexdigest()
+    calls.update(stat=0, digest=0)
+    monkeypatch.setattr(L, "_stat", lambda path: fake_stat(path, [(1, 3), (2, 3)]))
+    mod, size, _, _ = L.hash_file(str(p), "md5")
+    assert (mod, size) == (1, 3) and calls["digest"] == 1
