@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lakeaudit.llm import bpe, exact_dedup, quality, secret_scan, sharding
+from lakeaudit.llm import bpe, exact_dedup, quality, secret_scan, sharding, simhash
 
 QUERIES = {
     "op1_maglev_shards": sharding.op1_maglev_shards,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_simhash": simhash.op4_simhash,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality": quality.op8_quality,
     "op10_secrets": secret_scan.op10_secrets,
