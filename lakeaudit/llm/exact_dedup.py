@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import WS_CLASS, documents, shared_path, staged, text_or_empty
+from lakeaudit.llm.common import WS_CLASS, documents, shared_path, spare, staged, text_or_empty
 
 N_BUCKETS = 32
 
@@ -125,5 +125,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = docs.join(decisions.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "doc_id", "left_anti")
     n = docs.count()
     if n != decisions.count():  # the same document more than once: leave it once
-        out = out.withColumn("_d", digest_of(F.col("text"))).dropDuplicates(["doc_id", "_d"]).drop("_d")
+        mark = spare(docs, "_digest")
+        out = out.withColumn(mark, digest_of(F.col("text"))).dropDuplicates(["doc_id", mark])
     return out.select(*docs.columns)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lakeaudit.llm import bpe, exact_dedup, quality, secret_scan, sharding, simhash
+from lakeaudit.llm import bpe, exact_dedup, license_scan, mixing, quality, secret_scan, sharding, simhash
 
 QUERIES = {
     "op1_maglev_shards": sharding.op1_maglev_shards,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_raked_mixture": mixing.op3_raked_mixture,
     "op4_simhash": simhash.op4_simhash,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality": quality.op8_quality,
     "op10_secrets": secret_scan.op10_secrets,
@@ -16,4 +18,6 @@ QUERIES = {
 ORACLE = {
     "op1_maglev_shards": sharding.oracle(),
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_raked_mixture": mixing.oracle(),
+    "op5_license_scan": license_scan.oracle(),
 }

@@ -18,7 +18,7 @@ def edge_docs(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(EDGE, "doc_id long, text string, lang string")
-    for clash in ("source", "slot", "digest", "keep_id", "kept", "score", "fp", "n_words", "_d", "n"):
+    for clash in ("source", "slot", "digest", "keep_id", "kept", "score", "fp", "n_words", "_digest", "n", "_w", "_llr"):
         df = df.withColumn(clash, F.lit("clash"))
     return df.withColumn("n_chars", F.length("text").cast("long"))
 
