@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeaudit.llm import bpe, exact_dedup, license_scan, mixing, quality, secret_scan, sharding, simhash
+from lakeaudit.llm import bpe, exact_dedup, hmm, license_scan, mixing, quality, secret_scan, sharding, simhash
 
 QUERIES = {
     "op1_maglev_shards": sharding.op1_maglev_shards,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_license_scan": license_scan.op5_license_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality": quality.op8_quality,
+    "op9_hmm": hmm.op9_hmm,
     "op10_secrets": secret_scan.op10_secrets,
 }
 
