@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeaudit.llm import bpe, exact_dedup, hmm, license_scan, mixing, quality, secret_scan, sharding, simhash
+from lakeaudit.llm import bpe, exact_dedup, hmm, license_scan, mixing, passages, quality, secret_scan, sharding, simhash
 
 QUERIES = {
     "op1_maglev_shards": sharding.op1_maglev_shards,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_raked_mixture": mixing.op3_raked_mixture,
     "op4_simhash": simhash.op4_simhash,
     "op5_license_scan": license_scan.op5_license_scan,
+    "op6_passages": passages.op6_passages,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality": quality.op8_quality,
     "op9_hmm": hmm.op9_hmm,
