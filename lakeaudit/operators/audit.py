@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lakeaudit.functions.hashing import check_algo, content_hash, pick_hash
 from lakeaudit.functions.paths import ancestors, join_path
-from lakeaudit.operators.joins import broadcast_if_small, lookup_join
+from lakeaudit.operators.joins import lookup_join
 from lakeaudit.schema import HASH_ALGOS, MANIFEST_COLUMNS, Status
 
 AUDIT_COLUMNS = [
@@ -36,9 +36,8 @@ AUDIT_COLUMNS = [
 
 
 def _stored_algos(stored: DataFrame) -> list[str]:
-    # distinct algorithm names; a handful at most, checked
-    rows = stored.select("algo").where(F.col("algo").isNotNull()).distinct().limit(len(HASH_ALGOS) + 8).collect()
-    return sorted({r[0] for r in rows})
+    # only names that can be computed matter: as many rows as there are of them
+    return sorted(r[0] for r in stored.select("algo").where(F.col("algo").isin(*HASH_ALGOS)).distinct().collect())
 
 
 def _hash_observed(observed: DataFrame, algos: list[str]) -> tuple[DataFrame, dict[str, Column]]:
@@ -49,16 +48,23 @@ def _hash_observed(observed: DataFrame, algos: list[str]) -> tuple[DataFrame, di
 
 
 def _skip_unchanged(observed: DataFrame, stored: DataFrame) -> DataFrame:
-    """H4: only entries whose (path, mtime) is not in the stored manifest are
-    hashed; the others carry a null content and take the stored digest.
-    The changed key set is broadcast when its size is checked small."""
+    """H4: only entries whose (path, mtime) is not in the stored manifest need
+    a digest; the others take the stored one (the audit join decides that).
+
+    Content never crosses a shuffle.  The changed paths go out as a broadcast
+    of 64-bit path hashes when they are counted few enough (a false hit only
+    costs a digest); beyond that every entry is digested where it is scanned,
+    which is right as well and costs reading the unchanged content."""
+    from lakeaudit.session import conf_int
+
     keys = stored.select("path", "mod_ms")
-    changed = observed.select("path", "mod_ms").join(keys, ["path", "mod_ms"], "left_anti").select("path")
-    to_hash = observed.join(broadcast_if_small(changed, materialize=True), "path", "left_semi")
-    unchanged = (observed.join(keys, ["path", "mod_ms"], "left_semi")
-                 .withColumn("content", F.lit(None).cast(observed.schema["content"].dataType))
-                 .withColumn("error", F.lit(None).cast("string")))
-    return to_hash.unionByName(unchanged)
+    changed = (observed.select("path", "mod_ms").join(keys, ["path", "mod_ms"], "left_anti")
+               .select(F.xxhash64("path").alias("_changed")).distinct().checkpoint())
+    if changed.count() > conf_int(observed.sparkSession, "broadcastMaxKeys"):
+        return observed
+    marked = observed.withColumn("_path_hash", F.xxhash64("path")).join(
+        F.broadcast(changed), F.col("_path_hash") == F.col("_changed"), "left")
+    return marked.withColumn("content", F.when(F.col("_changed").isNotNull(), F.col("content"))).drop("_changed", "_path_hash")
 
 
 def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: bool = False,
@@ -68,12 +74,16 @@ def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: b
 
     ``observed`` carries either ``content`` (hashed here with the stored
     algorithm of each entry, H3) or ready ``algo``/``hash`` columns.
+    ``unread`` (optional, boolean) marks entries left unread on purpose: one
+    that is not stored is ``new`` and is not published without a digest.
     ``algos``: the algorithms used in ``stored`` when known (e.g. kept with
     the snapshot); otherwise one pass over its ``algo`` column finds them.
     """
     algo = check_algo(algo)
     if "error" not in observed.columns:
         observed = observed.withColumn("error", F.lit(None).cast("string"))
+    if "unread" not in observed.columns:
+        observed = observed.withColumn("unread", F.lit(False))
     if "content" in observed.columns:
         if skip_existing:
             observed = _skip_unchanged(observed, stored)
@@ -95,7 +105,7 @@ def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: b
     b = obs.select(
         "path", F.lit(True).alias("b_in"),
         F.col("mod_ms").alias("b_mod"), F.col("size").alias("b_size"),
-        F.col("error").alias("b_error"), *hash_cols,
+        F.col("error").alias("b_error"), F.col("unread").alias("b_unread"), *hash_cols,
     )
     j = a.join(b, "path", "full_outer")
 
@@ -112,7 +122,7 @@ def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: b
     b_err = F.when(
         b_in & ~skip,
         F.coalesce(F.col("b_error"),
-                   F.when(fresh.isNull(), F.concat(F.lit("cannot hash with "), eff_algo))),
+                   F.when(fresh.isNull() & ~F.col("b_unread"), F.concat(F.lit("cannot hash with "), eff_algo))),
     )
 
     name = F.substring_index("path", "/", -1)
@@ -154,7 +164,8 @@ def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: b
         | ((st == Status.DAMAGE) & F.lit(not force))
         | (a_in & ~b_in)
     )
-    keep = F.when(a_in & ~b_in, F.lit(keep_missing)).when(st == Status.PANIC, a_in).otherwise(True)
+    keep = (F.when(a_in & ~b_in, F.lit(keep_missing)).when(st == Status.PANIC, a_in)
+            .when(~a_in & F.coalesce("b_unread", F.lit(False)), F.lit(False)).otherwise(True))
     counted = st.isin(Status.DAMAGE, Status.OLD, Status.UPDATE, Status.NEW)
     if not skip_existing:
         counted = counted | (st == Status.OK)

@@ -30,19 +30,22 @@ from lakeaudit.functions.glob import glob_regex
 from lakeaudit.functions.paths import component_pairs, path_parts
 from lakeaudit.operators.joins import broadcast_if_small, lookup_join
 
-INDEX_NAME = ".chkbit"
-IGNORE_NAME = ".chkbitignore"
+# names of manifest and rule files; a caller whose files have other names
+# gives those
+INDEX_NAME = ".lakeindex"
+IGNORE_NAME = ".lakeignore"
 GLOBAL_DIR = "\u0000global"
 
 
 def compile_rules(rules: DataFrame) -> DataFrame:
     """``(dir, pattern)`` -> ``(dir, pattern, anchored, regex)``.
 
-    Lines are trimmed; blank lines and ``#`` comments are dropped (S6).
-    ``dir`` is relative to the scan root, ``''`` for the root itself.
+    Lines are trimmed of all white space; blank lines and ``#`` comments are
+    dropped (S6).  ``dir`` is relative to the scan root, ``''`` (or ``.``) for
+    the root itself.
     """
-    d = F.regexp_replace(F.col("dir"), r"^(\./?|/+)|/+$", "")
-    p = F.trim(F.col("pattern"))
+    d = F.when(F.col("dir") == ".", F.lit("")).otherwise(F.regexp_replace("dir", r"^(\./|/)+|/+$", ""))
+    p = F.regexp_replace("pattern", r"(?U)^\s+|\s+$", "")
     r = rules.select(d.alias("dir"), p.alias("pattern")).where(
         (F.col("pattern") != "") & ~F.col("pattern").startswith("#"))
     anchored = F.col("pattern").startswith("/")
@@ -118,8 +121,10 @@ def show_ignored(listing: DataFrame, rules: DataFrame | None, *, include_dot: bo
                  global_rules: DataFrame | None = None, root_name: str = "",
                  index_name: str = INDEX_NAME, ignore_name: str = IGNORE_NAME) -> DataFrame:
     """what a run reports as ignored -- the topmost ignored component of
-    each path once (``path, kind``; kind ``dir`` or ``file``); manifest files
-    are not reported."""
+    each path once (``path, kind``; kind ``dir`` or ``file``, from the
+    listing's ``kind`` where it has one); manifest files are not reported."""
+    if "kind" not in listing.columns:
+        listing = listing.withColumn("kind", F.lit("file"))
     parts = path_parts("path")
     k = F.size(parts)
     builtin = listing.select("path", F.explode(F.transform(
@@ -132,10 +137,10 @@ def show_ignored(listing: DataFrame, rules: DataFrame | None, *, include_dot: bo
         if rules is None:
             rules = listing.sparkSession.createDataFrame([], "dir string, pattern string")
         hits = hits.unionByName(rule_matches(listing, rules, global_rules, root_name))
-    top = hits.groupBy("path").agg(F.min(F.struct("j", "entry_path")).alias("t")).select(
-        "path", F.col("t.j").alias("j"), F.col("t.entry_path").alias("entry_path"))
-    depth = F.size(path_parts("path"))
-    is_file = F.col("j") == depth
+    kinds = listing.select("path", F.col("kind").alias("_kind"))
+    top = hits.groupBy("path").agg(F.min(F.struct("j", "entry_path")).alias("t")).join(kinds, "path").select(
+        "path", F.col("t.j").alias("j"), F.col("t.entry_path").alias("entry_path"), "_kind")
+    is_file = (F.col("j") == F.size(path_parts("path"))) & (F.col("_kind") != "dir")
     name = F.regexp_extract("entry_path", r"([^/]*)$", 1)
     return (
         top.where(~(is_file & _manifest_name(name, index_name, ignore_name)))

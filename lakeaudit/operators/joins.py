@@ -1,7 +1,8 @@
 """Join strategies the operators share.
 
-* ``broadcast_if_small``: broadcast a side only after counting it against
-  ``spark.lakeaudit.broadcastMaxRows``; beyond that the plain shuffle join is
+* ``broadcast_if_small``: broadcast a side only after counting its rows
+  against ``spark.lakeaudit.broadcastMaxRows`` and the bytes of its text
+  against ``spark.lakeaudit.broadcastMaxBytes``; beyond that the plain shuffle join is
   kept (used where the key is unique, so no key can be hot).
 * ``skew_join``: a many-to-one lookup whose small side knows how many
   big-side rows each key has.  Keys with at least
@@ -30,6 +31,17 @@ from lakeaudit.session import conf_int
 SALT = "_salt"
 
 
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether a side may be broadcast: its rows and the bytes of its text
+    columns are both counted and within the limits."""
+    spark = df.sparkSession
+    limit = max_rows if max_rows is not None else conf_int(spark, "broadcastMaxRows")
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    total = sum(sizes[1:], sizes[0]) if sizes else F.lit(0)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(total.cast("long")).alias("b")).first()
+    return row.n <= limit and (row.b or 0) <= conf_int(spark, "broadcastMaxBytes")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None, materialize: bool = False) -> DataFrame:
     """Broadcast ``df`` when it has at most ``max_rows`` rows.
 
@@ -39,14 +51,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None, materialize:
     its lineage.
     """
     spark = df.sparkSession
-    limit = max_rows if max_rows is not None else conf_int(spark, "broadcastMaxRows")
     if materialize:
         from lakeaudit.session import checkpoint_dir
 
         checkpoint_dir(spark)
         df = df.checkpoint(eager=True)
-    n = df.count()
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
@@ -73,13 +83,12 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     ``materialize``: write a derived lookup table to the checkpoint folder
     first, so counting and joining do not compute it twice."""
     spark = big.sparkSession
-    limit = max_rows if max_rows is not None else conf_int(spark, "broadcastMaxRows")
     if materialize:
         from lakeaudit.session import checkpoint_dir
 
         checkpoint_dir(spark)
         small = small.checkpoint(eager=True)
-    if small.count() <= limit:
+    if is_small(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     # large lookup table: find the hot keys from the big side (a partial
     # aggregation over the key columns) and spread only those
@@ -111,7 +120,7 @@ def skew_join(big: DataFrame, small: DataFrame, on: list[str], count_col: str, h
     t = hot_rows if hot_rows is not None else conf_int(spark, "hotKeyRows")
     n = buckets if buckets is not None else conf_int(spark, "saltBuckets")
     hot = small.where(F.col(count_col) >= F.lit(t)).select(*on).distinct()
-    if hot.count() > conf_int(spark, "broadcastMaxRows"):
+    if not is_small(hot):
         return salted_join(big, small, on, how, spread_by=spread_by, buckets=n)
     spread = F.col(spread_by) if isinstance(spread_by, str) else spread_by
     flag = "_hot"

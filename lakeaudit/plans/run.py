@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from lakeaudit.operators import audit as A
 from lakeaudit.operators import ignore as I
 from lakeaudit.operators.joins import lookup_join
-from lakeaudit.schema import MANIFEST_SCHEMA, Status
+from lakeaudit.functions.paths import ancestors
+from lakeaudit.schema import DIRS_SCHEMA, MANIFEST_COLUMNS, Status
+from lakeaudit.session import checkpoint_dir, ship_package
 from lakeaudit.sinks import store as K
-from lakeaudit.sources.listing import _local, hash_files, walk
+from lakeaudit.sources.listing import hash_files, walk
 
 
 @dataclass
@@ -46,7 +48,7 @@ class RunResult:
 
 
 def read_ignore_files(listing: DataFrame, root: str, ignore_name: str = I.IGNORE_NAME) -> DataFrame:
-    """Rules ``(dir, pattern)`` from the ignore files a walk found."""
+    """Rules ``(dir, pattern)`` from the ignore files a walk of ``root`` found."""
     base = root.rstrip("/")
     files = listing.where((F.col("kind") == "file") & (F.col("name") == ignore_name)).select("dir", "path")
 
@@ -57,7 +59,7 @@ def read_ignore_files(listing: DataFrame, root: str, ignore_name: str = I.IGNORE
             rows = []
             for d, p in zip(pdf["dir"], pdf["path"]):
                 try:
-                    for line in _read_text(f"{base}/{p}").splitlines():
+                    for line in _read_text(f"{base}/{p}").split("\n"):
                         rows.append((d, line))
                 except OSError:
                     continue
@@ -73,66 +75,142 @@ def _prefix(listing: DataFrame, subpath: str) -> DataFrame:
     pre = subpath + "/"
     return listing.select(
         F.when(F.col("dir") == "", F.lit(subpath)).otherwise(F.concat(F.lit(pre), "dir")).alias("dir"),
-        "name", F.concat(F.lit(pre), "path").alias("path"),
+        "name", F.when(F.col("path") == "", F.lit(subpath)).otherwise(F.concat(F.lit(pre), "path")).alias("path"),
         *[c for c in listing.columns if c not in ("dir", "name", "path")])
 
 
-def update(spark: SparkSession, root: str, store: str, *, subpath: str = "", readonly: bool = False,
+@dataclass
+class Scan:
+    """What one start path holds, paths relative to the manifest root."""
+
+    kept: DataFrame      # files and directories the rules leave in, with level
+    ignored: DataFrame   # path, kind of what they leave out
+    errors: DataFrame    # listing rows that could not be read
+
+
+def scan(spark: SparkSession, root: str, subpath: str = "", *, include_dot: bool = False, max_depth: int = 0,
+         follow_links: bool = True, global_rules: DataFrame | None = None, index_name: str = I.INDEX_NAME,
+         ignore_name: str = I.IGNORE_NAME) -> Scan:
+    """Walk ``root/subpath`` and apply the ignore rules found on the way.
+
+    Rules hold relative to the start path (whose own name is never tested);
+    each level's rule files are read once, and ignored directories are not
+    descended into."""
+    start = root.rstrip("/") + ("/" + subpath if subpath else "")
+    names = {"index_name": index_name, "ignore_name": ignore_name}
+    options = {"include_dot": include_dot, "global_rules": global_rules, "root_name": start.rsplit("/", 1)[-1], **names}
+    found: list[DataFrame] = []
+
+    def rules_so_far() -> DataFrame:
+        out = found[0]
+        for r in found[1:]:
+            out = out.unionByName(r)
+        return out
+
+    def prune(level: DataFrame, seen: DataFrame) -> DataFrame:
+        # a directory of this level is decided by rule files of its ancestors,
+        # all listed by now
+        found.append(read_ignore_files(level, start, ignore_name).checkpoint())
+        return I.apply_ignore(level.where(F.col("kind") == "dir"), rules_so_far(), **options).select("path")
+
+    listing = walk(spark, start, follow_links=follow_links, max_depth=max_depth, prune=prune)
+    last = listing if not found else listing.where(F.col("level") > len(found))
+    found.append(read_ignore_files(last, start, ignore_name).checkpoint())
+    rules = rules_so_far()
+    entries = listing.where(F.col("kind").isin("file", "dir"))
+    # entries that could not be read are subject to the rules like any other
+    unread = listing.where(F.col("kind") == "error")
+    top = unread.where(F.col("path") == "")
+    below = I.apply_ignore(unread.where(F.col("path") != ""), rules, **options)
+    kept = I.apply_ignore(entries, rules, **options)
+    ignored = I.show_ignored(entries, rules, **options)
+    if subpath:
+        ignored = ignored.withColumn("path", F.concat(F.lit(subpath + "/"), "path"))
+    return Scan(_prefix(kept, subpath), ignored, _prefix(below.unionByName(top), subpath))
+
+
+def _events_of(paths: DataFrame, status: str) -> DataFrame:
+    return paths.select(
+        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"),
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "path", F.lit(status).alias("status"))
+
+
+def show_ignored(spark: SparkSession, root: str, subpath: str = "", **options) -> DataFrame:
+    """Only what a run would ignore, ``path, kind``; no content is read."""
+    return scan(spark, root, subpath.strip("/"), **options).ignored
+
+
+def _under(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """Rows whose ``dir`` is one of ``tops (path)`` or lies below one.
+
+    Judged once per distinct directory, then looked up by directory."""
+    dirs = rows.select("dir").distinct()
+    above = dirs.select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(ancestors("dir"), lambda a: a["anc"]))).alias("path"))
+    hit = lookup_join(above, tops.select("path").distinct(), ["path"], "left_semi", spread_by="dir").select("dir").distinct()
+    return lookup_join(rows, hit, ["dir"], "left_semi", spread_by=rows.columns[1])
+
+
+def update(spark: SparkSession, root: str, store: str, *, subpath: str | list[str] = "", readonly: bool = False,
            algo: str = "md5", skip_existing: bool = False, force: bool = False, keep_missing: bool = False,
            log_deleted: bool = False, include_dot: bool = False, max_depth: int = 0, recurse: bool = True,
            follow_links: bool = True, global_rules: DataFrame | None = None,
-           snapshot_id: str | None = None, hide_new: bool = False) -> RunResult:
+           snapshot_id: str | None = None, hide_new: bool = False, track_dirs: bool = True,
+           keep: int | None = None, index_name: str = I.INDEX_NAME, ignore_name: str = I.IGNORE_NAME) -> RunResult:
     """Audit the tree below ``root/subpath`` against the published manifest.
 
+    ``subpath`` may be a list of start paths (none within another).
     ``events`` holds every event of the run, ``ign`` ones included (filter
     with ``operators.audit.report`` for what the tool would print);
     ``hide_new`` drops ``new`` events and counts them as 0 (``check -s``).
+    ``readonly`` reads stored files only: a file that is not in the manifest
+    is reported as new without being hashed.  ``track_dirs=False``: lists of
+    subdirectories are neither compared nor kept.  ``keep``: how many older
+    snapshots stay.
 
     Only the directories this run descends into are compared (the scan root,
     and below it as far as ``recurse``/``max_depth`` allow); a full run from
     the root forgets directories that vanished, a subset run keeps every
-    directory it did not visit.
+    directory it did not visit.  A directory that cannot be listed is a
+    ``PNC`` event; it does not count as visited, and what the manifest holds
+    of it and below is kept.
     """
-    subpath = subpath.strip("/")
-    if _local(store) is not None and not K._exists(spark, f"{store}/current"):
-        K.init_store(spark, store)
+    checkpoint_dir(spark)
+    ship_package(spark)
+    starts = [x.strip("/") for x in ([subpath] if isinstance(subpath, str) else subpath)] or [""]
+    for x in starts:
+        if any(y != x and (not y or x.startswith(y + "/")) for y in starts) or starts.count(x) > 1:
+            raise ValueError(f"start path {x!r} lies within another")
+    K.ensure_store(spark, store)
     stored = K.read_current(spark, store)
-    stored_dirs = K.read_current_dirs(spark, store)
+    stored_dirs = K.read_current_dirs(spark, store) if track_dirs else spark.createDataFrame([], DIRS_SCHEMA)
     if not recurse:
         max_depth = 1
-    full_run = not subpath and max_depth == 0
+    full_run = starts == [""] and max_depth == 0
 
-    scan_root = root.rstrip("/") + ("/" + subpath if subpath else "")
-    root_name = root.rstrip("/").rsplit("/", 1)[-1]
+    scans = [scan(spark, root, x, include_dot=include_dot, max_depth=max_depth, follow_links=follow_links,
+                  global_rules=global_rules, index_name=index_name, ignore_name=ignore_name) for x in starts]
 
-    found_rules: list[DataFrame] = []
+    def union(part: str) -> DataFrame:
+        out = getattr(scans[0], part)
+        for other in scans[1:]:
+            out = out.unionByName(getattr(other, part))
+        return out
 
-    def prune(level: DataFrame, seen: DataFrame) -> DataFrame:
-        # ignored directories are not descended into (their content is never
-        # listed); a directory of this level is decided by rule files of its
-        # ancestors, all listed by now -- each level's rule files are read once
-        lv = _prefix(level, subpath)
-        found_rules.append(read_ignore_files(lv, root).checkpoint())
-        rules_so_far = found_rules[0]
-        for r in found_rules[1:]:
-            rules_so_far = rules_so_far.unionByName(r)
-        dirs = lv.where(F.col("kind") == "dir")
-        kept_dirs = I.apply_ignore(dirs, rules_so_far, include_dot=include_dot,
-                                   global_rules=global_rules, root_name=root_name)
-        if subpath:
-            kept_dirs = kept_dirs.select(F.expr(f"substring(path, {len(subpath) + 2})").alias("path"))
-        return kept_dirs.select("path")
-
-    listing = _prefix(walk(spark, scan_root, follow_links=follow_links, max_depth=max_depth, prune=prune), subpath)
-    rules = read_ignore_files(listing, root)
-    kept = I.apply_ignore(listing.where(F.col("kind").isin("file", "dir")), rules, include_dot=include_dot,
-                          global_rules=global_rules, root_name=root_name)
+    kept, errors = union("kept"), union("errors").checkpoint()
     files = kept.where(F.col("kind") == "file")
     dirs = kept.where(F.col("kind") == "dir")
+    # a row without name: the directory itself could not be listed
+    bad_dirs = errors.where(F.col("name") == "").select("path")
+    bad_files = errors.where(F.col("name") != "").select("dir", "name", "path", "error")
+    any_bad = not bad_dirs.isEmpty()
     current_dirs = dirs.select("dir", F.col("name").alias("subdir"))
+    if not track_dirs:
+        current_dirs = current_dirs.where(F.lit(False))
     descended = dirs if max_depth == 0 else dirs.where(F.col("level") < max_depth)
     visited = descended.select(F.col("path").alias("dir")).unionByName(
-        spark.createDataFrame([(subpath,)], "dir string")).distinct()
+        spark.createDataFrame([(x,) for x in starts], "dir string")).distinct()
+    if any_bad:
+        visited = visited.join(bad_dirs.withColumnRenamed("path", "dir"), "dir", "left_anti")
     visited = visited.checkpoint()  # small, reused by every directory-level step below
 
     # only entries of visited directories take part (a vanished directory
@@ -140,24 +218,30 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str = "", rea
     in_scope = lookup_join(stored, visited, ["dir"], "left_semi", spread_by="path")
 
     # H3/H4: one join of the listing to the stored keys decides algorithm and skipping
-    s = in_scope.select("path", F.col("algo").alias("s_algo"), F.col("mod_ms").alias("s_mod"))
+    s = in_scope.select("path", F.lit(True).alias("s_in"), F.col("algo").alias("s_algo"), F.col("mod_ms").alias("s_mod"))
     f = files.join(s, "path", "left")
     skip = (F.col("s_mod") == F.col("mod_ms")) if skip_existing else F.lit(False)
-    f = f.withColumn("_skip", F.coalesce(skip, F.lit(False))).withColumn(
-        "_algo", F.coalesce("s_algo", F.lit(algo)))
-    to_hash = f.where(~F.col("_skip")).select("dir", "name", "path", "_algo")
-    hashed = hash_files(to_hash, root, algo, algo_col="_algo")
+    unread = F.col("s_in").isNull() if readonly else F.lit(False)
+    f = (f.withColumn("_unread", unread).withColumn("_skip", F.coalesce(skip, F.lit(False)) | F.col("_unread"))
+         .withColumn("_algo", F.coalesce("s_algo", F.lit(algo))))
+    to_hash = f.where(~F.col("_skip")).select("dir", "name", "path", "_algo", "size")
+    hashed = hash_files(to_hash, root, algo, algo_col="_algo").withColumn("unread", F.lit(False))
+    none = F.lit(None).cast("string")
     unchanged = f.where(F.col("_skip")).select(
-        "dir", "name", "path", "mod_ms", F.lit(None).cast("string").alias("algo"),
-        F.lit(None).cast("string").alias("hash"), "size", F.lit(None).cast("string").alias("error"))
-    observed = hashed.unionByName(unchanged)
+        "dir", "name", "path", "mod_ms", none.alias("algo"), none.alias("hash"), "size", none.alias("error"),
+        F.col("_unread").alias("unread"))
+    failed = bad_files.select("dir", "name", "path", F.lit(None).cast("bigint").alias("mod_ms"), none.alias("algo"),
+                              none.alias("hash"), F.lit(None).cast("bigint").alias("size"), "error", F.lit(False).alias("unread"))
+    observed = hashed.unionByName(unchanged).unionByName(failed)
 
     t = A.audit(in_scope, observed, algo=algo, force=force, keep_missing=keep_missing, log_deleted=log_deleted,
                 skip_existing=skip_existing)
     t = t.checkpoint()  # one materialised audit table feeds every output below
     vanished = A.vanished_dirs(stored_dirs, current_dirs, log_deleted=log_deleted, keep_missing=keep_missing,
                                visited=visited)
-    evts = A.events(t).unionByName(vanished)
+    unlisted = _events_of(bad_dirs, Status.PANIC)
+    dir_events = vanished.unionByName(unlisted)
+    evts = A.events(t).unionByName(dir_events)
     dl_changed = A.dirlist_changed(stored_dirs, current_dirs, keep_missing=keep_missing, visited=visited)
     # H6/case 11: directories of the snapshot whose rows no longer match their seal
     seals = K.read_current_seals(spark, store)
@@ -170,12 +254,8 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str = "", rea
                                            F.lit(Status.BAD_INDEX).alias("status")))
         dl_changed = dl_changed.unionByName(bad)
     # entries of visited directories that the rules leave out (verbose-only in the tool)
-    ignored = I.show_ignored(listing.where(F.col("kind").isin("file", "dir")), rules, include_dot=include_dot,
-                             global_rules=global_rules, root_name=root_name)
-    evts = evts.unionByName(ignored.select(
-        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"),
-        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "path", F.lit(Status.IGNORED).alias("status")))
-    summary = A.run_summary(t, dirlist_changed=dl_changed, dir_events=vanished, hide_new=hide_new)
+    evts = evts.unionByName(_events_of(union("ignored"), Status.IGNORED))
+    summary = A.run_summary(t, dirlist_changed=dl_changed, dir_events=dir_events, hide_new=hide_new)
     if hide_new:
         evts = evts.where(F.col("status") != Status.NEW)
 
@@ -189,14 +269,14 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str = "", rea
         nxt = nxt.unionByName(lookup_join(stored, visited, ["dir"], "left_anti", spread_by="path"))
         next_dirs = next_dirs.unionByName(lookup_join(stored_dirs, visited, ["dir"], "left_anti",
                                                       spread_by="subdir"))
+    elif any_bad:
+        # nothing is known about what lies below a directory that cannot be listed
+        nxt = nxt.unionByName(_under(stored.select("dir", *[c for c in MANIFEST_COLUMNS if c != "dir"]), bad_dirs).select(*MANIFEST_COLUMNS))
+        next_dirs = next_dirs.unionByName(_under(stored_dirs, bad_dirs))
     if not readonly:
         sid = snapshot_id or str(int(K.current_id(spark, store)) + 1)
-        K.publish_snapshot(nxt, store, sid, dirs=next_dirs)
-    return RunResult(evts, summary, nxt, A.verdict(t))
-
-
-def empty_manifest(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], MANIFEST_SCHEMA)
+        K.publish_snapshot(nxt, store, sid, dirs=next_dirs if track_dirs else None, keep=keep)
+    return RunResult(evts, summary, nxt, A.verdict(t.select("status").unionByName(unlisted.select("status"))))
 
 
 ATOM_SUFFIX = "-db"
@@ -243,8 +323,7 @@ def fuse_tree(spark: SparkSession, root: str, store: str | None = None, *, inclu
     fused = U.fuse(sources, include_top=include_top)
     report = split_i.unionByName(atom_i)
     if store is not None:
-        if _local(store) is not None and not K._exists(spark, f"{store}/current"):
-            K.init_store(spark, store)
+        K.ensure_store(spark, store)
         sid = str(int(K.current_id(spark, store)) + 1)
         K.publish_snapshot(fused.select(*fused.columns[:7]), store, sid)
     return fused, report
@@ -260,16 +339,14 @@ def dedup_detect(spark: SparkSession, store: str, locations: DataFrame | None =
     manifest = K.read_current(spark, store)
     bags = D.dup_space(manifest, locations, listing, min_size=min_size).checkpoint()
     items = D.dup_items(manifest, bags, locations, listing, min_size=min_size)
-    gen = K.store_bags(bags, store)
-    items.withColumn("gen", F.lit(gen)).write.mode("overwrite").parquet(f"{store}/dup_items")
-    return gen
+    return K.store_bags(bags, store, items)
 
 
 def dedup_show(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     """The tool's ``dedup show``: bags by size and the space report."""
     from lakeaudit.operators import dups as D
 
-    bags = spark.read.parquet(f"{store}/dups")
+    bags = K.read_bags(spark, store)
     return D.dup_show(bags), D.dup_report(bags)
 
 
@@ -278,8 +355,8 @@ def dedup_plan(spark: SparkSession, store: str, hashes: DataFrame | None = None)
     for the selected bags (all when ``hashes`` is None; unknown ones fail)."""
     from lakeaudit.operators import dups as D
 
-    items = spark.read.parquet(f"{store}/dup_items")
+    items = K.read_bags(spark, store, "dup_items")
     if hashes is not None:
-        bags = D.select_hashes(spark.read.parquet(f"{store}/dups"), hashes)
+        bags = D.select_hashes(K.read_bags(spark, store), hashes)
         items = lookup_join(items, bags.select("hash"), ["hash"], "left_semi", spread_by="path")
     return D.dedup_plan(items)

@@ -14,6 +14,12 @@ CONF_PREFIX = "spark.lakeaudit."
 DEFAULTS = {
     # rows a side may have to be broadcast (rules, roots, requested hashes)
     "broadcastMaxRows": 100_000,
+    # bytes of text such a side may have
+    "broadcastMaxBytes": 32 << 20,
+    # 64-bit keys that may be broadcast (8 bytes each before hashing)
+    "broadcastMaxKeys": 2_000_000,
+    # bytes of file content one hashing task is meant to read
+    "hashTaskBytes": 256 << 20,
     # salt buckets for joins whose big side is keyed by a possibly hot key
     # (hash of a duplicate bag, directory of a manifest)
     "saltBuckets": 16,

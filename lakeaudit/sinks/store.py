@@ -2,96 +2,162 @@
 
 Layout under ``store``::
 
-    snapshots/snapshot=<id>/part-*.parquet   one manifest per run
-    dirs/snapshot=<id>/part-*.parquet        directory lists (dir, subdir) of that run
-    seals/snapshot=<id>/part-*.parquet       per-directory seals (dir, seal) of that manifest
-    current/part-*.parquet                   one row: the published id
-    dups/part-*.parquet                      duplicate bags of the last detect
-
-A run writes a new snapshot partition and only then replaces the pointer,
-so an aborted job publishes nothing and the previous snapshot stays as the
-backup (K2).  Spark's commit protocol makes each write all-or-nothing.
+    snapshots/snapshot=<id>/    one manifest per run
+    dirs/snapshot=<id>/         directory lists (dir, subdir) of that run
+    seals/snapshot=<id>/        per-directory seals (dir, seal) of that manifest
+    current/<sequence>/         one row: a published id
+    dups/gen=<n>/               duplicate bags of a detect run
+    dup_items/gen=<n>/          their items
+    dups_current/<sequence>/    one row: a published generation
+
+A run replaces its own snapshot folders and then adds a new pointer folder;
+the newest pointer that was written completely counts.  A run that dies
+anywhere before that publishes nothing, what it left behind is replaced by
+the next attempt, and the previous snapshot stays as the backup (K2).  The
+same holds for the duplicate result (K4), whose generation is the pointer, so
+it goes on counting after an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lakeaudit.schema import MANIFEST_COLUMNS, MANIFEST_SCHEMA
+from lakeaudit.schema import DIRS_SCHEMA, MANIFEST_COLUMNS, MANIFEST_SCHEMA
 from lakeaudit.operators.joins import lookup_join
 
+SEALS_SCHEMA = "dir string, seal string"
+_PARTS = ("snapshots", "dirs", "seals", "current", "dups", "dup_items", "dups_current")
 
-def _exists(spark: SparkSession, path: str) -> bool:
+
+def _hadoop(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _latest(spark: SparkSession, path: str) -> int:
+    """The newest complete pointer of a pointer folder, 0 when none."""
+    done = [int(n) for n in _names(spark, path) if n.isdigit() and _exists(spark, f"{path}/{n}/_SUCCESS")]
+    return max(done, default=0)
+
+
+def _point(spark: SparkSession, path: str, value: str) -> int:
+    seq = _latest(spark, path) + 1
+    one = spark.range(1).select(F.lit(value).alias("value")).coalesce(1)
+    one.write.mode("overwrite").parquet(f"{path}/{seq:012d}")
+    return seq
+
+
+def _pointed(spark: SparkSession, path: str) -> str | None:
+    seq = _latest(spark, path)
+    return spark.read.schema("value string").parquet(f"{path}/{seq:012d}").first()["value"] if seq else None
+
+
+def store_exists(spark: SparkSession, store: str) -> bool:
+    return _latest(spark, f"{store}/current") > 0
 
 
 def init_store(spark: SparkSession, store: str, force: bool = False) -> None:
-    """K1: an empty store; refuses an existing one unless ``force``."""
-    if _exists(spark, f"{store}/current") and not force:
+    """K1: an empty store; refuses an existing one unless ``force``, which
+    clears all of it.  What an unfinished ``init_store`` left is replaced."""
+    if store_exists(spark, store) and not force:
         raise FileExistsError(f"store already exists: {store}")
-    mode = "overwrite" if force else "errorifexists"
-    empty = spark.createDataFrame([], MANIFEST_SCHEMA).withColumn("snapshot", F.lit("0"))
-    empty.write.mode(mode).partitionBy("snapshot").parquet(f"{store}/snapshots")
-    spark.createDataFrame([("0",)], "snapshot string").write.mode(mode).parquet(f"{store}/current")
+    # the pointers go first: from here on there is no published state
+    for part in reversed(_PARTS):
+        _delete(spark, f"{store}/{part}")
+    spark.createDataFrame([], MANIFEST_SCHEMA).write.mode("overwrite").parquet(f"{store}/snapshots/snapshot=0")
+    _point(spark, f"{store}/current", "0")
+
+
+def ensure_store(spark: SparkSession, store: str) -> None:
+    """Create the store when it is missing, on whatever file system."""
+    if not store_exists(spark, store):
+        init_store(spark, store)
 
 
 def current_id(spark: SparkSession, store: str) -> str:
-    return spark.read.parquet(f"{store}/current").first()["snapshot"]
+    sid = _pointed(spark, f"{store}/current")
+    if sid is None:
+        raise FileNotFoundError(f"no published snapshot in {store}")
+    return sid
 
 
 def read_current(spark: SparkSession, store: str) -> DataFrame:
-    """The published manifest (partition pruning reads one snapshot)."""
-    sid = current_id(spark, store)
-    schema = T.StructType(MANIFEST_SCHEMA.fields + [T.StructField("snapshot", T.StringType())])
-    return (spark.read.schema(schema).parquet(f"{store}/snapshots")
-            .where(F.col("snapshot") == sid).select(*MANIFEST_COLUMNS))
+    """The published manifest (reads that one snapshot's folder)."""
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{store}/snapshots/snapshot={current_id(spark, store)}").select(*MANIFEST_COLUMNS)
 
 
 def read_current_dirs(spark: SparkSession, store: str) -> DataFrame:
     """Directory lists of the published snapshot (empty when none were kept)."""
-    sid = current_id(spark, store)
-    schema = "dir string, subdir string, snapshot string"
-    if not _exists(spark, f"{store}/dirs"):
-        return spark.createDataFrame([], "dir string, subdir string")
-    return spark.read.schema(schema).parquet(f"{store}/dirs").where(F.col("snapshot") == sid).select("dir", "subdir")
+    path = f"{store}/dirs/snapshot={current_id(spark, store)}"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], DIRS_SCHEMA)
+    return spark.read.schema(DIRS_SCHEMA).parquet(path)
 
 
 def read_current_seals(spark: SparkSession, store: str) -> DataFrame | None:
     """Seals of the published snapshot; None when it was published without."""
-    sid = current_id(spark, store)
-    if not _exists(spark, f"{store}/seals/snapshot={sid}"):
-        return None
-    return (spark.read.schema("dir string, seal string, snapshot string").parquet(f"{store}/seals")
-            .where(F.col("snapshot") == sid).select("dir", "seal"))
+    path = f"{store}/seals/snapshot={current_id(spark, store)}"
+    return spark.read.schema(SEALS_SCHEMA).parquet(path) if _exists(spark, path) else None
 
 
 def publish_snapshot(manifest: DataFrame, store: str, snapshot_id: str, dirs: DataFrame | None = None,
-                     sealed: bool = True) -> None:
+                     sealed: bool = True, keep: int | None = None) -> None:
     """K2 + O4: write the next manifest, sorted by key within each file (row
     groups then carry tight ``dir`` ranges for pruning; no extra shuffle is
-    spent on a global order), and its directory lists, then switch the
-    pointer.  The old snapshot stays as the backup."""
+    spent on a global order), its directory lists and seals, then add the
+    pointer.  The published snapshot cannot be overwritten.  ``keep``: how
+    many older snapshots stay (all when None, one at least)."""
     spark = manifest.sparkSession
-    out = (manifest.select(*MANIFEST_COLUMNS).withColumn("snapshot", F.lit(snapshot_id))
-           .sortWithinPartitions("dir", "name"))
-    out.write.mode("append").partitionBy("snapshot").parquet(f"{store}/snapshots")
+    before = _pointed(spark, f"{store}/current")
+    if before == snapshot_id:
+        raise ValueError(f"snapshot {snapshot_id} is the published one")
+    at = f"{store}/snapshots/snapshot={snapshot_id}"
+    manifest.select(*MANIFEST_COLUMNS).sortWithinPartitions("dir", "name").write.mode("overwrite").parquet(at)
+    for part, wanted in (("dirs", dirs is not None), ("seals", sealed)):
+        if not wanted:  # left behind by an unfinished attempt
+            _delete(spark, f"{store}/{part}/snapshot={snapshot_id}")
     if dirs is not None:
-        (dirs.select("dir", "subdir").withColumn("snapshot", F.lit(snapshot_id))
-         .write.mode("append").partitionBy("snapshot").parquet(f"{store}/dirs"))
+        dirs.select("dir", "subdir").write.mode("overwrite").parquet(f"{store}/dirs/snapshot={snapshot_id}")
     if sealed:
         # sealed from what was written, so the seal covers the stored rows
         from lakeaudit.operators.seal import seal
 
-        written = (spark.read.schema(T.StructType(MANIFEST_SCHEMA.fields + [T.StructField("snapshot", T.StringType())]))
-                   .parquet(f"{store}/snapshots").where(F.col("snapshot") == snapshot_id))
-        (seal(written).withColumn("snapshot", F.lit(snapshot_id))
-         .write.mode("append").partitionBy("snapshot").parquet(f"{store}/seals"))
-    spark.createDataFrame([(snapshot_id,)], "snapshot string").write.mode("overwrite").parquet(f"{store}/current")
+        written = spark.read.schema(MANIFEST_SCHEMA).parquet(at)
+        seal(written).write.mode("overwrite").parquet(f"{store}/seals/snapshot={snapshot_id}")
+    _point(spark, f"{store}/current", snapshot_id)
+    if keep is not None:
+        drop_old(spark, store, keep)
+
+
+def drop_old(spark: SparkSession, store: str, keep: int = 1) -> None:
+    """Retention: the published snapshot and the ``keep`` ones published
+    before it stay, every other snapshot folder goes."""
+    path = f"{store}/current"
+    done = sorted(int(n) for n in _names(spark, path) if n.isdigit() and _exists(spark, f"{path}/{n}/_SUCCESS"))
+    stay = {spark.read.schema("value string").parquet(f"{path}/{n:012d}").first()["value"] for n in done[-(max(1, keep) + 1):]}
+    for part in ("snapshots", "dirs", "seals"):
+        for name in _names(spark, f"{store}/{part}"):
+            if name.startswith("snapshot=") and name[len("snapshot="):] not in stay:
+                _delete(spark, f"{store}/{part}/{name}")
+    for n in done[:-(max(1, keep) + 1)]:
+        _delete(spark, f"{path}/{n:012d}")
 
 
 def merge_changed(old: DataFrame, nxt: DataFrame, changed_dirs: DataFrame, scope: DataFrame | None = None) -> DataFrame:
@@ -110,17 +176,30 @@ def merge_changed(old: DataFrame, nxt: DataFrame, changed_dirs: DataFrame, scope
     return new_part.unionByName(keep_old)
 
 
-def store_bags(bags: DataFrame, store: str) -> int:
-    """K4: replace the duplicate result; generation + 1, stale ones gone."""
+def store_bags(bags: DataFrame, store: str, items: DataFrame | None = None) -> int:
+    """K4: replace the duplicate result, bags and items together; returns the
+    generation, one more than the last.  Older generations go afterwards."""
     spark = bags.sparkSession
-    path = f"{store}/dups"
-    gen = 0
-    if _exists(spark, path):
-        gen = spark.read.parquet(path).agg(F.max("gen")).first()[0] or 0
-    # the new result does not read the old one, so it can replace it in place
-    out = bags.withColumn("gen", F.lit(gen + 1)).withColumn("updated", F.current_timestamp())
-    out.write.mode("overwrite").parquet(path)
-    return gen + 1
+    gen = int(_pointed(spark, f"{store}/dups_current") or 0) + 1
+    bags.withColumn("gen", F.lit(gen)).withColumn("updated", F.current_timestamp()).write.mode("overwrite").parquet(f"{store}/dups/gen={gen}")
+    if items is not None:
+        items.withColumn("gen", F.lit(gen)).write.mode("overwrite").parquet(f"{store}/dup_items/gen={gen}")
+    else:
+        _delete(spark, f"{store}/dup_items/gen={gen}")
+    _point(spark, f"{store}/dups_current", str(gen))
+    for part in ("dups", "dup_items"):
+        for name in _names(spark, f"{store}/{part}"):
+            if name != f"gen={gen}":
+                _delete(spark, f"{store}/{part}/{name}")
+    return gen
+
+
+def read_bags(spark: SparkSession, store: str, part: str = "dups") -> DataFrame:
+    """The published duplicate result: ``dups`` or ``dup_items``."""
+    gen = _pointed(spark, f"{store}/dups_current")
+    if gen is None:
+        raise FileNotFoundError(f"no duplicate result in {store}")
+    return spark.read.parquet(f"{store}/{part}/gen={gen}")
 
 
 def write_bags_json(lines: DataFrame, path: str) -> None:

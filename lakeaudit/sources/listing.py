@@ -21,16 +21,18 @@ from __future__ import annotations
 
 import hashlib
 import os
-import stat as pystat
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.hashing import check_algo
+from lakeaudit.session import conf_int
 
 BLOCK = 262_144
+ROWS_PER_FRAME = 20_000
 
 LISTING_SCHEMA = "dir string, name string, path string, kind string, mod_ms bigint, size bigint, error string"
 WALK_SCHEMA = LISTING_SCHEMA + ", level int"
@@ -62,10 +64,13 @@ def _local(path: str) -> str | None:
     return None if "://" in path else path
 
 
-def _list_dir(root: str, rel: str, follow_links: bool) -> list[tuple]:
+def _list_dir(root: str, rel: str, follow_links: bool) -> Iterator[tuple]:
+    """The entries of one directory; one that cannot be listed gives a row of
+    kind ``error`` with an empty name, an entry that cannot be read one with
+    its name, on every file system alike.  Links to directories are followed
+    if asked for, links to files never."""
     base = root.rstrip("/") + ("/" + rel if rel else "")
     loc = _local(base)
-    out = []
     if loc is not None:
         try:
             with os.scandir(loc) as it:
@@ -73,27 +78,30 @@ def _list_dir(root: str, rel: str, follow_links: bool) -> list[tuple]:
                     p = f"{rel}/{e.name}" if rel else e.name
                     try:
                         if e.is_dir(follow_symlinks=follow_links):
-                            out.append((rel, e.name, p, "dir", None, None, None))
-                        elif e.is_file(follow_symlinks=True):
-                            st = e.stat(follow_symlinks=True)
-                            if pystat.S_ISREG(st.st_mode):
-                                out.append((rel, e.name, p, "file", int(st.st_mtime_ns // 1_000_000), st.st_size, None))
+                            yield rel, e.name, p, "dir", None, None, None
+                        elif e.is_file(follow_symlinks=False):
+                            st = e.stat(follow_symlinks=False)
+                            yield rel, e.name, p, "file", int(st.st_mtime_ns // 1_000_000), st.st_size, None
                     except OSError as err:
-                        out.append((rel, e.name, p, "error", None, None, str(err)))
+                        yield rel, e.name, p, "error", None, None, str(err)
         except OSError as err:
-            out.append((rel, "", rel, "error", None, None, str(err)))
-        return out
+            yield rel, "", rel, "error", None, None, str(err)
+        return
     from pyarrow import fs as pafs
 
-    fsys, p0 = pafs.FileSystem.from_uri(base)
-    for info in fsys.get_file_info(pafs.FileSelector(p0, recursive=False)):
+    try:
+        fsys, p0 = pafs.FileSystem.from_uri(base)
+        infos = fsys.get_file_info(pafs.FileSelector(p0, recursive=False))
+    except OSError as err:
+        yield rel, "", rel, "error", None, None, str(err)
+        return
+    for info in infos:
         p = f"{rel}/{info.base_name}" if rel else info.base_name
         if info.type == pafs.FileType.Directory:
-            out.append((rel, info.base_name, p, "dir", None, None, None))
+            yield rel, info.base_name, p, "dir", None, None, None
         elif info.type == pafs.FileType.File:
             mod = int(info.mtime_ns // 1_000_000) if info.mtime_ns is not None else None
-            out.append((rel, info.base_name, p, "file", mod, info.size, None))
-    return out
+            yield rel, info.base_name, p, "file", mod, info.size, None
 
 
 def walk(spark: SparkSession, root: str, *, follow_links: bool = True, max_depth: int = 0,
@@ -113,11 +121,11 @@ def walk(spark: SparkSession, root: str, *, follow_links: bool = True, max_depth
     cols = ["dir", "name", "path", "kind", "mod_ms", "size", "error"]
 
     def lister(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # frames of bounded size, however large a directory is
         for pdf in it:
-            rows = []
-            for rel in pdf["path"]:
-                rows.extend(_list_dir(root, rel, follow_links))
-            yield pd.DataFrame(rows, columns=cols)
+            entries = (e for rel in pdf["path"] for e in _list_dir(root, rel, follow_links))
+            while rows := list(islice(entries, ROWS_PER_FRAME)):
+                yield pd.DataFrame(rows, columns=cols)
 
     frontier = spark.createDataFrame([("",)], "path string")
     levels = []
@@ -198,10 +206,18 @@ def hash_files(files: DataFrame, root: str, algo: str = "md5", algo_col: str | N
                partitions: int | None = None) -> DataFrame:
     """Observed objects for files: ``files(dir, name, path)`` relative to
     ``root`` -> manifest columns plus ``error``.  ``algo_col`` names a column
-    with a per-row algorithm (H3).  Work is spread by a hash of the path."""
+    with a per-row algorithm (H3).
+
+    The number of tasks follows the bytes to read when ``files`` has a
+    ``size`` column, ``hashTaskBytes`` each; files are dealt by a hash of the
+    path, so none has to be larger than its own largest file by much."""
     algo = check_algo(algo)
     base = root.rstrip("/")
-    n = partitions or files.sparkSession.sparkContext.defaultParallelism * 4
+    spark = files.sparkSession
+    n = partitions or spark.sparkContext.defaultParallelism * 4
+    if partitions is None and "size" in files.columns:
+        total = files.agg(F.sum("size")).first()[0] or 0
+        n = max(n, -(-total // conf_int(spark, "hashTaskBytes")))
     sel = files.select("dir", "name", "path", (F.col(algo_col) if algo_col else F.lit(algo)).alias("algo"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@
   the older per-entry ``md5`` form and the ``{"data":{...}}`` form are
   converted on the fly (algo md5, size unknown).
 * atom: one JSON document for a whole tree,
-  ``{"type":"chkbit","version":6,"data":{dir: index, ...}}`` with the header
+  ``{"type":<type>,"version":6,"data":{dir: index, ...}}`` with the header
   keys in exactly this order.
 
 Index files are dot files, which Spark's file sources skip, so the files to
@@ -35,8 +35,8 @@ ENTRY_SCHEMA = ("dir string, name string, path string, mod_ms bigint, algo strin
                 "source string")
 INDEX_SCHEMA = ("source string, dir string, verified boolean, converted boolean, dirlist array<string>, "
                 "error string")
-# The atom header, in order.
-ATOM_TYPE = "chkbit"
+# the type an atom file names itself; a caller with other files gives theirs
+ATOM_TYPE = "lakeindex"
 ATOM_VERSION = 6
 
 _WS = " \t\n\r"
@@ -54,7 +54,7 @@ def _members(text: str, i: int):
     """Yield (key, value_start, value_end) of the object starting at ``text[i]``."""
     i = _skip(text, i)
     if i >= len(text) or text[i] != "{":
-        raise ValueError("invalid json (start)")
+        raise ValueError("an object should begin here")
     i = _skip(text, i + 1)
     if i < len(text) and text[i] == "}":
         return
@@ -62,7 +62,7 @@ def _members(text: str, i: int):
         key, i = _DEC.raw_decode(text, i)
         i = _skip(text, i)
         if text[i] != ":":
-            raise ValueError("invalid json (colon)")
+            raise ValueError("no colon after a key")
         vs = _skip(text, i + 1)
         _, ve = _DEC.raw_decode(text, vs)
         yield key, vs, ve
@@ -72,7 +72,7 @@ def _members(text: str, i: int):
             continue
         if text[i] == "}":
             return
-        raise ValueError("invalid json (member)")
+        raise ValueError("an object ends in the middle")
 
 
 def compact_escaped(raw: str) -> str:
@@ -143,17 +143,29 @@ def read_split_manifests(files: DataFrame, root: str) -> tuple[DataFrame, DataFr
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = []
+            rows, n = [], 0
             for p, d in zip(pdf["path"], pdf["dir"]):
                 try:
                     entries, dirlist, verified, converted = parse_index(_read_text(f"{base}/{p}"))
                     rows.append(("E", _entry_rows(p, d, entries), (p, d, verified, converted, dirlist, None)))
+                    n += len(entries)
                 except (OSError, ValueError, AttributeError, TypeError, KeyError) as err:
                     rows.append(("E", [], (p, d, None, None, None, str(err))))
+                if n >= 20_000:  # frames of about this many entries
+                    yield _pack(rows)
+                    rows, n = [], 0
             yield _pack(rows)
 
-    both = _spread(files.select("path", "dir")).mapInPandas(parse, _PACKED)
-    return _unpack(both)
+    # parsed once, for both outputs
+    return _unpack(_written(_spread(files.select("path", "dir")).mapInPandas(parse, _PACKED)))
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    from lakeaudit.session import checkpoint_dir, ship_package
+
+    checkpoint_dir(rows.sparkSession)
+    ship_package(rows.sparkSession)
+    return rows.checkpoint()
 
 
 def _spread(files: DataFrame) -> DataFrame:
@@ -163,7 +175,7 @@ def _spread(files: DataFrame) -> DataFrame:
     return files.repartition(n, F.xxhash64("path"))
 
 
-def read_atom_manifest(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+def read_atom_manifest(files: DataFrame, root: str, atom_type: str = ATOM_TYPE) -> tuple[DataFrame, DataFrame]:
     """``files(path, dir)``: atom files relative to ``root`` and the
     directory they cover.  The header must be ``type``, ``version`` (6),
     ``data`` in this order; directory keys are relative to the atom's
@@ -183,11 +195,11 @@ def read_atom_manifest(files: DataFrame, root: str) -> tuple[DataFrame, DataFram
         for pdf in it:
             for p, d in zip(pdf["path"], pdf["dir"]):
                 try:
-                    yield from _atom_batches(f"{base}/{p}", p, d)
+                    yield from _atom_batches(f"{base}/{p}", p, d, atom_type=atom_type)
                 except (OSError, ValueError, AttributeError, TypeError, KeyError) as err:
                     yield _pack([("E", [], (p, d, None, None, None, str(err)))])
 
-    both = _spread(files.select("path", "dir")).mapInPandas(parse, _PACKED)
+    both = _written(_spread(files.select("path", "dir")).mapInPandas(parse, _PACKED))
     # an atom that fails part-way is dropped whole: only its error row stays
     bad = broadcast_if_small(
         both.where((F.col("kind") == "I") & F.col("error").isNotNull()).select("source").distinct())
@@ -235,7 +247,7 @@ class _Stream:
 
     def expect(self, ch: str) -> None:
         if self.peek() != ch:
-            raise ValueError(f"invalid json (expected {ch})")
+            raise ValueError(f"{ch} is missing")
         self.pos += 1
 
     def value(self):
@@ -250,8 +262,13 @@ class _Stream:
                 self.pos = end
                 return v, raw
             except json.JSONDecodeError:
-                if not self._more():
-                    raise ValueError("invalid json (value)")
+                # look again with twice as much, so that decoding stays linear
+                need = max(BLOCK_READ, len(self.buf) - self.pos)
+                start = len(self.buf) - self.pos
+                while len(self.buf) - self.pos < start + need and self._more():
+                    pass
+                if len(self.buf) - self.pos == start:
+                    raise ValueError("a value is not JSON")
 
 
 BLOCK_READ = 262_144
@@ -269,24 +286,24 @@ def _open(path: str):
     return fsys.open_input_stream(p)
 
 
-def _atom_batches(full_path: str, source: str, top: str, batch: int = 50_000):
+def _atom_batches(full_path: str, source: str, top: str, batch: int = 50_000, atom_type: str = ATOM_TYPE):
     with _open(full_path) as f:
         st = _Stream(f)
         st.expect("{")
         for want in ("type", "version", "data"):
             key, _ = st.value()
             if key != want:
-                raise ValueError(f"invalid json ({want})")
+                raise ValueError(f"header: {want} is not where it should be")
             st.expect(":")
             if want == "type":
                 v, _ = st.value()
-                if v != ATOM_TYPE:
-                    raise ValueError("invalid json (chkbit)")
+                if v != atom_type:
+                    raise ValueError("header: another type of file")
                 st.expect(",")
             elif want == "version":
                 v, _ = st.value()
                 if v != ATOM_VERSION:
-                    raise ValueError("invalid json (version 6)")
+                    raise ValueError(f"header: version {v} is not supported")
                 st.expect(",")
         st.expect("{")
         rows, n, seq = [], 0, 0
@@ -313,7 +330,7 @@ def _atom_batches(full_path: str, source: str, top: str, batch: int = 50_000):
                 if c == "}":
                     st.pos += 1
                     break
-                raise ValueError("invalid json (loop)")
+                raise ValueError("the directories end in the middle")
         st.expect("}")
         if rows:
             yield _pack(rows)

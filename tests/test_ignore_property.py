@@ -23,7 +23,7 @@ def ignored(p, rule_list, include_dot):
         by_dir.setdefault(d, []).append(pat)
     for j in range(1, len(parts) + 1):           # each entry on the path
         entry = parts[j - 1]
-        if entry.startswith(".chkbit") or (not include_dot and entry.startswith(".")):
+        if entry.startswith(".lakeindex") or (not include_dot and entry.startswith(".")):
             return True
         for i in range(j):                        # rules of each directory above it
             anc = "/".join(parts[:i])

@@ -31,7 +31,7 @@ def test_tree_end_to_end(spark, tmp_path):
     _w(f"{root}/a/sub/y2.txt", "y2", t0)
     _w(f"{root}/b/z1.txt", "z1", t0)
     _w(f"{root}/b/z2.csv", "z2", t0)
-    _w(f"{root}/b/.chkbitignore", "# skip tables\n*.csv\n", t0)
+    _w(f"{root}/b/.lakeignore", "# skip tables\n*.csv\n", t0)
     _w(f"{root}/c/w.txt", "w", t0)
 
     r = update(spark, root, store)
@@ -117,7 +117,7 @@ def test_ignored_directories_are_not_listed(spark, tmp_path):
 
     root = str(tmp_path / "root")
     store = str(tmp_path / "store")
-    _w(f"{root}/.chkbitignore", "node_modules\n", 1_600_000_000)
+    _w(f"{root}/.lakeignore", "node_modules\n", 1_600_000_000)
     _w(f"{root}/app/main.txt", "m", 1_600_000_000)
     for i in range(3):
         _w(f"{root}/app/node_modules/pkg{i}/deep/x.txt", "x", 1_600_000_000)
