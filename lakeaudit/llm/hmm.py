@@ -47,13 +47,13 @@ from lakeaudit.llm.common import documents, staged
 from lakeaudit.session import ship_package
 
 STATES = 6
-ROUNDS = 5
+ROUNDS = 4
 OWN_CLASSES = 8192
 SHARED_CLASSES = 1024
 FREQUENT = 200_000
 PIECE = 1024
 # tokens worked off together in a task
-TOKENS_AT_ONCE = 300_000
+TOKENS_AT_ONCE = 500_000
 DISTINCT_AT_ONCE = 400_000
 HELD_OUT_MOD, HELD_OUT_IS = 7, 2
 STAY = 0.9
@@ -80,6 +80,9 @@ class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit  # (K), (K, K), (classes, K)
 
+    def single(self) -> "Model":
+        return Model(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
+
 
 def first_model(class_counts: np.ndarray, states: int = STATES, seed: int = 1) -> Model:
     """States that stay, and emissions around the class frequencies."""
@@ -139,7 +142,7 @@ def _products(p: Pieces, model: Model, emitted: np.ndarray) -> dict[int, np.ndar
     if not len(rows):
         return {}
     k = len(model.start)
-    out = np.zeros((len(rows), k, k))
+    out = np.zeros((len(rows), k, k), emitted.dtype)
     out[:, range(k), range(k)] = emitted[rows]
     for t in range(1, int(p.length[rows].max())):
         n = int(np.searchsorted(rows, p.active[t]))
@@ -165,7 +168,7 @@ def _forward(p: Pieces, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarra
         for a, b in zip(rows[:-1], rows[1:]):
             after = prior[a] @ products[int(a)]
             prior[b] = after / after.sum() @ model.move
-    weight, scale = np.empty_like(emitted), np.empty(len(p.x))
+    weight, scale = np.empty_like(emitted), np.empty(len(p.x), emitted.dtype)
     before = prior
     for t, n in enumerate(p.active):
         s = slice(p.offset[t], p.offset[t + 1])
@@ -191,13 +194,13 @@ def expected_counts(tokens: np.ndarray, sizes: np.ndarray, model: Model, piece:
     """Baum-Welch counts of the sequences: start (K), move (K, K), emit
     (classes, K)."""
     k = len(model.start)
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
     p = Pieces(tokens, sizes, piece)
     if not len(p.x):
         return start, move, emit
     emitted, prior, weight, scale, products = _forward(p, model)
     # what follows a piece: one for a text's last, else through the pieces after it
-    beyond = np.ones((len(p.length), k))
+    beyond = np.ones((len(p.length), k), emitted.dtype)
     before = {}
     for rows in _long_texts(p):
         ends = weight[p.last(rows)]
@@ -309,36 +312,46 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def work(batches):
         v = shared.value
-        own, count, n_own = v.own, v.count, v.n_own
         # -log10 of what the members of a shared class divide by
         share = -np.log10(v.class_tokens + v.class_types + 1)
-        known = {t: (own.get(t, -1), math.log10(n + 1)) for t, n in count.items()}
+        # a frequent token is a number; per number its class and its logs
+        number = {t: i for i, t in enumerate(v.count)}
+        class_of = np.array([v.own.get(t, -1) for t in v.count], np.int64)
+        logs_of = np.log10(np.fromiter(v.count.values(), np.float64, len(number)) + 1)
+        in_class = np.zeros(len(number))
+        for i, t in enumerate(v.count):
+            if class_of[i] < 0:
+                c = shared_class(t)
+                class_of[i], in_class[i] = v.n_own + c, share[c] + logs_of[i]
+        get = number.get
+
+        def row(doc_id, text):
+            tokens = words(text)
+            tokens.append(END)
+            at = np.array([get(t, -1) for t in tokens], np.int64)
+            if len(number):
+                classes, logs, within = class_of[at], logs_of[at], in_class[at]
+            else:
+                classes, logs, within = at.copy(), np.zeros(len(at)), np.zeros(len(at))
+            out = np.flatnonzero(at < 0).tolist()
+            rare = [tokens[i] for i in out]
+            if out:
+                c = np.array([shared_class(t) for t in rare])
+                classes[out], logs[out], within[out] = v.n_own + c, 0.0, share[c]
+            tally = Counter(rare)
+            name = "" if doc_id is None else str(doc_id)
+            return (classes, len(tokens) - len(out), float(logs.sum()), float(within.sum()), list(tally), list(tally.values()),
+                    zlib.crc32((text or "").encode("utf-8", "replace")), zlib.crc32(name.encode()) % HELD_OUT_MOD == HELD_OUT_IS)
+
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                classes, rare, n_known, logs, log_classes = [], [], 0, 0.0, 0.0
-                for t in [*words(text), END]:
-                    found = known.get(t)
-                    if found is None:
-                        c = shared_class(t)
-                        rare.append(t)
-                        classes.append(n_own + c)
-                        log_classes += share[c]
-                        continue
-                    n_known += 1
-                    logs += found[1]
-                    if found[0] >= 0:
-                        classes.append(found[0])
-                    else:
-                        c = shared_class(t)
-                        classes.append(n_own + c)
-                        log_classes += share[c] + found[1]
-                tally = Counter(rare)
-                name = "" if doc_id is None else str(doc_id)
-                rows.append((doc_id, zlib.crc32((text or "").encode("utf-8", "replace")), zlib.crc32(name.encode()) % HELD_OUT_MOD == HELD_OUT_IS,
-                             len(classes), n_known, logs, log_classes, np.array(classes, np.int32), list(tally), list(tally.values())))
-            for k in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[k:k + 500]), kinds)], names)
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                rows = [row(*x) for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                classes, known, logs, within, rare, rare_n, crc, held = zip(*rows)
+                sizes = np.array([len(c) for c in classes])
+                flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(classes).astype(np.int32))
+                columns = [part.column(0), crc, held, sizes, known, logs, within, flat, rare, rare_n]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, ENCODED)
 
@@ -366,7 +379,8 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
         shared = spark.sparkContext.broadcast(model)
 
         def work(batches):
-            m, total = shared.value, None
+            # single precision is enough for expected counts (not for scores)
+            m, total = shared.value.single(), None
             for _, tokens, sizes in _sequences(batches, 0):
                 part = np.concatenate([x.ravel() for x in expected_counts(tokens, sizes, m)])
                 total = part if total is None else total + part
