@@ -28,12 +28,6 @@ def content_hash(content, algo: str = "md5") -> Column:
     return F.md5(c) if algo == "md5" else F.sha2(c, 512)
 
 
-def hash_by_algo(content, algo_col) -> Column:
-    """Digest with a per-row algorithm (H3); null for an algorithm not offered."""
-    c, a = _c(content), _c(algo_col)
-    return F.when(a == "md5", F.md5(c)).when(a == "sha512", F.sha2(c, 512))
-
-
 def pick_hash(algo_col, hashes: dict[str, Column]) -> Column:
     """Choose among digests computed ahead for each algorithm in ``hashes``."""
     a = _c(algo_col)

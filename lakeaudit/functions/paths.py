@@ -94,6 +94,24 @@ def component_pairs(path) -> Column:
     ))
 
 
+def own_pairs(path) -> Column:
+    """As ``component_pairs``, for the last component of ``path`` only: one
+    struct per directory above it."""
+    parts = path_parts(path)
+    k = F.size(parts)
+    return F.transform(
+        F.sequence(F.lit(0), k - 1),
+        lambda i: F.struct(
+            F.array_join(F.slice(parts, 1, i), "/").alias("anc"),
+            F.element_at(parts, -1).alias("entry"),
+            F.array_join(F.slice(parts, i + 1, k - i), "/").alias("rel"),
+            (i == k - 1).alias("own"),
+            k.alias("j"),
+            _c(path).alias("entry_path"),
+        ),
+    )
+
+
 def relativize(path, root: str) -> Column:
     """Path relative to ``root`` (F6); null when ``path`` is not below it.
 

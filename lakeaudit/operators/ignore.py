@@ -13,11 +13,12 @@ Component ``cj`` is ignored when
 * a global rule (above the scan root) matches ``cj`` or
   ``<root name>/c1/../cj``.
 
-Rules have no negation, so any match decides: the plan explodes each path
-into its (entry, ancestor) pairs, equi-joins the rules on the ancestor
-directory (broadcast after a size check, a salted shuffle join beyond it,
-since the root directory is a key every path meets) and anti-joins
-the matched paths away.  Built-in F2/F3 tests are narrow ``exists`` over the
+Rules have no negation, so any match decides: the plan judges each distinct
+directory once over its (entry, ancestor) pairs, equi-joined to the rules on
+the ancestor directory (broadcast after a size check, a salted shuffle join
+beyond it, since the root directory is a key every path meets), leaves out
+what lies below a matched one, tests the own names of the rest the same way
+and anti-joins the matched paths away.  Built-in F2/F3 tests are narrow ``exists`` over the
 path components.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.glob import glob_regex
-from lakeaudit.functions.paths import component_pairs, path_parts
+from lakeaudit.functions.paths import component_pairs, own_pairs, parent_dir, path_parts
 from lakeaudit.operators.joins import broadcast_if_small, lookup_join
 
 # names of manifest and rule files; a caller whose files have other names
@@ -65,18 +66,19 @@ def _manifest_name(name, index_name: str, ignore_name: str):
 
 
 def rule_matches(listing: DataFrame, rules: DataFrame, global_rules: DataFrame | None = None,
-                 root_name: str = "") -> DataFrame:
-    """Every (path, component j) a rule ignores: ``path, j, entry_path``."""
+                 root_name: str = "", last_only: bool = False) -> DataFrame:
+    """Every (path, component j) a rule ignores: ``path, j, entry_path``;
+    with ``last_only`` only the path's own name is tested."""
     compiled = compile_rules(rules)
     paths = listing.select("path")
-    pairs = paths.select("path", F.explode(component_pairs("path")).alias("p")).select(
+    pairs = paths.select("path", F.explode(own_pairs("path") if last_only else component_pairs("path")).alias("p")).select(
         "path", "p.anc", "p.entry", "p.rel", "p.own", "p.j", "p.entry_path")
     if global_rules is not None:
         g = compile_rules(global_rules.withColumn("dir", F.lit(""))).withColumn("dir", F.lit(GLOBAL_DIR))
         compiled = compiled.unionByName(g)
         parts = path_parts("path")
         gp = paths.select("path", F.explode(F.transform(
-            F.sequence(F.lit(1), F.size(parts)),
+            F.sequence(F.size(parts) if last_only else F.lit(1), F.size(parts)),
             lambda j: F.struct(
                 F.lit(GLOBAL_DIR).alias("anc"),
                 F.element_at(parts, j).alias("entry"),
@@ -110,11 +112,17 @@ def apply_ignore(listing: DataFrame, rules: DataFrame | None, *, include_dot: bo
         return kept  # no rule anywhere: the narrow built-in filter is all
     if rules is None:
         rules = listing.sparkSession.createDataFrame([], "dir string, pattern string")
-    # matched paths are usually few: written once, counted, and broadcast when
-    # small, so the listing itself is not shuffled (plain shuffle join beyond)
-    m = broadcast_if_small(rule_matches(kept, rules, global_rules, root_name).select("path").distinct(),
+    # each directory is judged once, however many entries it holds; then only
+    # an entry's own name is left to test.  What matches is usually little:
+    # written once, counted, and broadcast when small, so the listing itself
+    # is not shuffled
+    named = kept.withColumn("_dir", parent_dir("path"))
+    dirs = named.select(F.col("_dir").alias("path")).where("path <> ''").distinct()
+    bad = rule_matches(dirs, rules, global_rules, root_name).select(F.col("path").alias("_dir")).distinct()
+    named = lookup_join(named, bad, ["_dir"], "left_anti", spread_by="path", materialize=True)
+    m = broadcast_if_small(rule_matches(named, rules, global_rules, root_name, last_only=True).select("path").distinct(),
                            materialize=True)
-    return kept.join(m, "path", "left_anti").select(*listing.columns)
+    return named.join(m, "path", "left_anti").select(*listing.columns)
 
 
 def show_ignored(listing: DataFrame, rules: DataFrame | None, *, include_dot: bool = False,

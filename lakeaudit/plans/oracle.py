@@ -473,3 +473,17 @@ SELECT i.hash, k.keeper, i.path AS duplicate
 FROM bitems i JOIN (SELECT hash, min(path) AS keeper FROM bitems GROUP BY hash) k USING (hash)
 WHERE i.path <> k.keeper"""),
 }
+
+ORACLE["bags_json"] = _d("""
+SELECT to_json({'hash': i.hash, 'size': i.size, 'shared': b.size * b.merged_n, 'exclusive': b.size * b.n_classes,
+                'extUnknown': b.ext_unknown, 'path': i.path, 'merged': i.merged})::VARCHAR AS json
+FROM bitems i JOIN bags b USING (hash)""")
+
+
+def _file_oracles() -> dict[str, str]:
+    from lakeaudit.plans.file_queries import oracles
+
+    return oracles(BASE, FUSE)
+
+
+ORACLE.update(_file_oracles())

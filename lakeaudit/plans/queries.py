@@ -22,6 +22,7 @@ from lakeaudit.operators import seal as S
 from lakeaudit.operators import fuse as U
 from lakeaudit.operators import rates as RT
 from lakeaudit.plans import fixtures as FX
+from lakeaudit.plans.file_queries import QUERIES as FILE_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -310,3 +311,5 @@ QUERIES: dict[str, Query] = {
     "dir_lists": dir_lists,
     "rehash_algo": rehash_algo,
 }
+
+QUERIES.update(FILE_QUERIES)

@@ -22,11 +22,6 @@ DIRS_SCHEMA = T.StructType([
     T.StructField("subdir", T.StringType(), False),
 ])
 
-RULES_SCHEMA = T.StructType([
-    T.StructField("dir", T.StringType(), False),
-    T.StructField("pattern", T.StringType(), False),
-])
-
 
 class Status:
     """Event codes.  Fixed values shared with the manifest tool's log format.

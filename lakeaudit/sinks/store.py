@@ -200,8 +200,3 @@ def read_bags(spark: SparkSession, store: str, part: str = "dups") -> DataFrame:
     if gen is None:
         raise FileNotFoundError(f"no duplicate result in {store}")
     return spark.read.parquet(f"{store}/{part}/gen={gen}")
-
-
-def write_bags_json(lines: DataFrame, path: str) -> None:
-    """K5: one JSON line per bag item."""
-    lines.write.mode("overwrite").text(path)
