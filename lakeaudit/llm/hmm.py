@@ -51,6 +51,8 @@ ROUNDS = 4
 OWN_CLASSES = 8192
 SHARED_CLASSES = 1024
 FREQUENT = 200_000
+# steps of the histogram of counts per doubling
+COUNT_LEVELS = 32
 PIECE = 1024
 # tokens worked off together in a task
 TOKENS_AT_ONCE = 500_000
@@ -274,9 +276,23 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT, own: int = OWN_CLASSES) -> Vocabulary:
-    """From the staged count table; what is collected has a fixed size."""
+    """From the staged count table; what is collected has a fixed size.
+
+    The frequent tokens are those above a count that a coarse histogram of
+    the counts gives, so that ``frequent`` of them at most are collected and
+    no task has to send its own candidates."""
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = [(bytes(r.token), r.n) for r in counts.orderBy(F.desc("n"), "token").limit(frequent).collect()]
+    level = F.floor(F.log2("n") * COUNT_LEVELS).cast("int")
+    wanted, least = 0, None
+    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        wanted += row.k
+        if wanted > frequent:
+            break
+        least = row.level
+    top: list[tuple[bytes, int]] = []
+    if least is not None:
+        found = counts.where(level >= least).select("token", "n").toArrow()
+        top = sorted(zip(found.column("token").to_pylist(), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
     names = counts.sparkSession.sparkContext.broadcast(frozenset(t for t, _ in top[:own]))
 
     def classes(batches):
