@@ -47,7 +47,7 @@ from lakeaudit.llm.common import documents, staged
 from lakeaudit.session import ship_package
 
 STATES = 6
-ROUNDS = 4
+ROUNDS = 5
 OWN_CLASSES = 8192
 SHARED_CLASSES = 1024
 FREQUENT = 200_000

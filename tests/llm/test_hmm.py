@@ -127,3 +127,23 @@ def test_edge_rows(spark, edge_docs, no_docs):
     rows = [(None, "a b"), (None, "c"), (3, "a")]
     out = H.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()
     assert sorted(x[2:] for x in got_base(out)) == sorted(x[2:] for x in base(rows))
+
+
+def test_training_rounds_and_precision():
+    """Five rounds by default; counts in single precision end at the scores
+    of those in double."""
+    import inspect
+
+    assert H.ROUNDS == 5
+    assert all(inspect.signature(f).parameters["rounds"].default == 5 for f in (H.train, H.score))
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 2500, 60)
+    tokens = np.minimum(rng.zipf(1.3, sizes.sum()), 300) - 1
+    counts = np.bincount(tokens, minlength=300)
+    scores = []
+    for single in (False, True):
+        model = H.first_model(counts)
+        for _ in range(H.ROUNDS):
+            model = H.next_model(*H.expected_counts(tokens, sizes, model.single() if single else model), counts)
+        scores.append(H.log10_likelihood(tokens, sizes, model))
+    assert np.allclose(*scores, rtol=1e-4)
