@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeaudit.llm.common import documents, text_or_empty
+from lakeaudit.llm.license_texts import TEXTS
 from lakeaudit.operators.joins import broadcast_if_small
 
 # words one of which every licence has, in any spelling
@@ -57,6 +58,49 @@ _BSD_2_CONDITIONS = """Redistribution and use in source and binary forms, with o
 _BSD_3_CONDITION = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 _BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
+_REGENTS = [("the copyright holder nor", "the University nor"), ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS"),
+            ("COPYRIGHT HOLDER OR CONTRIBUTORS", "REGENTS OR CONTRIBUTORS")]
+
+# titles that the short licences usually carry ('' for none)
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", ""),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", ""),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD License", ""),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License",
+                     'BSD 2-Clause "Simplified" License', "FreeBSD License", ""),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License",
+                     "The New BSD License", "Revised BSD License", 'BSD 3-Clause "New" or "Revised" License', "BSD License", "The BSD License", ""),
+}
+
+
+def _numbered(text: str) -> list[str]:
+    """The text with its conditions as 1. 2. 3., as (a) (b) (c), and as
+    bullets, which the canonical form drops."""
+    letters = {"1": "(a)", "2": "(b)", "3": "(c)"}
+    return [text, re.sub(r"(?m)^([123])\.", lambda m: letters[m[1]], text), re.sub(r"(?m)^[123]\.", "*", text)]
+
+
+def _short(name: str, text: str) -> list[tuple[str, str]]:
+    return [(name, f"{title}\n\n{t}".strip()) for t in dict.fromkeys(_numbered(text)) for title in TITLES[name]]
+
+
+def _bsd(name: str, text: str) -> list[tuple[str, str]]:
+    """With the holders as in the template, and as in the first licences."""
+    regents = text
+    for a, b in _REGENTS:
+        regents = regents.replace(a, b)
+    return [*_short(name, text), *_short(name, regents)]
+
+
+def _published(name: str, text: str) -> list[tuple[str, str]]:
+    """The text as published, and without what follows its terms."""
+    terms = re.match(r"(?s)(.*?\n *END OF TERMS AND CONDITIONS)", text)
+    ends = [] if not terms else [terms[1], terms[1].rpartition("\n")[0]]
+    notice = re.match(r"(?s)(.*?)\n+(?:Exhibit A - Source Code Form License Notice|EXHIBIT A -Mozilla Public License)", text)
+    how = re.match(r"(?s)(.*?)\n+ADDENDUM: How to use this License", text)
+    return [(name, t) for t in (text, *ends, *(m[1] for m in (notice, how) if m))]
+
+
 # fixed values: known licences, as (name, entire text of the licence or of
 # its usual notice)
 KNOWN = [
@@ -77,6 +121,12 @@ KNOWN = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     *[(f"CC-{kind.replace(' ', '-')}-4.0", f"{verb} under CC {kind} 4.0") for kind in
       ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND") for verb in ("Licensed", "This work is licensed")],
+    *_short("MIT", _MIT.partition("\n\n")[2]),
+    *_short("ISC", f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_DISCLAIMER}"),
+    *_short("0BSD", f"{_ISC_GRANT}.\n\n{_ISC_DISCLAIMER}"),
+    *_bsd("BSD-2-Clause", f"{_BSD_2_CONDITIONS}\n\n{_BSD_DISCLAIMER}"),
+    *_bsd("BSD-3-Clause", f"{_BSD_2_CONDITIONS}\n\n{_BSD_3_CONDITION}\n\n{_BSD_DISCLAIMER}"),
+    *[known for name, text in TEXTS for known in _published(name, text)],
 ]
 
 

@@ -52,3 +52,16 @@ def test_edge_rows(spark, edge_docs, no_docs):
     assert L.scan(no_docs, known).count() == 0
     twice = spark.createDataFrame([(None, "Released under the MIT License"), (None, "z"), (3, "Licensed under CC BY 4.0")], "doc_id long, text string")
     assert sorted(r.licenses for r in L.scan(twice, known).collect()) == ["CC-BY-4.0", "MIT", "MIT"]
+
+
+def test_published_texts_titles_and_bullets(spark):
+    from lakeaudit.llm.license_texts import TEXTS
+
+    isc, bsd = dict(L.KNOWN)["ISC"], next(t for n, t in L.KNOWN if n == "BSD-3-Clause" and "Neither" in t and "copyright holder" in t)
+    bullets = "BSD 3-Clause License\n\nCopyright (c) 2021, X\nAll rights reserved.\n\n" + bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    texts = dict(TEXTS)
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    got = found(spark, [*texts.values(), texts["Apache-2.0"].partition("   APPENDIX")[0], bullets, "The ISC License\n\nCopyright X\n\n" + isc])
+    assert [g[0] for g in got] == [*texts, "Apache-2.0", "BSD-3-Clause", "ISC"]
+    assert all(whole for _, _, whole in got)
+    assert found(spark, [texts["GPL-3.0"].replace("Everyone is permitted", "Nobody is permitted")])[0] == ("", 0, False)
