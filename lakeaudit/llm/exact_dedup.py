@@ -119,12 +119,15 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each group of equal texts stays.
 
-    The dropped ids go through an anti-join, which the optimiser broadcasts
-    when they turn out small at run time.  Rows without id stay."""
+    The dropped ids go with their digests through an anti-join, which the
+    optimiser broadcasts when they turn out small at run time; one id with two
+    texts is two documents.  Rows without id stay."""
     decisions = staged(decide(docs), "exact")
-    out = docs.join(decisions.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "doc_id", "left_anti")
+    mark, name, sha = (spare(docs, c) for c in ("_digest", "_gone", "_sha"))
+    gone = decisions.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name), F.col("text_sha256").alias(sha))
+    out = docs.withColumn(mark, digest_of(F.col("text")))
+    out = out.join(gone, (F.col("doc_id") == F.col(name)) & (F.col(mark) == F.col(sha)), "left_anti")
     n = docs.count()
     if n != decisions.count():  # the same document more than once: leave it once
-        mark = spare(docs, "_digest")
-        out = out.withColumn(mark, digest_of(F.col("text"))).dropDuplicates(["doc_id", mark])
+        out = out.dropDuplicates(["doc_id", mark])
     return out.select(*docs.columns)

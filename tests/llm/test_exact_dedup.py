@@ -71,3 +71,9 @@ def test_sort_merge_anti_join_without_shuffling_the_index(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_one_id_with_two_texts(spark):
+    """Id 5 holds X, which it keeps for its copies, and Y, a copy of id 3's."""
+    docs = spark.createDataFrame([(3, "y y"), (5, "x x"), (5, "y y"), (7, "x x"), (9, "z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in D.stage(spark, docs, SF001).collect()) == [(3, "y y"), (5, "x x"), (9, "z")]
