@@ -10,10 +10,11 @@ of entries.  A sequence in which every neighbouring pair passes is the one
 the merges produce, and each prefix has exactly one, so a position that led
 nowhere is never tried twice and the walk is linear in the piece.
 
-Finished pieces are memoised too, in a dictionary of bounded size.  The
+Finished pieces are memoised too, in dictionaries of bounded bytes.  The
 vocabulary is a broadcast of fixed size (the rank file).  Texts are worked
-off whole, in runs of pieces, so one very long text needs little more than
-its own size.
+off whole, a batch in runs of about a megabyte and a text in runs of pieces,
+and ids are gathered in machine integers, so a task holds little more than
+the text at hand however large the batch.
 
 Defined cases: a null or empty text has no tokens (the digests are those of
 the empty string); special tokens are ordinary text; other columns are not
@@ -24,22 +25,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeaudit.llm.common import documents
+from lakeaudit.llm.common import documents, text_runs
 from lakeaudit.session import ship_package
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-PIECE_MEMO = 200_000
-PAIR_MEMO = 500_000
+# bytes that each memo of finished pieces may hold, and entries of the one
+# of pairs (about 100 bytes each)
+PIECE_MEMO = 12 << 20
+PAIR_MEMO = 200_000
 LONG_TEXT = 1_000_000
 RUN_PIECES = 50_000
 
@@ -49,6 +54,23 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+class Memo(dict):
+    """A dictionary that starts anew when what it holds passes ``PIECE_MEMO``
+    bytes, an entry counting as the size of both its parts and 160 more."""
+
+    held = 0
+
+    def keep(self, key, value) -> None:
+        size = len(key) + len(value) * getattr(value, "itemsize", 1) + 160
+        if size > PIECE_MEMO // 1000:
+            return
+        if self.held + size > PIECE_MEMO:
+            self.clear()
+            self.held = 0
+        self[key] = value
+        self.held += size
+
+
 class Bpe:
     """Encoder and decoder for one rank table (ids are ranks)."""
 
@@ -76,9 +98,9 @@ class Bpe:
             cut = (token[:k] for k in range(len(token) - 1, 0, -1))
             self.shorter[rank] = next((ranks[c] for c in cut if len(c) == 1 or ranks.get(c) in self.halves), -1)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.named: dict[str, str] = {}
-        self.spelled: dict[str, bytes] = {}
+        self.pieces: Memo = Memo()
+        self.named: Memo = Memo()
+        self.spelled: Memo = Memo()
 
     def _merge_below(self, token: bytes, limit: int) -> list[int]:
         """Plain merging of a token's bytes with the ranks below its own."""
@@ -165,35 +187,32 @@ class Bpe:
             found = (m.group() for m in self.find.finditer(text))
             yield from iter(lambda: list(islice(found, RUN_PIECES)), [])
 
-    def _ids(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encode_piece(piece.encode("utf-8")))
-        if len(self.pieces) >= PIECE_MEMO:
-            self.pieces.clear()
-        if len(ids) < 64:
-            self.pieces[piece] = ids
+    def _ids(self, piece: str) -> array:
+        ids = array("i", self.encode_piece(piece.encode("utf-8")))
+        self.pieces.keep(piece, ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
-        get = self.pieces.get
-        return [i for run in self.runs(text) for p in run for i in get(p) or self._ids(p)]
+        return self.ids(text).tolist()
+
+    def ids(self, text: str) -> array:
+        out, get = array("i"), self.pieces.get
+        for run in self.runs(text):
+            for p in run:
+                out += get(p) or self._ids(p)
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
     def _name(self, piece: str) -> str:
         name = ",".join([self.text_of[i] for i in self.encode_piece(piece.encode("utf-8"))])
-        if len(self.named) >= PIECE_MEMO:
-            self.named.clear()
-        if len(name) < 400:
-            self.named[piece] = name
+        self.named.keep(piece, name)
         return name
 
     def _spell(self, name: str) -> bytes:
         spelled = self.decode(map(int, name.split(",")))
-        if len(self.spelled) >= PIECE_MEMO:
-            self.spelled.clear()
-        if len(name) < 400:
-            self.spelled[name] = spelled
+        self.spelled.keep(name, spelled)
         return spelled
 
     def digests(self, text: str) -> tuple[int, str, str]:
@@ -233,9 +252,14 @@ def encode_frame(df: DataFrame, path: str, pattern: str = public_tokenizers.PATT
 
     def encode(batches):
         bpe = _bpe(data.value, pattern)
-        for b in batches:
-            ids = [bpe.encode(t) if t else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "token_ids"])
+        for b in (run for whole in batches for run in text_runs(whole)):
+            ids, ends = array("i"), [0]
+            for t in b.column(1):
+                ids += bpe.ids(t.as_py() or "")
+                ends.append(len(ids))
+            flat = pa.array(np.frombuffer(ids, np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "token_ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(encode, f"doc_id {kind}, token_ids array<int>")
@@ -249,8 +273,8 @@ def decode_frame(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
 
     def decode(batches):
         bpe = _bpe(data.value, public_tokenizers.PATTERN)
-        for b in batches:
-            out = [bpe.decode(ids or []) for ids in b.column(1).to_pylist()]
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            out = [bpe.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -266,8 +290,8 @@ def digest_frame(df: DataFrame, path: str, pattern: str = public_tokenizers.PATT
 
     def work(batches):
         bpe = _bpe(data.value, pattern)
-        for b in batches:
-            rows = [bpe.digests(t or "") for t in b.column(1).to_pylist()]
+        for b in (run for whole in batches for run in text_runs(whole)):
+            rows = [bpe.digests(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
                  pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,15 @@ def words_of(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def text_runs(batch: pa.RecordBatch, column: int = 1, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of ``rows`` rows and ``size`` bytes of text at most
+    (one row at least): what a task holds as Python objects at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        to = max(at + 1, min(at + rows, full))
+        yield batch.slice(at, to - at)
+        at = to

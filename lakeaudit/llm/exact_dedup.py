@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeaudit.llm.common import WS_CLASS, documents, shared_path, spare, staged, text_or_empty
+from lakeaudit.operators.joins import broadcast_if_small
+from lakeaudit.session import conf_int
 
 N_BUCKETS = 32
 
@@ -119,15 +121,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each group of equal texts stays.
 
-    The dropped ids go with their digests through an anti-join, which the
-    optimiser broadcasts when they turn out small at run time; one id with two
-    texts is two documents.  Rows without id stay."""
+    Only ids and digests are shuffled: the dropped ones are counted and
+    broadcast, or joined when they are too many.  One id with two texts is
+    two documents; rows that repeat an id and its text are one, of which the
+    first in the order of their JSON form stays; rows without id stay."""
     decisions = staged(decide(docs), "exact")
     mark, name, sha = (spare(docs, c) for c in ("_digest", "_gone", "_sha"))
-    gone = decisions.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name), F.col("text_sha256").alias(sha))
-    out = docs.withColumn(mark, digest_of(F.col("text")))
+    has_id = F.col("doc_id").isNotNull()
+    gone = decisions.where(~F.col("kept") & has_id).select(F.col("doc_id").alias(name), F.unhex("text_sha256").alias(sha))
+    gone = broadcast_if_small(gone, conf_int(spark, "broadcastMaxKeys"))
+    out = docs.withColumn(mark, F.unhex(digest_of(F.col("text"))))
     out = out.join(gone, (F.col("doc_id") == F.col(name)) & (F.col(mark) == F.col(sha)), "left_anti")
-    n = docs.count()
-    if n != decisions.count():  # the same document more than once: leave it once
-        out = out.dropDuplicates(["doc_id", mark])
+    if docs.count() != decisions.count():  # some row comes more than once
+        many = staged(docs.groupBy("doc_id").count().where(has_id & (F.col("count") > 1)).select(F.col("doc_id").alias(name)), "repeats")
+        many = broadcast_if_small(many)
+        row = F.struct(*docs.columns)
+        once = out.join(many, F.col("doc_id") == F.col(name), "left_semi").groupBy("doc_id", mark).agg(
+            F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias(name))
+        out = out.join(many, F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns).unionByName(
+            once.select(*[F.col(name)[c].alias(c) for c in docs.columns]))
     return out.select(*docs.columns)

@@ -22,12 +22,11 @@ rows are drawn alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import documents, staged, text_or_empty, words_of
+from lakeaudit.llm.common import documents, let, spare, staged, text_or_empty, words_of
+from lakeaudit.operators.joins import lookup_join
 from lakeaudit.session import conf_int
 
 DIMS = ("source", "lang", "topic")
@@ -39,22 +38,25 @@ SEED = "mix-1"
 NONE = "(none)"
 
 
-def topic_of(text: Column) -> Column:
-    """Coarse content type of a text, from character shares and length."""
+def counted(text: Column) -> Column:
+    """``n_words`` and ``topic``, a coarse content type from character shares
+    and length, of a text; its words are counted once."""
     size = F.length(text)
     left = lambda chars: size - F.length(F.translate(text, chars, ""))
-    n_words = F.size(words_of(text))
-    return (F.when(100 * left("|") >= 2 * size, "table")
-            .when(100 * left("0123456789") >= 3 * size, "numeric")
-            .when(100 * left("ABCDEFGHIJKLMNOPQRSTUVWXYZ") >= 30 * size, "capitals")
-            .when(n_words < 100, "note").when(n_words < 1000, "article").otherwise("book"))
+    return let(F.size(words_of(text)), lambda n: F.struct(
+        n.cast("bigint").alias("n_words"),
+        F.when(100 * left("|") >= 2 * size, "table")
+        .when(100 * left("0123456789") >= 3 * size, "numeric")
+        .when(100 * left("ABCDEFGHIJKLMNOPQRSTUVWXYZ") >= 30 * size, "capitals")
+        .when(n < 100, "note").when(n < 1000, "article").otherwise("book").alias("topic")))
 
 
 def described(docs: DataFrame) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens`` of every row."""
-    text = text_or_empty("text")
-    return docs.select("doc_id", F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce("lang", F.lit(NONE)).alias("lang"),
-                       topic_of(text).alias("topic"), F.size(words_of(text)).cast("bigint").alias("n_tokens"))
+    name = spare(docs, "_counted")
+    rows = docs.select("doc_id", F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce("lang", F.lit(NONE)).alias("lang"),
+                       counted(text_or_empty("text")).alias(name))
+    return rows.select("doc_id", "source", "lang", F.col(name)["topic"].alias("topic"), F.col(name)["n_words"].alias("n_tokens"))
 
 
 def cell_table(rows: DataFrame, dims=DIMS) -> DataFrame:
@@ -157,14 +159,16 @@ FROM rows LEFT JOIN p USING (source, lang, topic)"""
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: what the calibrated draw takes.
 
-    The probability table is joined by the cell of each row (one row per
-    cell, broadcast when it turns out small), so texts are not shuffled."""
+    The probabilities (one row per cell) are counted and broadcast, so texts
+    are not shuffled; a larger table goes through the skew-aware lookup."""
     rows = staged(described(docs), "described")
     cells = staged(cell_table(rows), "cells")
     targets = {d: staged(flattened(cells, d, FLATTEN[d]), f"target-{d}") for d in DIMS}
+    names = {d: spare(docs, f"_mix_{d}") for d in (*DIMS, "prob")}
     probs = staged(probabilities(rake(cells, targets)), "probs").select(
-        *[F.col(d).alias(f"_mix_{d}") for d in DIMS], F.col("prob").alias("_mix_prob"))
-    text = text_or_empty("text")
-    cell = [F.coalesce("source", F.lit(NONE)), F.coalesce("lang", F.lit(NONE)), topic_of(text)]
-    on = reduce(lambda a, b: a & b, [c == F.col(f"_mix_{d}") for c, d in zip(cell, DIMS)])
-    return docs.join(probs, on).where(draw(F.col("doc_id")) < F.col("_mix_prob")).select(*[docs[c] for c in docs.columns])
+        *[F.col(d).alias(names[d]) for d in (*DIMS, "prob")])
+    cell = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)),
+            "topic": counted(text_or_empty("text"))["topic"]}
+    big = docs.withColumns({names[d]: c for d, c in cell.items()})
+    out = lookup_join(big, probs, [names[d] for d in DIMS], "inner", spread_by="doc_id")
+    return out.where(draw(F.col("doc_id")) < F.col(names["prob"])).select(*docs.columns)

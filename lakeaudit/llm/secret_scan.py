@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeaudit.llm.common import documents
+from lakeaudit.llm.common import documents, text_runs
 from lakeaudit.session import ship_package
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key64", "keyhex")
@@ -177,8 +177,8 @@ def scan_frame(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def work(batches):
-        for b in batches:
-            rows = [[dict(zip(("kind", "start", "end"), s)) for s in scan(t or "")] for t in b.column(1).to_pylist()]
+        for b in (run for whole in batches for run in text_runs(whole)):
+            rows = [[dict(zip(("kind", "start", "end"), s)) for s in scan(t.as_py() or "")] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, found)], ["doc_id", "spans"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -191,10 +191,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
 
     def work(batches):
-        for b in batches:
+        for b in (run for whole in batches for run in text_runs(whole)):
             rows = []
-            for t in b.column(1).to_pylist():
-                found = scan(t or "")
+            for t in b.column(1):
+                found = scan(t.as_py() or "")
                 base = [s for s in found if s[0] in BASE_KINDS]
                 counts = [sum(s[0] == k for s in base) for k in BASE_KINDS]
                 rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)))

@@ -25,8 +25,8 @@ them are those over all links.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked
 like any other; fewer words than a shingle make one shingle; rows without id
-get a fingerprint but never name a component unless nothing else is in it;
-repeated rows repeat; an empty table gives an empty result.
+get a fingerprint and link like any other, but never name a component (null
+where it has no id at all); repeated rows repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +37,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import documents, staged
+from lakeaudit.llm.common import documents, spare, staged, text_or_empty, text_runs
 from lakeaudit.llm.components import components
-from lakeaudit.session import ship_package
+from lakeaudit.operators.joins import broadcast_if_small
+from lakeaudit.session import conf_int, ship_package
 
 SHINGLE = 3
 RADIUS = 3
@@ -77,15 +78,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every row."""
+    """``doc_id, fp`` (the 64 bits as a signed long), ``text_md5`` of every row."""
     ship_package(docs.sparkSession)
 
     def work(batches):
-        for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+        for b in (run for whole in batches for run in text_runs(whole)):
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(2)], ["doc_id", "fp", "text_md5"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long"), text_col, text_md5(F.col(text_col)))
+    return rows.mapInArrow(work, "doc_id long, fp long, text_md5 string")
+
+
+def text_md5(text: Column) -> Column:
+    return F.md5(F.encode(text_or_empty(text), "UTF-8"))
 
 
 # ------------------------------------------------------------ bit slicing
@@ -245,15 +251,28 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, block: int
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE,
                     block: int = BLOCK) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
+    return _found(docs, radius, parts, shingle, block).drop("text_md5")
+
+
+def _found(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """``near_duplicates`` with the MD5 of each text.
+
+    The nodes of the link search are the fingerprints, so one that only rows
+    without id have links others like any; a component is then named by its
+    smallest id."""
     fps = staged(fingerprints(docs, shingle=shingle), "simhash")
-    nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
-    roots = components(links(nodes.where(F.col("node").isNotNull()).select("node", "fp"), radius, parts, block))
+    nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    roots = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius, parts, block))
+    # fingerprints with a link, and those that are the root of one
+    linked = roots.select(F.col("a").alias("fp"), "root")
+    linked = linked.unionByName(linked.select(F.col("root").alias("fp"), "root").distinct()).join(nodes, "fp")
+    names = linked.groupBy("root").agg(F.min("least").alias("name"))
+    linked = linked.join(names, "root").select("fp", "name")
     # a lookup only for fingerprints that stand for more than one row
-    named = nodes.join(roots.withColumnRenamed("a", "node"), "node", "left").where("n > 1 OR root IS NOT NULL")
-    named = named.select("fp", F.coalesce("root", "node").alias("root"))
-    out = fps.join(named, "fp", "left")
+    alone = nodes.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("least").alias("name"))
+    out = fps.join(linked.unionByName(alone), "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                      F.coalesce("root", "doc_id").alias("component_id"))
+                      F.coalesce("name", "doc_id").alias("component_id"), "text_md5")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,8 +281,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the smallest id of each component stays.  Rows without
-    id stay."""
-    found = near_duplicates(docs)
-    gone = staged(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: the smallest id of each component stays.  One id with
+    two texts is two documents; rows without id stay."""
+    found = _found(docs)
+    name, md5 = spare(docs, "_gone"), spare(docs, "_md5")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(
+        F.col("doc_id").alias(name), F.unhex("text_md5").alias(md5)).distinct()
+    gone = broadcast_if_small(staged(gone, "near"), conf_int(spark, "broadcastMaxKeys"))
+    same = (F.col("doc_id") == F.col(name)) & (F.unhex(text_md5(F.col("text"))) == F.col(md5))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 
 from lakeaudit.llm import bpe as B
 
-from .conftest import EDGE
+from .conftest import EDGE, SF001
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +76,29 @@ def test_frames(spark, edge_docs, no_docs, ours, theirs):
     dig = sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in B.digest_frame(edge_docs, path).collect())
     assert dig == sorted((i, len(theirs.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in EDGE)
     assert B.digest_frame(no_docs, path).count() == 0 and B.encode_frame(no_docs, path).count() == 0
+
+
+def test_whole_table(spark, theirs):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").collect()
+    got = sorted(tuple(r) for r in B.op7_byte_bpe(spark, SF001).collect())
+    want = []
+    for r in docs:
+        ids = theirs.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                     hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_a_batch_in_small_runs(spark, theirs, monkeypatch):
+    """Long, empty and null texts over several runs of one batch."""
+    import pyarrow as pa
+    from lakeaudit.llm.common import text_runs
+
+    texts = ["x " * 700, None, "", "y" * 3000, "z", None, "w " * 900]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    runs = list(text_runs(batch, rows=3, size=1500))
+    assert [t for r in runs for t in r.column(1).to_pylist()] == texts
+    assert max(r.num_rows for r in runs) <= 3 and len(runs) > 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 300)], "doc_id long, text string").coalesce(1)
+    got = [list(r.token_ids) for r in B.encode_frame(df, P.path(B.RANK_FILE)).orderBy("doc_id").collect()]
+    assert got == [theirs.encode_ordinary(t or "") for t in texts] * 300

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from lakeaudit.llm import exact_dedup as D
 from lakeaudit.llm.common import shared_path
 
@@ -77,3 +79,12 @@ def test_one_id_with_two_texts(spark):
     """Id 5 holds X, which it keeps for its copies, and Y, a copy of id 3's."""
     docs = spark.createDataFrame([(3, "y y"), (5, "x x"), (5, "y y"), (7, "x x"), (9, "z")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in D.stage(spark, docs, SF001).collect()) == [(3, "y y"), (5, "x x"), (9, "z")]
+
+
+def test_repeated_rows_with_other_columns(spark):
+    """Of rows that repeat id and text the first in JSON order stays; rows
+    without id all stay."""
+    rows = [(1, "a  b", "z"), (1, "a b", "y"), (1, "a b", "x"), (2, "a b", "w"), (None, "q", "1"), (None, "q", "2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    got = sorted(tuple(r) for r in D.stage(spark, docs, SF001).select(F.coalesce("doc_id", F.lit(0)), "text", "_gone").collect())
+    assert got == [(0, "q", "1"), (0, "q", "2"), (1, "a  b", "z")]

@@ -63,3 +63,10 @@ def test_edge_rows(spark, edge_docs, no_docs):
 def test_draw_is_even(spark):
     u = spark.range(4000).select(M.draw(F.col("id")).alias("u")).toPandas().u
     assert u.between(0, 1, inclusive="left").all() and abs(u.mean() - 0.5) < 0.02
+
+
+def test_stage_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", "en", "x", 0.5) for i in range(9)],
+                               "doc_id long, text string, source string, lang string, _mix_source string, _mix_prob double")
+    assert M.stage(spark, df, SF001).columns == df.columns
+    assert M.stage(spark, df, SF001).count() == 9

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from lakeaudit.llm import components as C, simhash as S
 
@@ -124,3 +125,26 @@ def test_edge_rows(spark, edge_docs, no_docs):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in want}
     no_id = spark.createDataFrame([(None, "p q r s"), (5, "p q r s"), (None, "z")], "doc_id long, text string")
     assert sorted(S.near_duplicates(no_id).select("component_id").toPandas().component_id.fillna(-1)) == [-1, 5, 5]
+
+
+def test_fingerprints_that_only_rows_without_id_have(spark, monkeypatch):
+    """0, 7 and 63 join through the row in the middle, which has no id; ``d``
+    stands alone, once with and once without id."""
+    fps = {"a": 0, "b": 7, "c": 63, "d": 63 << 40, "e": 63 << 50}
+
+    def given_fps(docs, **_):
+        pairs = F.create_map(*[F.lit(x) for kv in fps.items() for x in kv])
+        return docs.select("doc_id", pairs[F.col("text")].cast("long").alias("fp"), S.text_md5(F.col("text")).alias("text_md5"))
+
+    monkeypatch.setattr(S, "fingerprints", given_fps)
+    docs = spark.createDataFrame([(9, "a"), (None, "b"), (1, "c"), (None, "d"), (4, "d"), (None, "e")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, int(r.fingerprint, 16)) for r in S.near_duplicates(docs).collect()}
+    assert got == {(9, 1, 0), (None, 1, 7), (1, 1, 63), (None, 4, 63 << 40), (4, 4, 63 << 40), (None, None, fps["e"])}
+
+
+def test_stage_one_id_with_two_texts(spark):
+    """Id 5 holds x, which it keeps for its copies, and y, a copy of id 3's."""
+    x, y = " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    docs = spark.createDataFrame([(3, y), (5, x), (5, y), (7, x), (None, x)], "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in S.stage(spark, docs, SF001).collect()}
+    assert kept == {(3, y), (5, x), (None, x)}
