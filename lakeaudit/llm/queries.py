@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lakeaudit.llm import bpe, exact_dedup, hmm, license_scan, mixing, passages, quality, secret_scan, sharding, simhash
+from lakeaudit.llm import (
+    bpe, exact_dedup, hmm, hnsw, license_scan, mixing, passages, phrases, quality, secret_scan, sharding, simhash, whitening)
 
 QUERIES = {
     "op1_maglev_shards": sharding.op1_maglev_shards,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_hmm": hmm.op9_hmm,
     "op10_secrets": secret_scan.op10_secrets,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_hnsw": hnsw.op12_hnsw,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLE = {
@@ -22,4 +26,5 @@ ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_raked_mixture": mixing.oracle(),
     "op5_license_scan": license_scan.oracle(),
+    "op13_phrases": phrases.ORACLE,
 }
