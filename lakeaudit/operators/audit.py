@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from lakeaudit.functions.hashing import check_algo, content_hash, pick_hash
 from lakeaudit.functions.paths import ancestors, join_path
 from lakeaudit.operators.joins import lookup_join
+from lakeaudit.operators.keyset import mark
 from lakeaudit.schema import HASH_ALGOS, MANIFEST_COLUMNS, Status
 
 AUDIT_COLUMNS = [
     "dir", "name", "path", "status", "modified", "counted",
-    "mod_ms", "algo", "hash", "size", "keep",
+    "mod_ms", "algo", "hash", "size", "keep", "differs",
 ]
 
 
@@ -51,20 +52,17 @@ def _skip_unchanged(observed: DataFrame, stored: DataFrame) -> DataFrame:
     """H4: only entries whose (path, mtime) is not in the stored manifest need
     a digest; the others take the stored one (the audit join decides that).
 
-    Content never crosses a shuffle.  The changed paths go out as a broadcast
-    of 64-bit path hashes when they are counted few enough (a false hit only
-    costs a digest); beyond that every entry is digested where it is scanned,
-    which is right as well and costs reading the unchanged content."""
-    from lakeaudit.session import conf_int
-
+    Content never crosses a shuffle.  The changed paths go out as a bitmap of
+    bounded size, whatever their number; an entry that it marks without need
+    costs a digest and nothing else, as the join compares the real keys."""
     keys = stored.select("path", "mod_ms")
     changed = (observed.select("path", "mod_ms").join(keys, ["path", "mod_ms"], "left_anti")
-               .select(F.xxhash64("path").alias("_changed")).distinct().checkpoint())
-    if changed.count() > conf_int(observed.sparkSession, "broadcastMaxKeys"):
-        return observed
-    marked = observed.withColumn("_path_hash", F.xxhash64("path")).join(
-        F.broadcast(changed), F.col("_path_hash") == F.col("_changed"), "left")
-    return marked.withColumn("content", F.when(F.col("_changed").isNotNull(), F.col("content"))).drop("_changed", "_path_hash")
+               .select(F.xxhash64("path").alias("_changed")).checkpoint())
+    n = changed.count()
+    if not n:
+        return observed.withColumn("content", F.lit(None).cast(observed.schema["content"].dataType))
+    marked = mark(observed, F.xxhash64("path"), changed, "_changed", n, "_may_differ")
+    return marked.withColumn("content", F.when(F.col("_may_differ"), F.col("content"))).drop("_may_differ")
 
 
 def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: bool = False,
@@ -166,6 +164,15 @@ def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: b
     )
     keep = (F.when(a_in & ~b_in, F.lit(keep_missing)).when(st == Status.PANIC, a_in)
             .when(~a_in & F.coalesce("b_unread", F.lit(False)), F.lit(False)).otherwise(True))
+    nxt = {"mod_ms": F.when(take_a, a_mod).otherwise(b_mod),
+           "algo": F.when(take_a, F.col("a_algo")).otherwise(F.col("eff_algo")),
+           "hash": F.when(take_a, F.col("a_hash")).otherwise(F.col("b_hash")),
+           "size": F.when(take_a, F.col("a_size")).otherwise(F.col("b_size"))}
+    same = nxt["mod_ms"].eqNullSafe(a_mod)
+    for c in ("algo", "hash", "size"):
+        same = same & nxt[c].eqNullSafe(F.col(f"a_{c}"))
+    # whether the next manifest has another entry than the stored one, or only one has any
+    differs = (keep != a_in) | (keep & a_in & ~same)
     counted = st.isin(Status.DAMAGE, Status.OLD, Status.UPDATE, Status.NEW)
     if not skip_existing:
         counted = counted | (st == Status.OK)
@@ -175,11 +182,9 @@ def audit(stored: DataFrame, observed: DataFrame, *, algo: str = "md5", force: b
             "dir", "name", "path", "status",
             modified.alias("modified"),
             F.coalesce(counted, F.lit(False)).alias("counted"),
-            F.when(take_a, a_mod).otherwise(b_mod).alias("mod_ms"),
-            F.when(take_a, F.col("a_algo")).otherwise(F.col("eff_algo")).alias("algo"),
-            F.when(take_a, F.col("a_hash")).otherwise(F.col("b_hash")).alias("hash"),
-            F.when(take_a, F.col("a_size")).otherwise(F.col("b_size")).alias("size"),
+            *[c.alias(n) for n, c in nxt.items()],
             keep.alias("keep"),
+            differs.alias("differs"),
         )
     )
 

@@ -14,7 +14,8 @@
    (A2, against the directory lists kept with the snapshot) and ``ERX`` for
    directories whose stored rows fail their seal (H6);
 6. unless ``readonly``, publish the next manifest and directory lists as a
-   new snapshot (K2); a subset run keeps unvisited directories (K3).
+   new version (K2), writing the changed directories alone (K3); a subset run
+   keeps unvisited directories.
 
 Files below a vanished directory get no event of their own (the directory
 is reported once), as in the tool.
@@ -181,7 +182,8 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str | list[st
         if any(y != x and (not y or x.startswith(y + "/")) for y in starts) or starts.count(x) > 1:
             raise ValueError(f"start path {x!r} lies within another")
     K.ensure_store(spark, store)
-    stored = K.read_current(spark, store)
+    version = K.current(spark, store)
+    stored = K.read_version(spark, store, version)
     stored_dirs = K.read_current_dirs(spark, store) if track_dirs else spark.createDataFrame([], DIRS_SCHEMA)
     if not recurse:
         max_depth = 1
@@ -274,8 +276,14 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str | list[st
         nxt = nxt.unionByName(_under(stored.select("dir", *[c for c in MANIFEST_COLUMNS if c != "dir"]), bad_dirs).select(*MANIFEST_COLUMNS))
         next_dirs = next_dirs.unionByName(_under(stored_dirs, bad_dirs))
     if not readonly:
-        sid = snapshot_id or str(int(K.current_id(spark, store)) + 1)
-        K.publish_snapshot(nxt, store, sid, dirs=next_dirs if track_dirs else None, keep=keep)
+        # K3: directories with another entry or list than before, and those that
+        # a full run forgets
+        changed = t.where("differs").select("dir").unionByName(dl_changed.select("dir"))
+        if full_run:
+            held = stored.select("dir").distinct().unionByName(stored_dirs.select("dir").distinct())
+            changed = changed.unionByName(held.join(visited, "dir", "left_anti"))
+        K.publish_changes(nxt, store, snapshot_id or K.next_id(spark, store), changed, dirs=next_dirs if track_dirs else None, keep=keep,
+                          after=version.seq)
     return RunResult(evts, summary, nxt, A.verdict(t.select("status").unionByName(unlisted.select("status"))))
 
 
@@ -324,7 +332,7 @@ def fuse_tree(spark: SparkSession, root: str, store: str | None = None, *, inclu
     report = split_i.unionByName(atom_i)
     if store is not None:
         K.ensure_store(spark, store)
-        sid = str(int(K.current_id(spark, store)) + 1)
+        sid = K.next_id(spark, store)
         K.publish_snapshot(fused.select(*fused.columns[:7]), store, sid)
     return fused, report
 

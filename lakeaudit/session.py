@@ -18,6 +18,11 @@ DEFAULTS = {
     "broadcastMaxBytes": 32 << 20,
     # 64-bit keys that may be broadcast (8 bytes each before hashing)
     "broadcastMaxKeys": 2_000_000,
+    # bits of the largest key set that is broadcast as a bitmap (128 MB)
+    "keySetMaxBits": 1 << 30,
+    # buckets of a manifest at least, and rows a bucket is meant to hold
+    "storeBuckets": 16,
+    "storeBucketRows": 2_000_000,
     # bytes of file content one hashing task is meant to read
     "hashTaskBytes": 256 << 20,
     # salt buckets for joins whose big side is keyed by a possibly hot key

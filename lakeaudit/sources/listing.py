@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.hashing import check_algo
@@ -208,17 +208,17 @@ def hash_files(files: DataFrame, root: str, algo: str = "md5", algo_col: str | N
     ``root`` -> manifest columns plus ``error``.  ``algo_col`` names a column
     with a per-row algorithm (H3).
 
-    The number of tasks follows the bytes to read when ``files`` has a
-    ``size`` column, ``hashTaskBytes`` each; files are dealt by a hash of the
-    path, so none has to be larger than its own largest file by much."""
+    With a ``size`` column the files are packed into tasks by size
+    (``hash_tasks``); without, dealt by a hash of the path."""
     algo = check_algo(algo)
     base = root.rstrip("/")
     spark = files.sparkSession
-    n = partitions or spark.sparkContext.defaultParallelism * 4
+    cols = ["dir", "name", "path", (F.col(algo_col) if algo_col else F.lit(algo)).alias("algo")]
     if partitions is None and "size" in files.columns:
-        total = files.agg(F.sum("size")).first()[0] or 0
-        n = max(n, -(-total // conf_int(spark, "hashTaskBytes")))
-    sel = files.select("dir", "name", "path", (F.col(algo_col) if algo_col else F.lit(algo)).alias("algo"))
+        packed, n = hash_tasks(files.select(*cols, "size"), conf_int(spark, "hashTaskBytes"))
+        sel = packed.repartitionById(n, F.col("task")).select("dir", "name", "path", "algo")
+    else:
+        sel = files.select(*cols).repartition(partitions or spark.sparkContext.defaultParallelism * 4, F.xxhash64("path"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -231,4 +231,49 @@ def hash_files(files: DataFrame, root: str, algo: str = "md5", algo_col: str | N
             yield out[["dir", "name", "path", "mod_ms", "algo", "hash", "size", "error"]]
 
     schema = "dir string, name string, path string, mod_ms bigint, algo string, hash string, size bigint, error string"
-    return sel.repartition(n, F.xxhash64("path")).mapInPandas(run, schema)
+    return sel.mapInPandas(run, schema)
+
+
+# files of which up to so many fit into a task are dealt by number
+CLASSES = 6
+
+
+def hash_tasks(files: DataFrame, task_bytes: int) -> tuple[DataFrame, int]:
+    """``files`` with ``task``, and the number of tasks: one file, or at most
+    1.2 times ``task_bytes``, to each; the largest files have the first ones.
+
+    Files over 1.2 x have a task each; those of which 1 to 6 fit within it are
+    dealt in such numbers; the rest, under a fifth each, are cut by the running
+    sum of their bytes.  Places and running sums are distributed: rows are
+    dealt to ranges, summed within each, and the sums of the ranges before (a
+    row per range and class) are added."""
+    room = 1.2 * task_bytes
+    size = F.coalesce(F.col("size"), F.lit(0))
+    fit = F.floor(F.lit(room) / F.greatest(size, F.lit(1)))
+    kind = F.when(fit > CLASSES, CLASSES + 1).otherwise(fit).cast("int")
+    spark = files.sparkSession
+    least = spark.sparkContext.defaultParallelism * 4
+    rows = files.withColumn("_kind", kind).withColumn("_size", size)
+    rows = rows.repartitionByRange(least, "_kind", F.xxhash64("path")).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sums = rows.groupBy("_range", "_kind").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("bytes")).orderBy("_kind", "_range").collect()
+    before, total = [], {}
+    for r in sums:
+        n, held = total.get(r["_kind"], (0, 0))
+        before.append((r["_range"], r["_kind"], n, held))
+        total[r["_kind"]] = (n + r["n"], held + r["bytes"])
+    # small files fill the tasks of a whole cluster before they fill their room
+    small = min(task_bytes, max(1, -(-total.get(CLASSES + 1, (0, 0))[1] // least)))
+    first, at = [], 0
+    for k in range(CLASSES + 2):
+        n, held = total.get(k, (0, 0))
+        first.append(at)
+        at += n if k == 0 else -(-n // k) if k <= CLASSES else (held // small + 1 if n else 0)
+    before = spark.createDataFrame(before, "_range int, _kind int, _n0 long, _b0 long")
+    start = F.create_map(*[F.lit(x) for k, f in enumerate(first) for x in (k, f)])
+    order = Window.partitionBy("_range", "_kind").orderBy("path", "dir")
+    rows = (rows.join(F.broadcast(before), ["_range", "_kind"])
+            .withColumn("_place", F.col("_n0") + F.row_number().over(order) - 1)
+            .withColumn("_start", F.col("_b0") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")))
+    within = (F.when(F.col("_kind") == 0, F.col("_place")).when(F.col("_kind") <= CLASSES, F.floor(F.col("_place") / F.greatest("_kind", F.lit(1))))
+              .otherwise(F.floor(F.col("_start") / F.lit(small))))
+    return rows.withColumn("task", (start[F.col("_kind")] + within).cast("int")).select(*files.columns, "task"), max(1, at)
