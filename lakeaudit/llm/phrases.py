@@ -52,9 +52,10 @@ UND = "und"
 TILE = 1024
 # a tile with this many pairs of a run is counted densely
 DENSE = TILE * TILE // 16
-RUN = 1 << 20  # numbers worked off at a time
-HELD = 1 << 19  # words or cells a task holds before it hands them on
-TILES = 8  # dense tiles a task holds, 8 MB each
+RUN = 1 << 19  # numbers worked off at a time
+# different words and cells that a task holds before it hands them on, and
+# dense tiles, 8 MB each
+WORDS_HELD, HELD, TILES = 1 << 18, 1 << 20, 6
 # rows of a table that is broadcast, and bytes of its words
 WORDS_AT_ONCE, WORD_BYTES, CELLS_AT_ONCE = 500_000, 16 << 20, 4_000_000
 
@@ -93,7 +94,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in (run for whole in batches for run in text_runs(whole)):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 held[lang].update(_words(plain_bytes(text.as_py())))
-            if sum(map(len, held.values())) > HELD:
+            if sum(map(len, held.values())) > WORDS_HELD:
                 yield from out()
         yield from out()
 
@@ -225,17 +226,20 @@ class Cells:
             codes, counts = np.unique((left[rest] << 32) | right[rest], return_counts=True)
             self.sparse.append((codes, counts))
             self.size += len(codes)
-            if self.size > self.held:
-                codes, counts = self._merged()
-                self.sparse, self.size = [(codes, counts)], len(codes)
 
     def _merged(self) -> tuple[np.ndarray, np.ndarray]:
         codes, inverse = np.unique(np.concatenate([c for c, _ in self.sparse]), return_inverse=True)
         return codes, np.bincount(inverse, np.concatenate([n for _, n in self.sparse])).astype(np.int64)
 
     def full(self) -> bool:
-        """Whether it is time to hand on what is held."""
-        return self.size > self.held // 2 or len(self.tiles) > TILES
+        """Whether it is time to hand on what is held: cells that come often
+        enough to be worth holding shrink when they are added up."""
+        if self.size > self.held:
+            codes, counts = self._merged()
+            self.sparse, self.size = [(codes, counts)], len(codes)
+            if self.size > self.held // 2:
+                return True
+        return len(self.tiles) > TILES
 
     def drain(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All cells, as codes and counts."""
