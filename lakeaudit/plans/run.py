@@ -37,7 +37,7 @@ from lakeaudit.functions.paths import ancestors
 from lakeaudit.schema import DIRS_SCHEMA, MANIFEST_COLUMNS, Status
 from lakeaudit.session import checkpoint_dir, ship_package
 from lakeaudit.sinks import store as K
-from lakeaudit.sources.listing import hash_files, walk
+from lakeaudit.sources.listing import hash_files, name_bytes, walk
 
 
 @dataclass
@@ -49,24 +49,28 @@ class RunResult:
 
 
 def read_ignore_files(listing: DataFrame, root: str, ignore_name: str = I.IGNORE_NAME) -> DataFrame:
-    """Rules ``(dir, pattern)`` from the ignore files a walk of ``root`` found."""
+    """Rules ``(dir, pattern, error)`` from the ignore files a walk of
+    ``root`` found; a file that cannot be read gives a row with its error
+    instead.  Lines are bytes as file names are: an odd one in a pattern
+    stands for that byte in a name."""
     base = root.rstrip("/")
     files = listing.where((F.col("kind") == "file") & (F.col("name") == ignore_name)).select("dir", "path")
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from lakeaudit.sources.manifests import _read_text
+        from lakeaudit.sources.listing import name_text
+        from lakeaudit.sources.manifests import read_bytes
 
         for pdf in it:
             rows = []
             for d, p in zip(pdf["dir"], pdf["path"]):
                 try:
-                    for line in _read_text(f"{base}/{p}").split("\n"):
-                        rows.append((d, line))
-                except OSError:
-                    continue
-            yield pd.DataFrame(rows, columns=["dir", "pattern"])
+                    text = name_text(read_bytes(f"{base}/{p}").decode("utf-8", "surrogateescape"))
+                    rows += [(d, line, None) for line in text.split("\n")]
+                except OSError as err:
+                    rows.append((d, None, name_text(str(err))))
+            yield pd.DataFrame(rows, columns=["dir", "pattern", "error"])
 
-    return files.mapInPandas(read, "dir string, pattern string")
+    return files.mapInPandas(read, "dir string, pattern string, error string")
 
 
 def _prefix(listing: DataFrame, subpath: str) -> DataFrame:
@@ -87,6 +91,7 @@ class Scan:
     kept: DataFrame      # files and directories the rules leave in, with level
     ignored: DataFrame   # path, kind of what they leave out
     errors: DataFrame    # listing rows that could not be read
+    unruled: DataFrame   # path of directories whose rule file could not be read
 
 
 def scan(spark: SparkSession, root: str, subpath: str = "", *, include_dot: bool = False, max_depth: int = 0,
@@ -125,9 +130,11 @@ def scan(spark: SparkSession, root: str, subpath: str = "", *, include_dot: bool
     below = I.apply_ignore(unread.where(F.col("path") != ""), rules, **options)
     kept = I.apply_ignore(entries, rules, **options)
     ignored = I.show_ignored(entries, rules, **options)
+    unruled = rules.where(F.col("error").isNotNull()).select(F.col("dir").alias("path")).distinct()
     if subpath:
         ignored = ignored.withColumn("path", F.concat(F.lit(subpath + "/"), "path"))
-    return Scan(_prefix(kept, subpath), ignored, _prefix(below.unionByName(top), subpath))
+        unruled = unruled.withColumn("path", F.when(F.col("path") == "", F.lit(subpath)).otherwise(F.concat(F.lit(subpath + "/"), "path")))
+    return Scan(_prefix(kept, subpath), ignored, _prefix(below.unionByName(top), subpath), unruled)
 
 
 def _events_of(paths: DataFrame, status: str) -> DataFrame:
@@ -241,7 +248,9 @@ def update(spark: SparkSession, root: str, store: str, *, subpath: str | list[st
     t = t.checkpoint()  # one materialised audit table feeds every output below
     vanished = A.vanished_dirs(stored_dirs, current_dirs, log_deleted=log_deleted, keep_missing=keep_missing,
                                visited=visited)
-    unlisted = _events_of(bad_dirs, Status.PANIC)
+    # a rule file that cannot be read is an error of its directory, whose
+    # entries are then judged by the other rules
+    unlisted = _events_of(bad_dirs.unionByName(union("unruled")).distinct(), Status.PANIC)
     dir_events = vanished.unionByName(unlisted)
     evts = A.events(t).unionByName(dir_events)
     dl_changed = A.dirlist_changed(stored_dirs, current_dirs, keep_missing=keep_missing, visited=visited)

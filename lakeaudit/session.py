@@ -20,6 +20,8 @@ DEFAULTS = {
     "broadcastMaxKeys": 2_000_000,
     # bits of the largest key set that is broadcast as a bitmap (128 MB)
     "keySetMaxBits": 1 << 30,
+    # bytes of a manifest file that one task decodes
+    "manifestRangeBytes": 16 << 20,
     # buckets of a manifest at least, and rows a bucket is meant to hold
     "storeBuckets": 16,
     "storeBucketRows": 2_000_000,

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from lakeaudit.operators.joins import is_small, lookup_join
 from lakeaudit.schema import DIRS_SCHEMA, MANIFEST_COLUMNS, MANIFEST_SCHEMA
-from lakeaudit.session import conf_int
+from lakeaudit.session import checkpoint_dir, conf_int
 
 SEALS_SCHEMA = "dir string, seal string"
 _PARTS = ("snapshots", "changed", "dirs", "seals", "current", "dups", "dup_items", "dups_current")
@@ -204,8 +204,11 @@ def _read_part(spark: SparkSession, at: str, buckets: int) -> DataFrame:
     if not buckets or not all(_BUCKET_FILE.search(n) for n in files):
         return spark.read.schema(MANIFEST_SCHEMA).parquet(at).select(*MANIFEST_COLUMNS)
     name = _table(spark, at, buckets)
+    # a column that says whence it comes has no table's name before its own;
+    # a union knows parts that are bucketed alike by such columns only
+    keyed = [F.col(c).alias(c, metadata={"bucketed": buckets}) if c == "path" else F.col(c) for c in MANIFEST_COLUMNS]
     try:
-        return spark.table(name)  # resolved here: the name is not needed later
+        return spark.table(name).select(*keyed)  # resolved here: the name is not needed later
     finally:
         spark.sql(f"DROP TABLE {name}")
 
@@ -223,7 +226,8 @@ def _chained(spark: SparkSession, store: str, v: Version, read, spread_by: str)
         rows = read(d).select("*", mark)
         owners = mine if owners is None else owners.unionByName(mine)
         newer = rows if newer is None else newer.unionByName(rows)
-    owners = owners.groupBy("dir").agg(F.max("_part").alias("_part"))
+    checkpoint_dir(spark)
+    owners = owners.groupBy("dir").agg(F.max("_part").alias("_part")).checkpoint()
     if is_small(owners):  # keeps both sides where their buckets are
         base = out.join(F.broadcast(owners.select("dir")), "dir", "left_anti")
         newer = newer.join(F.broadcast(owners), ["dir", "_part"], "left_semi")

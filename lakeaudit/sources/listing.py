@@ -15,6 +15,9 @@
   hashed again when both mtime and size moved meanwhile (H5).
 
 Paths are URIs or local paths; non-local schemes go through ``pyarrow.fs``.
+File names are bytes: one that is not UTF-8 stands in a table with each odd
+byte as a character of a private range, from which the file's real name is
+made again (``name_text``, ``name_bytes``).
 """
 
 from __future__ import annotations
@@ -56,12 +59,43 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+# byte b of a name that is not UTF-8 is the character ODD + b; characters of
+# that range in a proper name are written by their own bytes, so nothing clashes
+ODD = 0x10FF00
+
+
+def name_text(name: str) -> str:
+    """A name as the system gives it (odd bytes as surrogates), for a table."""
+    if name.isascii():
+        return name
+    out = []
+    for c in name:
+        if 0xDC80 <= ord(c) <= 0xDCFF:
+            out.append(chr(ODD + ord(c) - 0xDC00))
+        elif ord(c) >= ODD + 0x80:
+            out += [chr(ODD + b) for b in c.encode()]
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+def name_bytes(text: str) -> str:
+    """The name for the system, from that of a table."""
+    if text.isascii():
+        return text
+    raw = "".join(chr(0xDC00 + ord(c) - ODD) if ord(c) >= ODD + 0x80 else c for c in text)
+    return raw.encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape")
+
+
 def _local(path: str) -> str | None:
+    """The local name of a path, None when it is on another file system."""
     if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return None if "://" in path else path
+        path = path[len("file://"):]
+    elif path.startswith("file:"):
+        path = path[len("file:"):]
+    elif "://" in path:
+        return None
+    return name_bytes(path)
 
 
 def _list_dir(root: str, rel: str, follow_links: bool) -> Iterator[tuple]:
@@ -75,17 +109,18 @@ def _list_dir(root: str, rel: str, follow_links: bool) -> Iterator[tuple]:
         try:
             with os.scandir(loc) as it:
                 for e in it:
-                    p = f"{rel}/{e.name}" if rel else e.name
+                    name = name_text(e.name)
+                    p = f"{rel}/{name}" if rel else name
                     try:
                         if e.is_dir(follow_symlinks=follow_links):
-                            yield rel, e.name, p, "dir", None, None, None
+                            yield rel, name, p, "dir", None, None, None
                         elif e.is_file(follow_symlinks=False):
                             st = e.stat(follow_symlinks=False)
-                            yield rel, e.name, p, "file", int(st.st_mtime_ns // 1_000_000), st.st_size, None
+                            yield rel, name, p, "file", int(st.st_mtime_ns // 1_000_000), st.st_size, None
                     except OSError as err:
-                        yield rel, e.name, p, "error", None, None, str(err)
+                        yield rel, name, p, "error", None, None, name_text(str(err))
         except OSError as err:
-            yield rel, "", rel, "error", None, None, str(err)
+            yield rel, "", rel, "error", None, None, name_text(str(err))
         return
     from pyarrow import fs as pafs
 
@@ -199,7 +234,7 @@ def hash_file(path: str, algo: str) -> tuple[int | None, int | None, str | None,
             mod, size = mod2, size2
         return mod, size, digest, None
     except OSError as err:
-        return None, None, None, str(err)
+        return None, None, None, name_text(str(err))
 
 
 def hash_files(files: DataFrame, root: str, algo: str = "md5", algo_col: str | None = None,
