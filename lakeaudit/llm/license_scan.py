@@ -1,7 +1,7 @@
 """Licence scan by canonical digests.
 
-A text is brought to a canonical form -- lower case, copyright lines dropped,
-equivalent spellings made one, punctuation and line breaks to single blanks
+A text is brought to a canonical form -- lower case, copyright lines dropped
+(behind the signs of a comment too), equivalent spellings made one, punctuation and line breaks to single blanks
 -- and its digest is looked up among the digests of known licences by a hash
 join.  Entire texts are compared: the whole document, each of its paragraphs
 and each of its lines (a notice on a line of its own is a text of its own);
@@ -39,6 +39,9 @@ SPELLINGS = [
     ("http://", "https://"), ("gnu gpl\\b", "gnu general public license"), ("\\(c\\)|©", "copyright"), ("&", "and"),
 ]
 
+# a line that only says whose the text is, alone or in a comment
+COPYRIGHT_LINE = r"(?m)^[ \t#*;%/!<|-]*((copyright|\(c\)|©)( |$|\()|all rights reserved)[^\n]*$"
+
 _MIT = """MIT License
 
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -138,7 +141,7 @@ def _check_known(known: list[tuple[str, str]]) -> None:
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; '' when nothing is left."""
-    out = F.regexp_replace(F.lower(text), r"(?m)^[ \t]*((copyright|\(c\)|©)( |$|\()|all rights reserved)[^\n]*$", "")
+    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     out = F.regexp_replace(out, r"[ \t\r\n]+", " ")
     for rule, to in SPELLINGS:
         out = F.regexp_replace(out, rule, to)
@@ -189,7 +192,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = rf"regexp_replace(lower({text}), '(?m)^[ \t]*((copyright|\(c\)|©)( |$|\()|all rights reserved)[^\n]*$', '', 'g')"
+    out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '', 'g')"
     out = rf"regexp_replace({out}, '[ \t\r\n]+', ' ', 'g')"
     for rule, to in SPELLINGS:
         out = f"regexp_replace({out}, '{rule}', '{to}', 'g')"

@@ -2,7 +2,7 @@
 
 Plain patterns find assignments, access keys and long hex runs.  What only
 looks like a key is then confirmed by its structure: base64 and hex
-candidates are decoded and must parse as a private key -- ASN.1 DER whose
+candidates, on one line or wrapped over several, are decoded and must parse as a private key -- ASN.1 DER whose
 nested lengths add up exactly and whose fields are those of a PKCS#1, PKCS#8
 or EC private key, or an OpenSSH key container with its counted fields -- and
 a dotted token must begin with a base64url JSON header naming a signature or
@@ -46,10 +46,22 @@ ASSIGN = re.compile(rf"""(?:{NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)(?:\.[A-Za-z0-9_-]*){1,3}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
+_EOL = r"(?:\r?\n|\\r\\n|\\n)"
+# header lines (a name, a colon, a value that may go on in indented lines) may
+# stand before the body
+PEM = re.compile(rf"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:\s|\\[nr])*(?:[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*(?:{_EOL}[ \t]+[^\r\n\\]+)*{_EOL})*)"
+                 r"([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
+ENCRYPTED = re.compile(r"Proc-Type: *4, *ENCRYPTED")
+CIPHER = re.compile(r"DEK-Info: *[A-Z0-9-]+, *[0-9A-Fa-f]{16,}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}")
 
+# the next line of a key that is wrapped over several
+BASE64_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/]+)(={0,2})")
+HEX_START = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}")
+HEX_LINE = re.compile(r"\r?\n[ \t]*([0-9A-Fa-f]+)()")
+OPENSSH = base64.b64encode(b"openssh-key-v1").decode()[:18]
+
 SEQUENCE, INTEGER, BIT_STRING, OCTET_STRING, OBJECT_ID = 0x30, 0x02, 0x03, 0x04, 0x06
 
 
@@ -134,6 +146,65 @@ def signed_token(match: re.Match) -> bool:
     return "enc" in header or _json_object(match[2]) is not None
 
 
+def _declared(data: bytes) -> int | None:
+    """How many bytes the DER sequence that begins here has."""
+    if len(data) < 2 or data[0] != SEQUENCE:
+        return None
+    if data[1] < 0x80:
+        return data[1] + 2
+    count = data[1] & 0x7F
+    if not 1 <= count <= 4 or len(data) < 2 + count:
+        return None
+    return int.from_bytes(data[2:2 + count], "big") + 2 + count
+
+
+def _wrapped(text: str, start: int, end: int, line: re.Pattern, need: int | None) -> Iterator[tuple[str, int]]:
+    """What begins at ``start`` and goes on in the lines after ``end``: (all
+    characters, where they end).  Lines are as long as the second one, but the
+    last may be shorter; with ``need`` characters they end."""
+    parts, size, width = [text[start:end]], end - start, None
+    while need is None or size < need:
+        m = line.match(text, end)
+        if not m or width and len(m[1]) > width:
+            break
+        width = width or len(m[1])
+        parts.append(m[1])
+        size, end = size + len(m[1]), m.end()
+        if m[2] or len(m[1]) < width:
+            if need is None and not m[2]:  # or a word of the next line
+                yield "".join(parts[:-1]), m.start()
+            break
+    if len(parts) > 1 and (need is None or size == need):
+        yield "".join(parts), end
+
+
+def _wrapped_keys(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys in base64 or hex that are wrapped over lines."""
+    upto = 0
+    for m in BASE64.finditer(text):
+        if m.start() < upto or "=" in m[0] or not (m[0][0] == "M" or m[0].startswith(OPENSSH)):
+            continue
+        total = _declared(_unbase64(m[0][:8]) or b"")
+        if total is None and not m[0].startswith(OPENSSH):
+            continue
+        need = None if total is None else -(-4 * total // 3)
+        for chars, end in _wrapped(text, m.start(), m.end(), BASE64_LINE, need):
+            data = _unbase64(chars)
+            if data and _private_key(data):
+                yield "key64", m.start(), end
+                upto = end
+                break
+    upto = 0
+    for m in HEX_START.finditer(text):
+        total = _declared(bytes.fromhex(m[0][:12]))
+        if m.start() < upto or total is None or len(m[0]) >= 2 * total:
+            continue
+        for chars, end in _wrapped(text, m.start(), m.end(), HEX_LINE, 2 * total):
+            if _private_key(bytes.fromhex(chars)):
+                yield "keyhex", m.start(), end
+                upto = end
+
+
 def spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Every reported span of a text: (kind, start, end), by kind."""
     for m in ASSIGN.finditer(text):
@@ -150,8 +221,12 @@ def spans(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "jwt", m.start(), m.end()
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            data = _unbase64(re.sub(r"\\[nr]|[\s\\]", "", m[2]))
-            if data and ("ENCRYPTED" in m[1] or _private_key(data)):
+            data = _unbase64(re.sub(r"\\[nr]|[\s\\]", "", m[3]))
+            if ENCRYPTED.search(m[2]):  # whole cipher blocks, and which cipher
+                real = data and len(data) % 8 == 0 and CIPHER.search(m[2])
+            else:
+                real = data and ("ENCRYPTED" in m[1] or _private_key(data))
+            if real:
                 yield "pem", m.start(), m.end()
     for m in BASE64.finditer(text):
         data = _unbase64(m[0])
@@ -160,6 +235,7 @@ def spans(text: str) -> Iterator[tuple[str, int, int]]:
     for m in HEX_ANY.finditer(text):
         if len(m[0]) % 2 == 0 and _private_key(bytes.fromhex(m[0])):
             yield "keyhex", m.start(), m.end()
+    yield from _wrapped_keys(text)
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:

@@ -65,3 +65,25 @@ def test_published_texts_titles_and_bullets(spark):
     assert [g[0] for g in got] == [*texts, "Apache-2.0", "BSD-3-Clause", "ISC"]
     assert all(whole for _, _, whole in got)
     assert found(spark, [texts["GPL-3.0"].replace("Everyone is permitted", "Nobody is permitted")])[0] == ("", 0, False)
+
+
+def test_licences_in_comments(spark):
+    """Hand-made files: each line behind the signs of a comment, the copyright
+    line among them."""
+    mit = L.KNOWN[1][1]
+    title = ["MIT License", "", "Copyright (c) 2021 Some Body <a@b.c>", ""]
+    lines = title + mit.split("\n")
+    files = ["\n".join(f"{sign} {x}".rstrip() for x in lines) for sign in ("#", "//", "--", ";;", "%", " *")]
+    files.append("/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */")
+    files.append("# Copyright 2020 X\n# All rights reserved.\n#\n" + "\n".join("# " + x for x in mit.split("\n")))
+    files.append("# Copyright 2020 X\n" + mit)
+    assert found(spark, files) == [("MIT", 1, True)] * len(files)
+    # a line that says more is not dropped
+    assert found(spark, ["Copyrighted material\n" + mit, "see copyright (c) 2020\n" + mit]) == [("", 0, False)] * 2
+
+
+def test_canonical_forms_by_hand(spark):
+    rows = [("# Copyright 2020 X\nSub-License, the  WORK!", "sublicense the work"), ("(C) 2019\nfulfil the licence", "fulfill the license"),
+            ("// © Y\n10 per cent & more", "10 percent and more"), ("all rights reserved.", ""), ("a\r\n\r\nb", "a b")]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "t string")
+    assert [r[0] for r in df.select(L.canonical(df.t)).collect()] == [want for _, want in rows]

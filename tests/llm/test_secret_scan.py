@@ -102,3 +102,43 @@ def test_query_against_plain_reading(spark):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in S.BASE_KINDS)
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def wrap(text, width, sep="\n"):
+    return sep.join(text[i:i + width] for i in range(0, len(text), width))
+
+
+def test_keys_wrapped_over_lines():
+    for key in (RSA, PKCS8, EC, SSH):
+        for coded, kind, widths in ((base64.b64encode(key).decode(), "key64", (40, 64, 76)), (key.hex(), "keyhex", (32, 64))):
+            if kind == "keyhex" and key is SSH:
+                continue
+            for width in widths:
+                if len(coded) <= width:
+                    continue
+                for sep in ("\n", "\r\n", "\n    "):
+                    body = wrap(coded, width, sep)
+                    for after in ("", "\nand then prose", "\nword", " x"):
+                        text = f"key: {body}{after}"
+                        assert (kind, 5, 5 + len(body)) in kinds(text), (kind, width, sep, after)
+    b64 = base64.b64encode(RSA).decode()
+    assert kinds(wrap(b64[:-8] + "AAAA", 64)) == []  # a length that does not add up
+    assert kinds(wrap(base64.b64encode(PUBLIC).decode(), 48)) == []
+    assert kinds(wrap(b64, 64).replace("\n", "\n-- ")) == []
+    two = wrap(b64, 64) + "\n\n" + wrap(b64, 64)
+    assert [k for k, _, _ in kinds(two)] == ["key64", "key64"]
+
+
+def test_pem_with_header_lines():
+    plain, cipher = wrap(base64.b64encode(RSA).decode(), 64), wrap(base64.b64encode(b"\x91" * 608).decode(), 64)
+
+    def pem(head, body):
+        return f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}\n-----END RSA PRIVATE KEY-----"
+
+    dek = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    for head, body in ((dek, cipher), ("Comment: two\n  lines\n", plain), (dek.replace("\n", "\r\n"), cipher.replace("\n", "\r\n"))):
+        text = pem(head, body)
+        assert ("pem", 2, 2 + len(text)) in kinds("x " + text)
+        assert ("pem", 0, len(text.replace("\n", "\\n"))) in kinds(text.replace("\r", "").replace("\n", "\\n")) or "\r" in text
+    for head, body in (("Proc-Type: 4,ENCRYPTED\n\n", cipher), (dek, cipher + "AAAA"), ("Comment: x\n", cipher), ("no header\n", plain)):
+        assert not [k for k in kinds(pem(head, body)) if k[0] == "pem"]
