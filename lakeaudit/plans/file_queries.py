@@ -13,21 +13,26 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeaudit.operators import audit as A
+from lakeaudit.operators import dup_changes as DC
 from lakeaudit.operators import dups as D
+from lakeaudit.operators import extents as X
 from lakeaudit.operators import fuse as U
 from lakeaudit.operators import ignore as I
 from lakeaudit.plans import fixtures as FX
 from lakeaudit.plans import run as R
+from lakeaudit.schema import MANIFEST_COLUMNS
 from lakeaudit.session import checkpoint_dir, ship_package
 from lakeaudit.sinks import store as K
 from lakeaudit.sources import listing as L
 from lakeaudit.sources import manifests as MF
 
 PER_DIR, PER_ATOM = 100, 500
+# objects of one large atom file, and the bytes of it that a task decodes
+PER_LARGE_ATOM, RANGE = 20_000, 65_536
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -154,6 +159,25 @@ def atom_manifests(spark, sf_dir):
     return fused.select("path", "mod_ms", "algo", "hash", "size")
 
 
+def atom_ranges(spark, sf_dir):
+    """Atom files of 20,000 objects, each decoded by many tasks; names
+    hold quotes, brackets and backslashes."""
+    root = _folder(spark, "atom-ranges")
+
+    def atom(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = int(pdf["doc_id"].iloc[0]) // PER_LARGE_ATOM
+        parts = ",".join(f'{json.dumps(chr(34) + "{b" + str(g) + chr(92))} : {_index_text(part, False)}' for g, part in pdf.groupby("group"))
+        return pd.DataFrame({"path": [f"a{a}"], "content": [f'{{"type":"{MF.ATOM_TYPE}","version":{MF.ATOM_VERSION},"data":{{{parts}}}}}']})
+
+    rows = _entries(spark, sf_dir).withColumn("atom", F.floor(F.col("doc_id") / PER_LARGE_ATOM))
+    # a group is one file: at most PER_LARGE_ATOM entries
+    write_files(rows.groupBy("atom").applyInPandas(atom, "path string, content string"), root)
+    files = L.walk(spark, root).where("kind = 'file'").select("path", F.lit("").alias("dir"))
+    entries, indexes = MF.read_atom_manifest(files, root, range_bytes=RANGE)
+    per = indexes.select("source", "dir", "verified")
+    return entries.join(per, ["source", "dir"]).select("source", "path", "mod_ms", "algo", "hash", "size", "verified")
+
+
 def fuse_invalid(spark, sf_dir):
     """Sources with an invalid entry are left out whole."""
     src = FX.fuse_sources(spark, sf_dir)
@@ -240,6 +264,40 @@ def changed_dirs_write(spark, sf_dir):
     return K.merge_changed(old, nxt, scope, scope=scope).select("path", "mod_ms", "hash")
 
 
+def store_deltas(spark, sf_dir):
+    """K3/K2: a base, then three deltas -- an eighth of the directories as
+    they are now, another eighth, and the first one with later times -- read
+    through the chain, folded, and read again."""
+    store = _folder(spark, "deltas")
+    K.init_store(spark, store)
+    old, now = FX.stored(spark, sf_dir), FX.observed(spark, sf_dir).select(*MANIFEST_COLUMNS)
+    K.publish_snapshot(old, store, "1")
+    digit = F.substring(F.md5(F.col("dir").cast("binary")), 1, 1)
+    one, two = digit.isin("0", "1"), digit.isin("2", "3")
+    later = old.where(one).withColumn("mod_ms", F.col("mod_ms") + 1)
+    second = now.where(one).unionByName(old.where(~one))
+    third = now.where(one | two).unionByName(old.where(~(one | two)))
+    fourth = later.unionByName(now.where(two)).unionByName(old.where(~(one | two)))
+    for name, part, rows in (("2", one, second), ("3", two, third), ("4", one, fourth)):
+        K.publish_changes(rows, store, name, old.unionByName(now).select("dir").where(part).distinct())
+    chained = K.read_current(spark, store).withColumn("folded", F.lit(False))
+    K.compact(spark, store)
+    return chained.unionByName(K.read_current(spark, store).withColumn("folded", F.lit(True))).select("path", "mod_ms", "hash", "folded")
+
+
+def store_order(spark, sf_dir):
+    """Every stored entry, and whether it follows the one before it in
+    its file."""
+    store = _folder(spark, "order")
+    K.init_store(spark, store)
+    K.publish_snapshot(FX.observed(spark, sf_dir).repartition(7), store, "1")
+    # a file of this size is one partition, so its rows are numbered in order
+    rows = spark.read.schema("path string").parquet(f"{store}/snapshots/snapshot=1").select(
+        "path", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("path").over(Window.partitionBy("file").orderBy("at"))
+    return rows.select("path", F.coalesce(before < F.col("path"), F.lit(True)).alias("in_order"))
+
+
 def store_bags(spark, sf_dir):
     """K4: the duplicate result replaced by a second run, read back."""
     store = _folder(spark, "bags")
@@ -250,9 +308,58 @@ def store_bags(spark, sf_dir):
     return K.read_bags(spark, store).select("hash", "size", "n_items", F.col("gen").cast("long").alias("gen"))
 
 
+# ------------------------------------------------------------ S7, A5, D4: extents
+def _extents(spark, sf_dir) -> DataFrame:
+    """Placements as extent lists: copies of a text share their blocks by the
+    parity of the id; each list comes in two parts, in either order; every
+    fifth object also holds a block that the next one holds in part; some
+    cannot be read, some are empty."""
+    i, size = F.col("doc_id"), F.greatest(F.col("size"), F.lit(2))
+    at = F.pmod(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long"), F.lit(1 << 31)) * (1 << 20) + F.pmod(i, 2) * (1 << 52)
+    half = (size / 2).cast("long")
+    ext = lambda l, p, n: F.struct(l.cast("long").alias("logical"), p.cast("long").alias("physical"), n.cast("long").alias("length"))
+    a, b = ext(F.lit(0), at, half), ext(half, at + half, size - half)
+    # a run of shared blocks: object i holds [100 i, 100 i + 150)
+    c = ext(size, F.lit(1 << 61) + i * 100, F.lit(150))
+    lists = (F.when(F.pmod(i, 41) == 0, F.lit(None)).when(F.pmod(i, 37) == 0, F.array().cast("array<struct<logical:long,physical:long,length:long>>"))
+             .when(F.pmod(i, 5) == 0, F.array(a, b, c)).when(F.pmod(i, 2) == 0, F.array(a, b)).otherwise(F.array(b, a)))
+    return FX.observed(spark, sf_dir).select("doc_id", "hash", "path", "size", lists.alias("place"))
+
+
+def extent_space(spark, sf_dir):
+    """Placement classes of canonical extent lists, with the bytes of
+    each object that lie in blocks others hold too."""
+    o = _extents(spark, sf_dir)
+    bags = D.dup_space(o.select("hash", "path", "size"), X.placements(o), min_size=FX.DUP_MIN_SIZE)
+    shared = X.shared_bytes(o)
+    per = o.join(shared, "path").groupBy("hash").agg(F.sum("held").alias("held"), F.sum("shared").alias("partly"))
+    return bags.join(per, "hash").select("hash", "n_items", "n_classes", "merged_n", "exclusive", "ext_unknown", "held", "partly")
+
+
+def same_extents(spark, sf_dir):
+    """For lists of objects, whether all share the first one's placement."""
+    o = _extents(spark, sf_dir)
+    groups = o.select(F.concat("hash", F.lit("/"), F.pmod("doc_id", F.lit(3)).cast("string")).alias("list"), F.col("doc_id").alias("nr"), "path")
+    return X.same_placement(groups, X.placements(o), "list", "nr")
+
+
+# ------------------------------------------------------------ A4/K4: changes of duplicates
+def dup_deltas(spark, sf_dir):
+    """The duplicate space of the older snapshot, brought to the
+    newer one in two changes of some directories each."""
+    old, now = FX.stored(spark, sf_dir), FX.observed(spark, sf_dir).select(*MANIFEST_COLUMNS)
+    place = FX.locations(spark, sf_dir)
+    state = DC.state_of(old, place)
+    for part in (0, 1):
+        mine = F.pmod(F.length("dir"), F.lit(2)) == part
+        state = DC.applied(state, DC.changes(old.where(mine), now.where(mine), place))
+    return DC.space(state, FX.DUP_MIN_SIZE)
+
+
 QUERIES = {f.__name__: f for f in (
-    walk_listing, hash_files, split_manifests, atom_manifests, fuse_invalid, rule_files, ignore_names, no_recursion, audit_errors,
-    verdict_errors, rehash_states, store_roundtrip, changed_dirs_write, store_bags)}
+    walk_listing, hash_files, split_manifests, atom_manifests, atom_ranges, fuse_invalid, rule_files, ignore_names, no_recursion, audit_errors,
+    verdict_errors, rehash_states, store_roundtrip, changed_dirs_write, store_deltas, store_order, store_bags,
+    extent_space, same_extents, dup_deltas)}
 
 
 def oracles(base: str, fuse: str) -> dict[str, str]:
@@ -278,6 +385,40 @@ UNION ALL SELECT DISTINCT dir || '/{I.INDEX_NAME}', NULL, NULL, NULL, NULL, NULL
         "atom_manifests": f"""WITH {_OBJ}
 SELECT 'a' || (doc_id // {PER_ATOM}) || '/b' || g || '/' || name AS path, doc_id * 1000 AS mod_ms, 'md5' AS algo, hash, size
 FROM o WHERE (doc_id // {PER_ATOM}) % 4 <> 3""",
+        "atom_ranges": f"""WITH {_OBJ}
+SELECT 'a' || (doc_id // {PER_LARGE_ATOM}) AS source, '"{{b' || g || chr(92) || '/' || name AS path, doc_id * 1000 AS mod_ms, 'md5' AS algo, hash, size,
+       true AS verified FROM o""",
+        "store_deltas": f"""WITH {base},
+c AS (SELECT path, mod_ms + 1 AS mod_ms, hash FROM stored WHERE md5(dir)[1] IN ('0', '1')
+      UNION ALL SELECT path, mod_ms, hash FROM observed WHERE md5(dir)[1] IN ('2', '3')
+      UNION ALL SELECT path, mod_ms, hash FROM stored WHERE md5(dir)[1] NOT IN ('0', '1', '2', '3'))
+SELECT path, mod_ms, hash, folded FROM c, (VALUES (false), (true)) f(folded)""",
+        "store_order": f"WITH {base} SELECT path, true AS in_order FROM observed",
+        "extent_space": f"""WITH {base}, e AS (
+  SELECT doc_id, hash, path, size, greatest(size, 2) AS z, doc_id % 41 = 0 AS unk, doc_id % 41 <> 0 AND doc_id % 37 = 0 AS nil,
+         doc_id % 41 <> 0 AND doc_id % 37 <> 0 AND doc_id % 5 = 0 AS more FROM observed),
+i AS (SELECT *, CASE WHEN unk OR nil THEN chr(1) || path WHEN more THEN 'm' || doc_id ELSE hash || (doc_id % 2) || z END AS class FROM e WHERE size >= {FX.DUP_MIN_SIZE}),
+k AS (SELECT hash, class, count(*) AS n, bool_or(unk) AS unk, any_value(size) AS size FROM i GROUP BY ALL),
+b AS (SELECT hash, sum(n)::BIGINT AS n_items, count(*) AS n_classes, CASE WHEN max(n) >= 2 THEN max(n) ELSE 0 END AS merged_n,
+             any_value(size) * count(*) AS exclusive, bool_or(unk) AS ext_unknown FROM k GROUP BY hash HAVING sum(n) >= 2),
+g AS (SELECT hash, doc_id % 2 AS par, z, count(*) AS holders FROM e WHERE NOT unk AND NOT nil GROUP BY ALL),
+h AS (SELECT e.hash, e.doc_id, CASE WHEN unk OR nil THEN 0 WHEN more THEN e.z + 150 ELSE e.z END AS held,
+             CASE WHEN unk OR nil THEN 0 ELSE CASE WHEN g.holders > 1 THEN e.z ELSE 0 END END AS partly
+      FROM e LEFT JOIN g ON g.hash = e.hash AND g.par = e.doc_id % 2 AND g.z = e.z),
+p AS (SELECT hash, sum(held)::BIGINT AS held, sum(partly)::BIGINT AS partly FROM h GROUP BY hash)
+SELECT hash, n_items, n_classes, merged_n, exclusive, ext_unknown, held, partly FROM b JOIN p USING (hash)""",
+        "same_extents": f"""WITH {base}, e AS (
+  SELECT doc_id, hash || '/' || (doc_id % 3) AS list, CASE WHEN doc_id % 41 = 0 OR doc_id % 37 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'm' || doc_id
+         ELSE hash || (doc_id % 2) || greatest(size, 2) END AS class FROM observed)
+SELECT list, count(*) AS n, count(*) = 1 AND any_value(class) IS NOT NULL OR count(*) > 1 AND count(class) = count(*) AND count(DISTINCT class) = 1 AS same
+FROM e GROUP BY list""",
+        "dup_deltas": f"""WITH {base}, loc2 AS (SELECT path, CASE WHEN doc_id % 41 = 0 THEN NULL ELSE concat(hash, '-', doc_id % 2) END AS place FROM observed),
+i AS (SELECT o.hash, o.path, o.size, l.place IS NULL AS unk, coalesce(l.place, chr(1) || o.path) AS class FROM observed o JOIN loc2 l USING (path)
+      WHERE o.size >= {FX.DUP_MIN_SIZE}),
+k AS (SELECT hash, size, class, count(*) AS n, bool_or(unk) AS unk FROM i GROUP BY ALL)
+SELECT hash, size, sum(n)::BIGINT AS n_items, count(*) AS n_classes, CASE WHEN max(n) >= 2 THEN max(n) ELSE 0 END AS merged_n,
+       size * CASE WHEN max(n) >= 2 THEN max(n) ELSE 0 END AS shared, size * count(*) AS exclusive, bool_or(unk) AS ext_unknown
+FROM k GROUP BY hash, size HAVING sum(n) >= 2""",
         "fuse_invalid": f"""WITH {base}, {without_src3}
 SELECT fsrc.fdir || '/' || name AS path, hash FROM fsrc JOIN fwin USING (fdir, depth)""",
         "rule_files": f"""WITH {_OBJ},
