@@ -123,13 +123,11 @@ def scan(spark: SparkSession, root: str, subpath: str = "", *, include_dot: bool
     last = listing if not found else listing.where(F.col("level") > len(found))
     found.append(read_ignore_files(last, start, ignore_name).checkpoint())
     rules = rules_so_far()
-    entries = listing.where(F.col("kind").isin("file", "dir"))
-    # entries that could not be read are subject to the rules like any other
-    unread = listing.where(F.col("kind") == "error")
-    top = unread.where(F.col("path") == "")
-    below = I.apply_ignore(unread.where(F.col("path") != ""), rules, **options)
-    kept = I.apply_ignore(entries, rules, **options)
-    ignored = I.show_ignored(entries, rules, **options)
+    # entries that could not be read are subject to the rules like any other;
+    # the start path itself is not
+    top = listing.where((F.col("kind") == "error") & (F.col("path") == ""))
+    kept, ignored = I.judge(listing.where(F.col("path") != ""), rules, **options)
+    below, kept = kept.where(F.col("kind") == "error"), kept.where(F.col("kind") != "error")
     unruled = rules.where(F.col("error").isNotNull()).select(F.col("dir").alias("path")).distinct()
     if subpath:
         ignored = ignored.withColumn("path", F.concat(F.lit(subpath + "/"), "path"))
