@@ -43,7 +43,7 @@ from lakeaudit.session import ship_package
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 # bytes that each memo of finished pieces may hold, and entries of the one
 # of pairs (about 100 bytes each)
-PIECE_MEMO = 12 << 20
+PIECE_MEMO = 64 << 20
 PAIR_MEMO = 200_000
 LONG_TEXT = 1_000_000
 RUN_PIECES = 50_000

@@ -102,3 +102,11 @@ def test_a_batch_in_small_runs(spark, theirs, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 300)], "doc_id long, text string").coalesce(1)
     got = [list(r.token_ids) for r in B.encode_frame(df, P.path(B.RANK_FILE)).orderBy("doc_id").collect()]
     assert got == [theirs.encode_ordinary(t or "") for t in texts] * 300
+
+
+def test_memo_holds_the_pieces_of_a_large_table():
+    """150,000 short pieces stay, so that a second text finds those of the first."""
+    memo = B.Memo()
+    for i in range(150_000):
+        memo.keep(f" w{i}", "17,4")
+    assert len(memo) == 150_000
