@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,22 @@ def ranked(df: DataFrame, *keys: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
+class WordTable:
+    """Numbers of words by language.  It is sent as columns: only the workers
+    hold a Python object for each word."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+
+    @cached_property
+    def numbers(self) -> dict[str, dict[bytes, int]]:
+        out: dict[str, dict[bytes, int]] = defaultdict(dict)
+        for b in self.rows.to_batches():
+            for lang, word, i in zip(*(c.to_pylist() for c in (b.column(0), b.column(1).cast(pa.binary()), b.column(2)))):
+                out[lang][word] = i
+        return dict(out)
+
+
 def sequences(docs: DataFrame, words: DataFrame) -> DataFrame:
     """``key, ids``: each text as numbers of its words, -1 for breaks, the
     last one a break.  ``words``: ``lang, word, a, id``."""
@@ -129,13 +146,10 @@ def sequences(docs: DataFrame, words: DataFrame) -> DataFrame:
     rows = docs.select(_lang(), "text")
     if not _fits(words):
         return _sequences_joined(rows, words)
-    table: dict[str, dict[bytes, int]] = defaultdict(dict)
-    for r in words.select("lang", "word", "id").collect():  # counted above
-        table[r.lang][r.word.encode()] = r.id
-    shared = spark.sparkContext.broadcast(dict(table))
+    shared = spark.sparkContext.broadcast(WordTable(words.select("lang", "word", "id").toArrow()))  # counted above
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, key = shared.value, TaskContext.get().partitionId() << 33
+        table, key = shared.value.numbers, TaskContext.get().partitionId() << 33
         for b in (run for whole in batches for run in text_runs(whole)):
             flat, ends = [], [0]
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -264,6 +278,14 @@ def renumbered(ids: np.ndarray, codes: np.ndarray, numbers: np.ndarray) -> np.nd
     return out
 
 
+def cell_table(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, ascending, and numbers of cells that were counted to fit: two
+    columns of 12 bytes a cell, sorted and packed by the tasks."""
+    code = F.shiftleft(F.col("l"), 32).bitwiseOR(F.col("r")).alias("c")
+    part = cells.select(code, F.col("id").cast("int").alias("id")).orderBy("c").toArrow()
+    return part["c"].to_numpy(), part["id"].to_numpy()
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """The sequences of many rows as one, in runs; each ends with a break."""
     for b in batches:
@@ -329,18 +351,17 @@ def phrase_tables(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     tables = [words.select("id", F.lit(None).cast("long").alias("l"), F.lit(None).cast("long").alias("r"), "lang",
                            F.array("word").alias("words"), "a", none.alias("heads"), none.alias("tails"))]
     seqs, held = sequences(docs, words), []
-    for _ in range(2, longest + 1):
+    for k in range(2, longest + 1):
         cells = staged(ranked(staged(cell_counts(seqs, held, least), "phrase-cells"), "l", "r"), "phrase-cells")
         below = tables[-1]
         left = below.select(F.col("id").alias("l"), "lang", "words", F.concat("heads", F.array("a")).alias("heads"))
         right = below.select(F.col("id").alias("r"), F.element_at("words", -1).alias("last"), F.concat("tails", F.array("a")).alias("tails"))
         joined = lookup_join(lookup_join(cells, left, ["l"], spread_by="id"), right, ["r"], spread_by="id")
         tables.append(staged(joined.select("id", "l", "r", "lang", F.concat("words", F.array("last")).alias("words"), "a", "heads", "tails"), "phrases"))
+        if k == longest:  # nothing is counted beyond
+            break
         if is_small(cells.select("id"), CELLS_AT_ONCE):
-            part = cells.select("l", "r", "id").toPandas()  # counted above
-            codes = (part.l.to_numpy(np.int64) << 32) | part.r.to_numpy(np.int64)
-            order = np.argsort(codes)
-            held.append(spark.sparkContext.broadcast((codes[order], part.id.to_numpy(np.int64)[order])))
+            held.append(spark.sparkContext.broadcast(cell_table(cells)))
         else:
             for t in held:  # the levels below, by their broadcast tables
                 seqs = _stepped(seqs, t)

@@ -111,3 +111,31 @@ def test_edge_rows(spark, edge_docs, no_docs):
     text = "one two three. " * 40  # one long text without id
     one = spark.createDataFrame([(None, text * 500, None)], "doc_id long, text string, lang string")
     assert rows_of(P.collocations(one)) == [("und", 1, "one two three", 20000, 20000, 20000, 60000, 1_000_000)]
+
+
+def test_driver_holds_columns(spark, monkeypatch):
+    """Words and cells pass the driver as columns, not as objects, and only
+    for lengths that longer phrases follow."""
+    import tracemalloc
+
+    from lakeaudit.session import ship_package
+    from pyspark.sql import functions as F
+
+    ship_package(spark)
+    words = spark.range(60_000).select(F.lit("en").alias("lang"), F.concat(F.lit("w"), "id").alias("word"), F.lit(9).cast("long").alias("a"), "id")
+    docs = spark.createDataFrame([("w5 W59999 w60000, w0", "en"), ("w5", "fr"), (None, "en")], "text string, lang string")
+    cells = spark.range(60_000).select((F.col("id") * 7 % 60_000).alias("l"), (F.col("id") % 11).alias("r"), "id")
+    tracemalloc.start()
+    seqs = P.sequences(docs, words)
+    codes, numbers = P.cell_table(cells)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * 60_000
+    assert sorted(r.ids for r in seqs.collect()) == [[-1], [-1, -1], [5, 59999, -1, -1, 0, -1]]
+    want = sorted(((i * 7 % 60_000) << 32 | i % 11, i) for i in range(60_000))
+    assert list(zip(codes.tolist(), numbers.tolist())) == want
+    tables, fetched = P.cell_table, []
+    monkeypatch.setattr(P, "cell_table", lambda c: fetched.append(1) or tables(c))
+    few = spark.createDataFrame([("a b c d. " * 9, "en")], "text string, lang string")
+    assert [t.count() for t in P.phrase_tables(few, 5, 4)[0]] == [4, 3, 2, 1]
+    assert len(fetched) == 2
